@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from rowlens.llm import exact, packing, shards, tokens
+from rowlens.llm import exact, minhash, packing, shards, tokens
 from rowlens.llm.common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -24,6 +24,10 @@ def op7_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.packed_documents(table(spark, sf_dir, "documents"))
 
 
+def op8_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return minhash.near_duplicates(table(spark, sf_dir, "documents"))
+
+
 def op9_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact.exact_result(table(spark, sf_dir, "documents"))
 
@@ -31,7 +35,7 @@ def op9_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 def queries() -> dict[str, Query]:
     return {
         f.__name__: f
-        for f in (op1_bpe_round_trip, op3_token_shards, op7_best_fit_packing, op9_exact_dedup)
+        for f in (op1_bpe_round_trip, op3_token_shards, op7_best_fit_packing, op8_minhash_near_dedup, op9_exact_dedup)
     }
 
 
