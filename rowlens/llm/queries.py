@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from rowlens.llm import exact, minhash, packing, shards, tokens
+from rowlens.llm import exact, language, minhash, packing, shards, tokens
 from rowlens.llm.common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -20,6 +20,10 @@ def op3_token_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     return shards.shard_digest(table(spark, sf_dir, "documents"))
 
 
+def op4_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return language.identify(table(spark, sf_dir, "documents"))
+
+
 def op7_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.packed_documents(table(spark, sf_dir, "documents"))
 
@@ -35,7 +39,7 @@ def op9_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 def queries() -> dict[str, Query]:
     return {
         f.__name__: f
-        for f in (op1_bpe_round_trip, op3_token_shards, op7_best_fit_packing, op8_minhash_near_dedup, op9_exact_dedup)
+        for f in (op1_bpe_round_trip, op3_token_shards, op4_language_id, op7_best_fit_packing, op8_minhash_near_dedup, op9_exact_dedup)
     }
 
 
