@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from rowlens.llm import exact, language, minhash, packing, shards, tokens
+from rowlens.llm import exact, language, license, minhash, packing, pii, shards, tokens
 from rowlens.llm.common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -16,6 +16,10 @@ def op1_bpe_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokens.round_trip(table(spark, sf_dir, "documents"))
 
 
+def op2_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.pii_digest(table(spark, sf_dir, "documents"))
+
+
 def op3_token_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     return shards.shard_digest(table(spark, sf_dir, "documents"))
 
@@ -24,6 +28,10 @@ def op4_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language.identify(table(spark, sf_dir, "documents"))
 
 
+def op6_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return license.scan(table(spark, sf_dir, "documents"))
+
+
 def op7_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.packed_documents(table(spark, sf_dir, "documents"))
 
@@ -39,7 +47,7 @@ def op9_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 def queries() -> dict[str, Query]:
     return {
         f.__name__: f
-        for f in (op1_bpe_round_trip, op3_token_shards, op4_language_id, op7_best_fit_packing, op8_minhash_near_dedup, op9_exact_dedup)
+        for f in (op1_bpe_round_trip, op2_pii, op3_token_shards, op4_language_id, op6_license_scan, op7_best_fit_packing, op8_minhash_near_dedup, op9_exact_dedup)
     }
 
 
