@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from rowlens.llm import exact, language, license, minhash, packing, pii, shards, tokens
+from rowlens.llm import exact, html, language, license, minhash, packing, pii, shards, tokens
 from rowlens.llm.common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -28,6 +28,10 @@ def op4_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language.identify(table(spark, sf_dir, "documents"))
 
 
+def op5_site_style_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html.extract(table(spark, sf_dir, "pages"))
+
+
 def op6_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return license.scan(table(spark, sf_dir, "documents"))
 
@@ -47,7 +51,7 @@ def op9_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 def queries() -> dict[str, Query]:
     return {
         f.__name__: f
-        for f in (op1_bpe_round_trip, op2_pii, op3_token_shards, op4_language_id, op6_license_scan, op7_best_fit_packing, op8_minhash_near_dedup, op9_exact_dedup)
+        for f in (op1_bpe_round_trip, op2_pii, op3_token_shards, op4_language_id, op5_site_style_tree, op6_license_scan, op7_best_fit_packing, op8_minhash_near_dedup, op9_exact_dedup)
     }
 
 
