@@ -258,9 +258,10 @@ def train(counted: list[tuple[str, str, int, int]], rounds: int = 30, steps: int
 
 def fit(found: DataFrame) -> tuple[Model, list[tuple[str, str, int]]]:
     """Model, and the (kind, votes, shape) patterns it accepts; both from counts over all rows."""
+    # outer: else a filter on the array's size is pushed below, and with it the base spans into the candidates' lambda
     counted = (
-        found.filter("size(candidates) > 0")
-        .select(F.explode("candidates").alias("c"))
+        found.select(F.explode_outer("candidates").alias("c"))
+        .filter("c is not null")
         .groupBy(F.col("c.kind").alias("kind"), F.col("c.votes").alias("votes"), F.col("c.shape").alias("shape"))
         .count()
     )
