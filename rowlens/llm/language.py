@@ -124,6 +124,28 @@ def classify(docs: DataFrame, dictionaries: dict[str, bytes], min_margin: float
     return rows.mapInArrow(run, "doc_id long, lang_pred string, score double, margin double, rejected boolean")
 
 
+def keep_accepted(docs: DataFrame, dictionaries: dict[str, bytes], min_margin: float = MIN_MARGIN) -> DataFrame:
+    """The rows of ``docs``, all columns as they are, that are not rejected; narrow, nothing is joined."""
+    at = docs.columns.index("text")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        judge = Judge(dictionaries)
+        for b in batches:
+            kept = []
+            for text in b.column(at):
+                lang, _, margin, judged = judge(text.as_py() or "")
+                kept.append(lang != UNKNOWN and (margin >= min_margin or judged < JUDGED_BYTES))
+            yield b.filter(pa.array(kept, pa.bool_()))
+
+    return docs.mapInArrow(run, docs.schema)
+
+
+def accepted(docs: DataFrame) -> DataFrame:
+    """The rows of ``docs`` with a recognised language, learned from the training folds of ``docs`` itself."""
+    rows = docs.select("doc_id", "text", "lang")
+    return keep_accepted(docs, fit(rows, ~F.coalesce(held_out(F.col("doc_id")), F.lit(False))))
+
+
 def identify(docs: DataFrame, min_margin: float = MIN_MARGIN) -> DataFrame:
     """The contract's columns: learned from all folds but one, predicted for every document."""
     rows = docs.select("doc_id", "text", "lang")

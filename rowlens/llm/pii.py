@@ -330,3 +330,14 @@ def redacted(text: Column, spans: Column) -> Column:
         lambda acc: F.concat(acc["out"], F.substring(text, acc["at"] + 1, F.char_length(text) - acc["at"])),
     )
     return F.when(F.size(spans) == 0, text).otherwise(walked)
+
+
+def redact(docs: DataFrame) -> DataFrame:
+    """The rows of ``docs``, all columns as they are but for ``text``, where every span gives way to its kind, and ``n_chars``; null texts stay null."""
+    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), text_or_empty("text").alias("text"))
+    rows = rows.withColumn("base", base_spans(F.col("text")))
+    found = rows.withColumn("candidates", candidate_spans(F.col("text"), F.col("base")))
+    _, accepted = fit(found)
+    done = accepted_spans(found, accepted).withColumn("clean", F.when(F.col("row.text").isNotNull(), redacted(F.col("text"), F.col("spans"))))
+    new = {"text": F.col("clean"), "n_chars": F.when(F.col("clean").isNotNull(), F.char_length("clean").cast("long"))}
+    return done.select(*[new.get(c, F.col(f"row.`{c}`")).alias(c) for c in docs.columns])

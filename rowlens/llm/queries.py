@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from rowlens.llm import exact, html, language, license, minhash, packing, pii, shards, tokens
+from rowlens.llm import bm25, exact, html, language, license, minhash, packing, pii, shards, tokens
 from rowlens.llm.common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -48,12 +48,19 @@ def op9_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact.exact_result(table(spark, sf_dir, "documents"))
 
 
+def op10_top_k_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return bm25.every_twentieth(table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Query]:
     return {
         f.__name__: f
-        for f in (op1_bpe_round_trip, op2_pii, op3_token_shards, op4_language_id, op5_site_style_tree, op6_license_scan, op7_best_fit_packing, op8_minhash_near_dedup, op9_exact_dedup)
-    }
+        for f in (
+            op1_bpe_round_trip, op2_pii, op3_token_shards, op4_language_id, op5_site_style_tree,
+            op6_license_scan, op7_best_fit_packing, op8_minhash_near_dedup, op9_exact_dedup, op10_top_k_search,
+        )
+    }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op9_exact_dedup": exact.ORACLE_SQL}
+    return {"op9_exact_dedup": exact.ORACLE_SQL, "op10_top_k_search": bm25.ORACLE_SQL}
