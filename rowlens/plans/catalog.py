@@ -5,6 +5,13 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from rowlens.config import build_profile
+from rowlens.functions import dates, money, text
+from rowlens.operators import applications, dedup, facets, feed, health, normalize, reports, retention, score, search
+from rowlens.operators.feed import PostingFilter
+from rowlens.plans.projection import AS_OF, canonical, oracle, store
 
 FLAGSHIP = "feed_default"
 
@@ -14,9 +21,524 @@ _QUERIES: dict[str, Query] = {}
 _ORACLES: dict[str, str] = {}
 
 
+def query(sql: str | None = None, *names: str) -> Callable[[Query], Query]:
+    """Registers a query under its function's name, with its oracle over the canonical frames named."""
+
+    def register(f: Query) -> Query:
+        _QUERIES[f.__name__] = f
+        if sql is not None:
+            _ORACLES[f.__name__] = oracle(sql, *names)
+        return f
+
+    return register
+
+
 def queries() -> dict[str, Query]:
     return dict(_QUERIES)
 
 
 def oracle_sql() -> dict[str, str]:
     return dict(_ORACLES)
+
+
+# --- feed ----------------------------------------------------------------------
+
+BASE = ("companies", "postings", "locations", "tech", "verdicts", "flags")
+FROM = "from postings p join companies c using (company_slug) left join verdicts v on v.posting_id = p.posting_id left join flags u on u.posting_id = p.posting_id"
+OPEN = "p.is_canonical and p.is_active and u.application_status is null and not coalesce(u.is_hidden, false) and u.triage is null"
+SHOWN = "p.visa_sponsorship in ('sponsors', 'unknown') and p.tier in ('strong', 'possible', 'stretch')"
+ROW = "p.posting_id, p.company_slug, c.company_name, c.sector, p.score, p.tier"
+
+
+def _row(df: DataFrame) -> DataFrame:
+    return df.select("posting_id", "company_slug", "company_name", "sector", F.col("eff_score").alias("score"), F.col("eff_tier").alias("tier"))
+
+
+@query(f"select {ROW} {FROM} where {OPEN} and {SHOWN} order by p.score desc, p.posting_id desc limit 50", *BASE)
+def feed_default(spark, sf):
+    return _row(feed.feed(store(spark, sf)))
+
+
+def _filtered(name: str, flt: PostingFilter, where: str) -> None:
+    """A query over all rows that one filter admits; ``where`` is the same condition in SQL."""
+
+    def run(spark, sf):
+        return _row(feed.base_feed(store(spark, sf), flt, AS_OF))
+
+    run.__name__ = f"filter_{name}"
+    query(f"select {ROW} {FROM} where {where}", *BASE)(run)
+
+
+def _near(child: str, condition: str) -> str:
+    return f"exists (select 1 from {child} x where x.posting_id = p.posting_id and {condition})"
+
+
+_filtered("countries", PostingFilter(countries=("NATION_1", "NATION_7")), f"{OPEN} and {_near('locations', 'x.country in (' + chr(39) + 'NATION_1' + chr(39) + ', ' + chr(39) + 'NATION_7' + chr(39) + ')')}")
+_filtered("cities", PostingFilter(cities=("NATION_3-x", "NATION_4-1")), f"""{OPEN} and {_near("locations", "x.city in ('NATION_3-x', 'NATION_4-1')")}""")
+_filtered("place", PostingFilter(place=("NATION_4", "NATION_4-1")), f"""{OPEN} and {_near("locations", "x.country = 'NATION_4' and x.city = 'NATION_4-1'")}""")
+_filtered("remote_modes", PostingFilter(remote_modes=("remote",)), f"""{OPEN} and {_near("locations", "x.remote_mode = 'remote'")}""")
+_filtered(
+    "columns",
+    PostingFilter(companies=("s1", "s2", "s3"), sources=("lever", "ashby", "indeed"), role_families=("quant_dev", "risk", "other"), seniorities=("junior", "mid", "lead"), visa=("no", "unknown")),
+    f"{OPEN} and p.company_slug in ('s1', 's2', 's3') and p.source in ('lever', 'ashby', 'indeed') and p.role_family in ('quant_dev', 'risk', 'other') and p.seniority in ('junior', 'mid', 'lead') and p.visa_sponsorship in ('no', 'unknown')",
+)
+_filtered("sectors", PostingFilter(sectors=("ASIA", "EUROPE", "REGION_1", "REGION_2")), f"{OPEN} and c.sector in ('ASIA', 'EUROPE', 'REGION_1', 'REGION_2')")
+_filtered("tiers", PostingFilter(tiers=("strong",)), f"{OPEN} and p.tier = 'strong'")
+_filtered("rejection_reasons", PostingFilter(rejection_reasons=("stale", "not_quant")), f"{OPEN} and v.rejection_reason in ('stale', 'not_quant')")
+_filtered("tech_any", PostingFilter(tech_any=("kdb", "cuda")), f"""{OPEN} and {_near("tech", "x.tech in ('kdb', 'cuda')")}""")
+_filtered(
+    "tech_all",
+    PostingFilter(tech_all=("python", "cpp")),
+    f"{OPEN} and p.posting_id in (select posting_id from tech where tech in ('python', 'cpp') group by 1 having count(distinct tech) = 2)",
+)
+_filtered("min_score", PostingFilter(min_score=60), f"{OPEN} and p.score >= 60")
+_filtered(
+    "posted_within_days",
+    PostingFilter(posted_within_days=200),
+    f"{OPEN} and cast(case when p.posted_at < p.first_seen_at then p.posted_at else p.first_seen_at end as date) >= date '2001-06-01' - interval '200' day",
+)
+_filtered("statuses", PostingFilter(statuses=("applied", "interview")), "p.is_canonical and u.application_status in ('applied', 'interview') and not coalesce(u.is_hidden, false) and u.triage is null")
+_filtered("favorites", PostingFilter(favorites_only=True, include_hidden=True), "p.is_canonical and u.is_favorite and u.triage is null")
+_filtered("triage", PostingFilter(triage="maybe"), "p.is_canonical and not coalesce(u.is_hidden, false) and u.triage = 'maybe'")
+
+
+@query(
+    """select p.posting_id, p.company_slug, c.company_name, c.sector, t.score, t.tier
+    from postings p join companies c using (company_slug) join track_verdicts t on t.posting_id = p.posting_id and t.track = 'tech' left join flags u on u.posting_id = p.posting_id
+    where p.is_canonical and p.is_active and u.application_status is null and not coalesce(u.is_hidden, false) and u.triage is null and t.score >= 25""",
+    *BASE, "track_verdicts",
+)
+def filter_track(spark, sf):
+    return _row(feed.base_feed(store(spark, sf), PostingFilter(track="tech", min_score=25)))
+
+
+@query(f"select {ROW} {FROM} where {OPEN} and p.title ilike '%quant%' and p.posting_id in (select posting_id from texts where description ilike '%relocation support%')", *BASE, "texts")
+def filter_text(spark, sf):
+    match = search.Match(phrases=("relocation support",), prefixes=("quant",), none=("astrology",))
+    return _row(feed.base_feed(store(spark, sf), PostingFilter(query=match)))
+
+
+_SORT_SQL = {"posted": "p.posted_at desc nulls last, p.posting_id desc", "seen": "p.first_seen_at desc nulls last, p.posting_id desc", "company": "p.company_slug asc nulls last, p.posting_id asc", "closes": "p.closes_at asc nulls last, p.posting_id asc"}
+
+
+def _sorted(sort: str) -> None:
+    def run(spark, sf):
+        return _row(feed.feed(store(spark, sf), sort=sort, limit=100))
+
+    run.__name__ = f"feed_by_{sort}"
+    query(f"select {ROW} {FROM} where {OPEN} and {SHOWN} order by {_SORT_SQL[sort]} limit 100", *BASE)(run)
+
+
+for _s in _SORT_SQL:
+    _sorted(_s)
+
+
+@query(f"select {ROW} {FROM} where {OPEN} and {SHOWN} and (p.score < 60 or (p.score = 60 and p.posting_id < '0000000500') or p.score is null) order by p.score desc, p.posting_id desc limit 50", *BASE)
+def feed_second_page(spark, sf):
+    return _row(feed.feed(store(spark, sf), cursor=feed.encode_cursor(60, "0000000500")))
+
+
+@query("select company_slug, company_name, hq_country from companies where not discovered and sector = (select min(sector) from companies)", "companies")
+def company_registry(spark, sf):
+    companies = canonical(spark, sf, "companies")
+    first = companies.agg(F.min("sector").alias("sector"))
+    return feed.company_list(companies).join(first, "sector", "left_semi").select("company_slug", "company_name", "hq_country")
+
+
+# --- facets and map ----------------------------------------------------------------
+
+
+def _facet_sql(dimension: str, value: str, join: str, where: str) -> str:
+    return f"select '{dimension}' as dimension, {value} as value, count(distinct p.posting_id) as n {FROM} {join} where {where} and {value} is not null group by 2"
+
+
+_L, _T = "left join locations l on l.posting_id = p.posting_id", "left join tech t on t.posting_id = p.posting_id"
+_FACET_FILTER = PostingFilter(tiers=("strong", "possible"), sources=("lever", "ashby", "indeed", "workday"), tech_any=("python", "kdb"), countries=("NATION_1", "NATION_2", "NATION_3"))
+_PARTS = {
+    "base": f"{OPEN} and p.tier in ('strong', 'possible')",
+    "sources": "p.source in ('lever', 'ashby', 'indeed', 'workday')",
+    "tech": _near("tech", "x.tech in ('python', 'kdb')"),
+    "countries": _near("locations", "x.country in ('NATION_1', 'NATION_2', 'NATION_3')"),
+}
+
+
+def _without(*left_out: str) -> str:
+    return " and ".join(v for k, v in _PARTS.items() if k not in left_out)
+
+
+@query(
+    " union all ".join([
+        _facet_sql("countries", "l.country", _L, _without("countries")), _facet_sql("cities", "l.city", _L, _without()), _facet_sql("companies", "p.company_slug", "", _without()),
+        _facet_sql("sectors", "c.sector", "", _without()), _facet_sql("sources", "p.source", "", _without("sources")), _facet_sql("seniorities", "p.seniority", "", _without()),
+        _facet_sql("tech", "t.tech", _T, _without("tech")), _facet_sql("rejection_reasons", "v.rejection_reason", "", _without()),
+    ]),
+    *BASE,
+)
+def facet_counts(spark, sf):
+    return facets.facet_counts(store(spark, sf), _FACET_FILTER)
+
+
+_PLACED = "l.city is not null and l.remote_mode in ('remote', 'hybrid')"
+_MODES = _near("locations", "x.remote_mode in ('remote', 'hybrid')")
+
+
+@query(f"select l.country, l.city, count(distinct p.posting_id) as n, min(p.posting_id) as sample {FROM} join locations l on l.posting_id = p.posting_id where {OPEN} and {_MODES} and {_PLACED} group by 1, 2", *BASE)
+def map_locations(spark, sf):
+    return facets.location_counts(store(spark, sf), PostingFilter(remote_modes=("remote", "hybrid")))
+
+
+@query(
+    f"""select total, placed, total - placed as unplaced from (select count(*) as total, count(*) filter ({_near("locations", "x.city is not null and x.remote_mode in ('remote', 'hybrid')")}) as placed {FROM} where {OPEN} and {_MODES})""",
+    *BASE,
+)
+def map_totals(spark, sf):
+    return facets.map_totals(store(spark, sf), PostingFilter(remote_modes=("remote", "hybrid")))
+
+
+@query(
+    f"select coalesce(f.value, s.value) as value, coalesce(f.n, 0) as n from (select p.seniority as value, count(*) as n {FROM} where {OPEN} and p.score >= 80 group by 1) f full join (select 'intern' as value union all select 'never') s on f.value = s.value",
+    *BASE,
+)
+def facet_options(spark, sf):
+    counts = facets.facet(store(spark, sf), "seniorities", PostingFilter(min_score=80))
+    return facets.options(counts, spark.createDataFrame([("intern",), ("never",)], "value string"))
+
+
+# --- reports -------------------------------------------------------------------------
+
+LIVE = "p.is_active and p.is_canonical"
+
+
+@query(
+    f"""select 'companies' as kind, 'all' as key, count(distinct company_slug) as n from postings p where {LIVE}
+    union all select 'sector', c.sector, count(*) from postings p join companies c using (company_slug) where {LIVE} group by 2
+    union all select 'country', l.country, count(distinct p.posting_id) from postings p join locations l using (posting_id) where {LIVE} group by 2""",
+    "postings", "companies", "locations",
+)
+def coverage(spark, sf):
+    s = store(spark, sf)
+    total = reports.coverage_totals(s).select(F.lit("companies").alias("kind"), F.lit("all").alias("key"), F.col("companies").alias("n"))
+    sector = reports.coverage_by_sector(s).select(F.lit("sector").alias("kind"), F.col("sector").alias("key"), "n")
+    country = reports.coverage_by_country(s).select(F.lit("country").alias("kind"), F.col("country").alias("key"), "n")
+    return total.unionByName(sector).unionByName(country)
+
+
+@query(
+    f"select company_slug from companies c where enabled and not discovered and not exists (select 1 from postings p where p.company_slug = c.company_slug and p.is_active and p.last_seen_at >= timestamp '{AS_OF}' - interval '20' day)",
+    "companies", "postings",
+)
+def silent_companies(spark, sf):
+    return reports.silent_companies(store(spark, sf), AS_OF, days=20)
+
+
+_COHORT = f"""cohort as (select *, cast(ceil((epoch(timestamp '{AS_OF}') - epoch(first_seen_at)) / 604800.0) - 1 as int) as week from postings
+    where is_canonical and first_seen_at >= timestamp '{AS_OF}' - interval '28' day and first_seen_at < timestamp '{AS_OF}')"""
+
+
+def _rate(name: str, test: str) -> str:
+    return f"coalesce(round(avg(case when {test} then 1.0 else 0.0 end), 6), 0.0) as {name}"
+
+
+@query(
+    f"""select w.week, count(p.posting_id) as postings, {_rate("seniority", "p.seniority <> 'unknown'")}, {_rate("visa", "p.visa_sponsorship <> 'unknown'")}, {_rate("role", "p.role_family <> 'other'")},
+    {_rate("location", "exists (select 1 from locations l where l.posting_id = p.posting_id and l.country is not null)")}, {_rate("tech", "exists (select 1 from tech t where t.posting_id = p.posting_id)")},
+    {_rate("compensation", "p.salary_min is not null")}
+    from (select cast(unnest(range(4)) as int) as week) w left join (with {_COHORT} select * from cohort) p on p.week = w.week group by w.week""",
+    "postings", "locations", "tech",
+)
+def weekly_resolution(spark, sf):
+    found = reports.weekly_resolution(store(spark, sf), AS_OF)
+    # a week without postings has no rate of its own
+    return found.select("week", "postings", *[F.round(s, 6).alias(s) for s in reports.STAGES])
+
+
+@query(
+    f"""select w.week, count(*) filter (p.tier = 'strong') as strong, count(*) filter (p.tier = 'possible') as possible, count(*) filter (p.tier = 'stretch') as stretch, count(*) filter (p.tier = 'rejected') as rejected
+    from (select cast(unnest(range(4)) as int) as week) w left join (with {_COHORT} select * from cohort) p on p.week = w.week group by w.week""",
+    "postings",
+)
+def tiers_by_week(spark, sf):
+    return reports.tiers_by_week(store(spark, sf), AS_OF)
+
+
+@query("select v.rejection_reason as reason, count(*) as n from verdicts v join postings p using (posting_id) where p.is_canonical and v.rejection_reason is not null group by 1 order by n desc, reason limit 10", "postings", "verdicts")
+def rejection_reasons(spark, sf):
+    return reports.rejection_reasons(store(spark, sf))
+
+
+@query(
+    "select r.resolved, q.queued, q.skipped, r.resolved * 1600 / 40 as gpu_seconds from (select count(*) filter (resolver_stage = 'llm') as resolved from postings) r, (select count(*) as queued, coalesce(sum(attempts), 0)::bigint as skipped from (select o_orderkey % 4 as attempts from orders where o_orderkey % 50 = 0)) q",
+    "postings",
+)
+def llm_load(spark, sf):
+    queue = spark.read.parquet(f"{sf}/orders.parquet").filter("o_orderkey % 50 = 0").select((F.col("o_orderkey") % 4).alias("attempts"))
+    return reports.llm_load(canonical(spark, sf, "postings"), queue)
+
+
+@query("select p.posting_id, p.title, p.company_slug, v.score, v.tier, v.rejection_reason from flags f join postings p using (posting_id) join verdicts v using (posting_id) where f.is_favorite", "postings", "verdicts", "flags")
+def favorites(spark, sf):
+    return reports.favorites(store(spark, sf))
+
+
+def _lift_sql(fav: str, base: str) -> str:
+    return f"""select f.key, f.n as favorites, round(f.n / (select sum(n) from ({fav})), 9) as favorite_share, round(b.n / (select sum(n) from ({base})), 9) as base_share,
+        round((f.n / (select sum(n) from ({fav}))) / (b.n / (select sum(n) from ({base}))), 6) as lift from ({fav}) f join ({base}) b using (key)"""
+
+
+def _rounded_lift(df: DataFrame) -> DataFrame:
+    return df.select("key", "favorites", F.round("favorite_share", 9).alias("favorite_share"), F.round("base_share", 9).alias("base_share"), F.round("lift", 6).alias("lift"))
+
+
+@query(_lift_sql("select company_slug as key, count(*) as n from flags join postings using (posting_id) where is_favorite group by 1", "select company_slug as key, count(*) as n from postings where is_active and is_canonical group by 1"), "postings", "flags")
+def company_lifts(spark, sf):
+    return _rounded_lift(reports.company_lifts(store(spark, sf)))
+
+
+@query(_lift_sql("select tech as key, count(*) as n from flags join tech using (posting_id) where is_favorite group by 1", "select tech as key, count(*) as n from tech join postings using (posting_id) where is_active and is_canonical group by 1"), "postings", "flags", "tech")
+def tech_lifts(spark, sf):
+    return _rounded_lift(reports.tech_lifts(store(spark, sf)))
+
+
+@query("select company_slug, company_name, count(p.posting_id) as n from companies left join (select * from postings where is_active) p using (company_slug) where discovered group by 1, 2", "companies", "postings")
+def discovered_employers(spark, sf):
+    return reports.discovered_employers(store(spark, sf))
+
+
+@query("select company_slug, company_name, count(p.posting_id) as n from companies left join (select * from postings where is_active and is_canonical) p using (company_slug) where not discovered group by 1, 2", "companies", "postings")
+def company_counts(spark, sf):
+    return reports.company_counts(store(spark, sf))
+
+
+# --- duplicates ------------------------------------------------------------------------
+
+_DUP = """dup as (select p.*, u.posting_id is not null as flagged, count(*) filter (not regexp_matches(coalesce(location_raw, ''), '^[0-9].* Location')) over g as named, row_number() over (partition by fingerprint, source, company_slug, content_hash
+    order by u.posting_id is not null desc, p.score desc, p.last_seen_at desc, p.posting_id desc) as place, count(u.posting_id) over g <= 1 as merges
+    from postings p left join flags u using (posting_id) where is_canonical and is_active window g as (partition by fingerprint, source, company_slug, content_hash))"""
+
+
+@query(f"select fingerprint, source, company_slug, content_hash, posting_id, place::int as place, merges from (with {_DUP} select * from dup) where named > 1", "postings", "flags")
+def duplicate_groups(spark, sf):
+    return dedup.duplicate_members(store(spark, sf))
+
+
+@query("select fingerprint, posting_id from (select fingerprint, posting_id, row_number() over (partition by fingerprint order by is_active desc, last_seen_at desc, posting_id) as n from postings where is_canonical) where n = 1", "postings")
+def canonical_rows(spark, sf):
+    return dedup.canonical_by_fingerprint(canonical(spark, sf, "postings")).select("fingerprint", "posting_id")
+
+
+# --- health -------------------------------------------------------------------------------
+
+NOW = "2024-01-31 00:00:00"
+_TRIES = """recent as (select *, row_number() over (partition by source order by started_at desc, run_id desc) as nth from runs),
+    tries as (select *, row_number() over (partition by source order by started_at desc, run_id desc) as place from recent where nth <= 50 and company_slug is null and status <> 'skipped')"""
+
+
+@query(
+    f"""with {_TRIES}, stats as (select source, max(started_at) filter (place = 1) as last_at, max(fetched) filter (place = 1) as last_count, count(*) filter (place <= 3 and status = 'empty') as empties,
+    quantile_cont(fetched, 0.5) filter (place between 2 and 7) as med from tries group by 1)
+    select source, last_count, case when empties = 3 then 'source_mute' when med > 0 and last_count < med * 0.2 then 'volume_drop' end as alert from stats""".replace("with recent", ", recent", 1),
+    "runs",
+)
+def run_alerts(spark, sf):
+    return health.run_alerts(canonical(spark, sf, "runs")).select("source", "last_count", "alert")
+
+
+@query(
+    """, recent as (select *, row_number() over (partition by source order by started_at desc, run_id desc) as nth from runs),
+    latest as (select source, company_slug, arg_max(status, (started_at, run_id)) as status from recent where nth <= 50 and company_slug is not null group by 1, 2)
+    select source, count(*) filter (status in ('ok', 'empty')) as boards_ok, count(*) filter (status in ('error', 'blocked')) as boards_error from latest group by 1""",
+    "runs",
+)
+def board_counts(spark, sf):
+    return health.board_counts(canonical(spark, sf, "runs"))
+
+
+@query(
+    f""", {_TRIES}, streak as (select source, coalesce(min(place) filter (status not in ('error', 'blocked')), max(place) + 1) - 1 as failures, max(status) filter (place = 1) as status, max(ended_at) filter (place = 1) as ended from tries group by 1),
+    judged as (select source, failures::int as failures, status in ('error', 'blocked') and (status = 'blocked' or failures >= 3) as tripped, epoch(ended) + least(30.0 * pow(2.0, failures - 1), 3600.0)::bigint as retry from streak)
+    select source, failures, case when not tripped then 'closed' when epoch(timestamp '{NOW}') >= floor(retry) then 'half_open' else 'open' end as state from judged""",
+    "runs",
+)
+def breaker_state(spark, sf):
+    return health.breaker(canonical(spark, sf, "runs"), NOW).select("source", "failures", "state")
+
+
+@query(
+    f"""select c.company_slug, c.priority from companies c left join (select source, company_slug, max(started_at) as last from runs where company_slug is not null group by 1, 2) r on r.source = c.source and r.company_slug = c.company_slug
+    where enabled and (priority <= 1 or last is null or epoch(timestamp '{NOW}') - floor(epoch(last)) >= case priority when 2 then 86400 when 3 then 604800 end)""",
+    "companies", "runs",
+)
+def due_boards(spark, sf):
+    return health.due_boards(canonical(spark, sf, "companies"), canonical(spark, sf, "runs"), NOW).select("company_slug", "priority")
+
+
+@query(
+    """select source, sum(fetched)::bigint as fetched, sum(new)::bigint as new, sum(updated)::bigint as updated,
+    case when count(*) filter (status = 'blocked') > 0 then 'blocked' when count(*) filter (status <> 'skipped') = 0 then 'skipped' when count(*) filter (status in ('ok', 'empty')) = 0 then 'error' when sum(fetched) > 0 then 'ok' else 'empty' end as status
+    from runs where company_slug is not null group by 1""",
+    "runs",
+)
+def cycle_rows(spark, sf):
+    rows = health.cycle_row(canonical(spark, sf, "runs").filter("company_slug is not null"))
+    return rows.select("source", "fetched", "new", "updated", "status")
+
+
+# --- retention -------------------------------------------------------------------------------
+
+
+@query(
+    f"""select posting_id from postings p where not (not is_active and last_seen_at < timestamp '{AS_OF}' - interval '180' day and posting_id not in (select posting_id from flags)
+    and posting_id not in (select posting_id from applications where posting_id is not null))""",
+    "postings", "flags", "applications",
+)
+def kept_postings(spark, sf):
+    s = store(spark, sf)
+    return retention.kept_postings(s.postings, s.flags, canonical(spark, sf, "applications"), AS_OF).select("posting_id")
+
+
+@query(
+    f"""select source_job_id, posting_id from (select lpad(substr(source_job_id, 2), 10, '0') as posting_id, source_job_id, fetched_at from raw) r left join verdicts v using (posting_id)
+    where ((v.rejection_reason = 'not_quant' and fetched_at < timestamp '{AS_OF}' - interval '90' day) or (coalesce(v.rejection_reason, '') <> 'not_quant' and fetched_at < timestamp '{AS_OF}' - interval '365' day)) is not true""",
+    "raw", "verdicts",
+)
+def kept_payloads(spark, sf):
+    payloads = canonical(spark, sf, "raw").select("source_job_id", "fetched_at", F.lpad(F.substring("source_job_id", 2, 20), 10, "0").alias("posting_id"))
+    return retention.kept_payloads(payloads, canonical(spark, sf, "verdicts"), AS_OF).select("source_job_id", "posting_id")
+
+
+# --- scalars ----------------------------------------------------------------------------------
+
+
+@query(
+    """select source_job_id, sha256(title_raw || chr(31) || description_raw || chr(31) || coalesce(location_raw, '')) as content_hash,
+    trim(regexp_replace(regexp_replace(regexp_replace(regexp_replace(lower(title_raw), '[(\\[][^)\\]]*[)\\]]', ' ', 'g'), '\\b(?:19|20)\\d{2}\\s*(?:start|intake|cohort)\\b', ' ', 'g'), '\\b(?:req|ref|job)[-_ ]?#?\\d+\\b', ' ', 'g'), '[^a-z0-9]+', ' ', 'g')) as title_key,
+    substr(sha256(source || chr(31) || company_slug || chr(31) || source_job_id), 1, 26) as posting_id from raw""",
+    "raw",
+)
+def hashes(spark, sf):
+    raw = canonical(spark, sf, "raw")
+    return raw.select(
+        "source_job_id", text.content_hash(F.col("title_raw"), F.col("description_raw"), F.col("location_raw")).alias("content_hash"), text.fingerprint_title(F.col("title_raw")).alias("title_key"),
+        text.posting_id(F.col("source"), F.col("company_slug"), F.col("source_job_id")).alias("posting_id"),
+    )
+
+
+@query(
+    f"""select posting_id, cast(floor((epoch(timestamp '{AS_OF}') - floor(epoch(coalesce(posted_at, first_seen_at)))) / 86400) as int) as age,
+    case when posted_at < first_seen_at then cast(posted_at as date) else cast(first_seen_at as date) end as feed_day, cast(cast(first_seen_at as date) + interval '5' month as date) as later from postings""",
+    "postings",
+)
+def posting_dates(spark, sf):
+    p = canonical(spark, sf, "postings")
+    feed_day = dates.feed_date(F.col("posted_at"), F.col("first_seen_at")).cast("date")
+    return p.select("posting_id", score.age(AS_OF).alias("age"), feed_day.alias("feed_day"), dates.months_after(F.col("first_seen_at").cast("date"), 5).alias("later"))
+
+
+@query(
+    """select n, m, case when m = 'k' then v * 1000 when m = 'm' then v * 1000000 else v end as amount from (select n, m, try_cast(case when n like '%,%' and n like '%.%' then replace(n, ',', '')
+    when regexp_full_match(n, '\\d{1,3}(,\\d{3})+') then replace(n, ',', '') when regexp_full_match(n, '\\d{1,3}(\\.\\d{3})+') then replace(n, '.', '') else n end as double) as v
+    from (values ('4.500', ''), ('4,500.50', ''), ('175', 'k'), ('1.2', 'm'), ('12,50', ''), ('x', ''), ('1,200,000', '')) t(n, m))"""
+)
+def amounts(spark, sf):
+    rows = spark.createDataFrame([("4.500", ""), ("4,500.50", ""), ("175", "k"), ("1.2", "m"), ("12,50", ""), ("x", ""), ("1,200,000", "")], "n string, m string")
+    return rows.select("n", "m", money.parse_amount(F.col("n"), F.col("m")).cast("double").alias("amount"))
+
+
+# --- normalize and score -----------------------------------------------------------------------
+
+
+@query(
+    """select source_job_id, regexp_matches(description_raw, '(?i)\\bphd\\s+(is\\s+)?required\\b') and not regexp_matches(description_raw, '(?i)\\bphd\\s+preferred\\b') as phd_required,
+    case when regexp_matches(description_raw, '(?i)will not sponsor|must have (the )?(existing )?right to work') or regexp_matches(description_raw, '(?i)remote \\(([a-z ]+) only\\)') then 'no'
+        when regexp_matches(description_raw, '(?i)visa sponsorship (is )?available|relocation support') then 'sponsors' else 'unknown' end as visa_sponsorship,
+    case when description_raw like '%Nous%' then 'fr' when description_raw like '%Wir suchen%' then 'de' else 'en' end as language,
+    array_to_string(list_sort(list_filter(list_value(case when description_raw ilike '%c++%' then 'cpp' end, case when regexp_matches(description_raw, '(?i)\\bpython\\b') then 'python' end, case when regexp_matches(description_raw, '(?i)\\brust\\b') then 'rust' end,
+        case when regexp_matches(description_raw, '(?i),\\s*\\bgo\\b') then 'go' end, case when regexp_matches(description_raw, '(?i)\\blinux\\b') then 'linux' end, case when regexp_matches(description_raw, '(?i)\\bjava\\b') then 'java' end,
+        case when regexp_matches(description_raw, '(?i)\\bsql\\b') then 'sql' end, case when regexp_matches(description_raw, '(?i)\\bfpga\\b') then 'fpga' end, case when description_raw ilike '%kdb+%' then 'kdb' end), lambda x: x is not null)), ',') as tech
+    from raw""",
+    "raw",
+)
+def text_fields(spark, sf):
+    found = normalize.text_fields(canonical(spark, sf, "raw"))
+    return found.select("source_job_id", "phd_required", "visa_sponsorship", "language", F.array_join("tech", ",").alias("tech"))
+
+
+@query(
+    """select t as title, case when t ilike '%trader%' then 'quant_trading' when t ilike '%sales%' then 'other' when t ilike '%data engineer%' then 'data_eng' when t ilike '%risk analyst%' then 'risk'
+    when t ilike '%quantitative developer%' then 'quant_dev' when t ilike '%c++%' then 'quant_dev' when t ilike '%engineer%' or t ilike '%développeur%' then 'swe_platform' when t ilike '%researcher%' then 'quant_research' else 'other' end as role, count(*) as n
+    from (select title_raw as t from raw) group by 1, 2""",
+    "raw",
+)
+def roles(spark, sf):
+    raw = canonical(spark, sf, "raw")
+    # a bare engineer's title may be settled by the description; here titles only
+    return raw.select(F.col("title_raw").alias("title"), normalize.role_family(F.col("title_raw"), F.lit("")).alias("role")).groupBy("title", "role").agg(F.count(F.lit(1)).alias("n"))
+
+
+_SCORE_SQL = """, r as (select p.posting_id, p.title, lower(p.title) as t, p.role_family, p.seniority, p.min_years, p.phd_required, p.visa_sponsorship, p.salary_min, c.sector, c.priority,
+        cast(floor((epoch(timestamp '{as_of}') - floor(epoch(coalesce(p.posted_at, p.first_seen_at)))) / 86400) as int) as age, coalesce((select list(tech) from tech x where x.posting_id = p.posting_id), []) as tech
+        from postings p join companies c using (company_slug)),
+    w as (select *, case when regexp_matches(t, '(^|[^a-z0-9])(sales|recruiter|compliance|audit|account manager)($|[^a-z0-9])') then 'excluded_title' when role_family = 'other' then 'not_quant' when sector = 'tech' then 'off_topic'
+        when min_years > 4 or regexp_matches(t, '(^|[^a-z0-9])(senior|lead|principal|staff|vp|director|head of)($|[^a-z0-9])') then 'senior_only' when phd_required then 'phd_required' when age > 60 then 'stale' end as reject,
+        regexp_matches(t, '(^|[^a-z0-9])(quantitative developer|quant developer|core developer|trading systems engineer)($|[^a-z0-9])') as strong,
+        regexp_matches(t, '(^|[^a-z0-9])(software engineer|c\\+\\+ developer|python developer|platform engineer|quantitative researcher)($|[^a-z0-9])') as possible from r),
+    s as (select *, greatest(0, least(100, case when strong then 35 when possible then 18 else 0 end + case when priority = 1 then 12 else 0 end
+        + case when seniority in ('graduate', 'junior', 'intern') or coalesce(min_years <= 3, false) then 20 else 0 end + case when seniority = 'graduate' then 10 else 0 end
+        + case when list_contains(tech, 'cpp') then 10 else 0 end + case when list_contains(tech, 'python') then 6 else 0 end + case when list_has_any(tech, ['kdb', 'ocaml', 'rust', 'cuda', 'fpga']) then 8 else 0 end
+        + case visa_sponsorship when 'sponsors' then 8 when 'no' then -25 else 0 end + case when age <= 7 then 6 else 0 end + case when salary_min is not null then 3 else 0 end + case when age > 30 then -10 else 0 end)) as total from w),
+    z as (select *, case when reject is not null then 0 else total end as score from s)
+    select posting_id, score::int as score, case when reject is not null then 'rejected' when score >= 70 then 'strong' when score >= 45 then 'possible' when score >= 25 then 'stretch' else 'rejected' end as tier,
+        coalesce(reject, case when score < 25 then 'low_score' end) as rejection_reason from z"""
+
+
+def scored_rows(spark: SparkSession, sf: str) -> DataFrame:
+    s = store(spark, sf)
+    tags = s.tech.groupBy("posting_id").agg(F.array_sort(F.collect_set("tech")).alias("tech"))
+    places = s.locations.groupBy("posting_id").agg(F.collect_list(F.struct("city", "country", "region", "remote_mode")).alias("locations"))
+    rows = s.postings.drop("score", "tier").join(s.companies.select("company_slug", "sector", F.col("priority").alias("rank")), "company_slug")
+    rows = rows.join(tags, "posting_id", "left").join(places, "posting_id", "left")
+    return rows.withColumn("tech", F.coalesce("tech", F.expr("cast(array() as array<string>)")))
+
+
+@query(_SCORE_SQL.replace("{as_of}", "1998-03-01 00:00:00"), "postings", "companies", "tech")
+def verdicts(spark, sf):
+    found = score.evaluate(scored_rows(spark, sf), build_profile(), "1998-03-01 00:00:00")
+    return found.select("posting_id", "score", "tier", "rejection_reason")
+
+
+# --- applications ----------------------------------------------------------------------------------
+
+
+@query(
+    f""", news as (select a.*, coalesce((select max(on_date) from application_events e where e.application_id = a.application_id), a.applied_on) as news from applications a),
+    j as (select *, status in ('applied', 'interview') and news is not null and news + interval '5' month < date '1999-06-01' as abandoned from news)
+    select count(*) as total, count(*) filter (status in ('applied', 'interview') and not coalesce(abandoned, false)) as open, count(*) filter (abandoned) as abandoned,
+    count(*) filter (status = 'interview' or exists (select 1 from application_events e where e.application_id = j.application_id and e.status = 'interview')) as interviews,
+    count(*) filter (status = 'offer') as offers, count(*) filter (status = 'rejected') as rejected, round(avg(case when status <> 'applied' then 1.0 else 0.0 end), 6) as response_rate,
+    median(date_diff('day', applied_on, closed_on)) filter (status = 'rejected' and applied_on is not null and closed_on is not null) as median_days from j""",
+    "applications", "application_events",
+)
+def application_stats(spark, sf):
+    found = applications.stats(applications.with_lifecycle(canonical(spark, sf, "applications"), canonical(spark, sf, "application_events"), "1999-06-01"))
+    return found.withColumn("response_rate", F.round("response_rate", 6))
+
+
+@query(
+    """select cv_id, count(*) as sent, count(*) filter (cv_inferred) as inferred, count(*) filter (a.status = 'interview' or exists (select 1 from application_events e where e.application_id = a.application_id and e.status = 'interview')) as interviews,
+    round(avg(case when status <> 'applied' then 1.0 else 0.0 end), 6) as response_rate from applications a where cv_id is not null group by 1""",
+    "applications", "application_events",
+)
+def cv_stats(spark, sf):
+    rows = applications.with_lifecycle(canonical(spark, sf, "applications"), canonical(spark, sf, "application_events"), "1999-06-01")
+    return applications.cv_stats(rows).withColumn("response_rate", F.round("response_rate", 6))
+
+
+@query("select posting_id, max(application_id) as application_id from applications a where posting_id is not null group by 1", "applications")
+def latest_application(spark, sf):
+    return applications.latest_per_posting(canonical(spark, sf, "applications")).select("posting_id", "application_id")
+
+
+@query("select conv_id::varchar as application_id, count(*) as steps, arg_max(role, turn) as status from conversations group by 1")
+def latest_status(spark, sf):
+    rows = spark.read.parquet(f"{sf}/conversations.parquet").select(F.col("conv_id").cast("string").alias("application_id"), F.col("turn").alias("seq"), F.col("role").alias("status"))
+    return applications.latest_status(rows)
