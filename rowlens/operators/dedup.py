@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from rowlens.operators.store import Store
+from rowlens.session import cut_lineage
 
 GROUP = ["fingerprint", "source", "company_slug", "content_hash"]
 
@@ -41,13 +42,19 @@ def canonical_by_fingerprint(postings: DataFrame) -> DataFrame:
     return postings.filter("is_canonical").withColumn("__n", F.row_number().over(order)).filter("__n = 1").drop("__n")
 
 
-def settle_chains(moves: DataFrame, rounds: int = 8) -> DataFrame:
-    """old_id and new_id with every chain of moves followed to its end: each round doubles the step."""
-    now = moves.select("old_id", "new_id")
+def settle_chains(moves: DataFrame, rounds: int = 64) -> DataFrame:
+    """old_id and new_id with every chain of moves followed to its end.
+
+    Each round doubles the steps taken; most moves form no chain, and then none is
+    needed. Moves in a circle have no end and are an error.
+    """
+    now = cut_lineage(moves.select("old_id", "new_id"))
     for _ in range(rounds):
         nxt = now.select(F.col("old_id").alias("new_id"), F.col("new_id").alias("further"))
-        now = now.join(nxt, "new_id", "left").select("old_id", F.coalesce("further", "new_id").alias("new_id"))
-    return now
+        if now.join(nxt, "new_id", "left_semi").isEmpty():
+            return now
+        now = cut_lineage(now.join(nxt, "new_id", "left").select("old_id", F.coalesce("further", "new_id").alias("new_id")))
+    raise ValueError("moves form a circle")
 
 
 def demote(store: Store, aliases: DataFrame, applications: DataFrame, moves: DataFrame) -> tuple[Store, DataFrame, DataFrame]:
