@@ -15,9 +15,12 @@ Work follows the candidates, not the table count:
   of two or more classes are combined;
 * inside a table's bucket every member is compared with the smallest member, not
   with all others. Buckets whose remaining members still lie in different
-  components after that are worked off exactly: the next 4, 16, 64 ... members
-  are compared with the rest, leaving out pairs already in one component, until
-  no bucket has two components left that were not compared;
+  components after that are worked off exactly. A shingle that no other member of
+  such a bucket has is in no intersection: counted over all of them, it bounds what
+  any two members can have in common. Members that can't be linked at all drop out;
+  the 4, 16, 64 ... members with the fewest shingles of their own are compared with
+  the rest, leaving out pairs in one component or beyond the bound, until no bucket
+  has two components left that were not compared;
 * each candidate pair is confirmed on both full sets, 100 * intersection >= 75 *
   union. Sets are of 64-bit shingle hashes.
 
@@ -42,7 +45,7 @@ import numpy as np
 import pyarrow as pa
 import xxhash
 import zstandard
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from rowlens.llm.common import drop_stage, stage_table, text_or_empty
@@ -177,6 +180,27 @@ def _near(n: str, m: str, percent: int) -> str:
     return f"100 * least({n}, {m}) >= {percent} * greatest({n}, {m})"
 
 
+def _reachable(n: Column, m: Column, r: Column, s: Column, percent: int) -> Column:
+    """Sets of n and m shingles, r and s of which others have too, can be similar enough."""
+    both = F.least(r, s)
+    return 100 * both >= percent * (n + m - both)
+
+
+def own_shingles(texts: DataFrame, nodes: DataFrame) -> DataFrame:
+    """(node, own): how many shingles of a class no other class of ``nodes`` has."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        unpack = zstandard.ZstdDecompressor().decompress
+        for b in batches:
+            for node, packed in zip(b.column(0).to_pylist(), b.column(1)):
+                found = shingle_set(words_of(unpack(packed.as_py()).decode("utf-8", "surrogatepass")))
+                yield pa.record_batch([pa.array(np.full(len(found), node)), pa.array(found.view(np.int64))], names=["node", "shingle"])
+
+    some = texts.join(nodes, texts["doc_id"] == nodes["node"], "left_semi").select("doc_id", "packed")
+    seen = some.mapInArrow(run, "node long, shingle long").groupBy("shingle").agg(F.min("node").alias("node"), F.count(F.lit(1)).alias("m"))
+    return seen.filter("m = 1").groupBy("node").agg(F.count(F.lit(1)).alias("own"))
+
+
 def table_keys(nodes: DataFrame) -> DataFrame:
     """(key, node, n): one key per pair of a class's collections that other classes share."""
     values = nodes.select("node", "n", F.posexplode("keys").alias("c", "h"))
@@ -203,25 +227,42 @@ def links(nodes: DataFrame, docs: DataFrame, percent: int = PERCENT) -> DataFram
     edges = stage_table(_confirmed(tried, texts, percent), "links")
     found = components(edges)
     rest, take = rows.select("key", "node", "n"), 4
+    own: DataFrame | None = None
     while True:
-        label = F.coalesce("component", "node")
-        named = rest.join(found, "node", "left").select("key", "node", "n", label.alias("component"))
+        named = rest.join(found, "node", "left").select("key", "node", "n", F.coalesce("component", "node").alias("component"))
+        if own is not None:
+            named = named.join(own, "node", "left").withColumn("own", F.coalesce("own", F.lit(0)))
+            # not even a set within its own shared part would be similar enough
+            named = named.filter(100 * (F.col("n") - F.col("own")) >= percent * F.col("n"))
         open_keys = named.groupBy("key").agg(F.min("component").alias("low"), F.max("component").alias("high")).filter("low < high")
         rest = stage_table(named.join(open_keys.select("key"), "key"), "open-buckets")
         if rest.isEmpty():
             return found
-        place = F.row_number().over(Window.partitionBy("key").orderBy("node"))
-        ranked = rest.withColumn("place", place)
-        first = ranked.filter(F.col("place") <= take).select("key", F.col("node").alias("b"), F.col("n").alias("m"), F.col("component").alias("other"), F.col("place").alias("before"))
-        pairs = ranked.join(first, "key").filter("place > before and component <> other").filter(_near("n", "m", percent))
-        pairs = pairs.select(F.col("node").alias("a"), "b").distinct().join(tried, ["a", "b"], "left_anti")
-        pairs = stage_table(pairs, "pairs")
+        if own is None:
+            own = stage_table(own_shingles(texts, rest.select("node").distinct()), "own-shingles")
+            rest = rest.select("key", "node", "n")
+            continue
+        place = F.row_number().over(Window.partitionBy("key").orderBy("own", "node"))
+        first = rest.withColumn("place", place).filter(F.col("place") <= take)
+        first = first.groupBy("key").agg(F.array_sort(F.collect_list(F.struct("own", "node", "n", "component"))).alias("firsts"))
+        met = rest.join(first, "key")
+        shared = F.col("n") - F.col("own")
+
+        def worth(f: Column) -> Column:
+            before = (f["own"] < F.col("own")) | ((f["own"] == F.col("own")) & (f["node"] < F.col("node")))
+            return before & (f["component"] != F.col("component")) & _reachable(F.col("n"), f["n"], shared, f["n"] - f["own"], percent)
+
+        options = met.select("node", F.explode(F.transform(F.filter("firsts", worth), lambda f: f["node"])).alias("other"))
+        pairs = options.select(F.greatest("node", "other").alias("a"), F.least("node", "other").alias("b")).distinct()
+        pairs = stage_table(pairs.join(tried, ["a", "b"], "left_anti"), "pairs")
         tried = tried.unionByName(pairs)
         more = stage_table(_confirmed(pairs, texts, percent), "links")
         if not more.isEmpty():
             edges = edges.unionByName(more)
             found = components(edges)
-        rest = ranked.filter(F.col("place") > take).select("key", "node", "n")
+        last = F.element_at("firsts", -1)
+        behind = (F.col("own") > last["own"]) | ((F.col("own") == last["own"]) & (F.col("node") > last["node"]))
+        rest = met.filter(behind).select("key", "node", "n")
         take *= 4
 
 
