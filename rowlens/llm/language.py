@@ -8,7 +8,10 @@ to ``DICTIONARY_BYTES`` in all. Everything else covers all rows and whole texts.
 
 Compared is what tells languages apart: lower-cased letters, everything else as
 one blank. Texts below ``SHORT_BYTES`` of such letters are compressed with the
-strategy that finds matches of three bytes. Where sizes tie, the language with
+strategy that finds matches of three bytes. Texts above ``PIECE_BYTES`` are
+compressed in equal pieces, each with the fresh dictionaries, and the sizes of all
+pieces are added up: what a dictionary saves would else be lost against the size of
+a long text, which zstandard learns from the text itself. Where sizes tie, the language with
 more training rows wins. The margin is the relative difference to the second
 smallest size; ``score`` rises with it, from 0 at a tie to 1. A row is rejected
 when it has no letter, or when its margin is narrow although it has
@@ -40,6 +43,7 @@ SAMPLE_DOCS = 200
 DICTIONARY_BYTES = 256 << 10
 MAX_LANGS = 64
 LEVEL, SHORT_LEVEL, SHORT_BYTES = 5, 19, 1024
+PIECE_BYTES = 32 << 10
 #: Rows whose best size is less than this share under the second best are rejected, if they have so many bytes of letters.
 MIN_MARGIN, JUDGED_BYTES = 0.01, 256
 
@@ -75,11 +79,12 @@ class Judge:
 
     def __init__(self, dictionaries: dict[str, bytes]):
         self.langs = list(dictionaries)
-        self.long = [self._packer(d, zstandard.ZstdCompressionParameters.from_level(LEVEL, dict_size=len(d), write_content_size=0, write_dict_id=0)) for d in dictionaries.values()]
-        self.short = [
-            self._packer(d, zstandard.ZstdCompressionParameters.from_level(SHORT_LEVEL, source_size=SHORT_BYTES, dict_size=len(d), min_match=3, write_content_size=0, write_dict_id=0))
-            for d in dictionaries.values()
-        ]
+        # one set of parameters for all, made for the largest dictionary, so that sizes differ by content only
+        most = max(map(len, dictionaries.values()), default=0)
+        long = zstandard.ZstdCompressionParameters.from_level(LEVEL, dict_size=most, write_content_size=0, write_dict_id=0)
+        short = zstandard.ZstdCompressionParameters.from_level(SHORT_LEVEL, source_size=SHORT_BYTES, dict_size=most, min_match=3, write_content_size=0, write_dict_id=0)
+        self.long = [self._packer(d, long) for d in dictionaries.values()]
+        self.short = [self._packer(d, short) for d in dictionaries.values()]
 
     @staticmethod
     def _packer(content: bytes, how: zstandard.ZstdCompressionParameters) -> zstandard.ZstdCompressor:
@@ -92,7 +97,9 @@ class Judge:
         if not self.langs or not LETTER.search(text):
             return UNKNOWN, 0.0, 0.0, 0
         body = only_letters(text)
-        sizes = [len(p.compress(body)) for p in (self.short if len(body) < SHORT_BYTES else self.long)]
+        count = -(-len(body) // PIECE_BYTES)
+        parts = [body[len(body) * k // count : len(body) * (k + 1) // count] for k in range(count)]
+        sizes = [sum(len(p.compress(part)) for part in parts) for p in (self.short if len(body) < SHORT_BYTES else self.long)]
         best = min(sizes)
         lang = self.langs[sizes.index(best)]
         if len(sizes) == 1:

@@ -166,6 +166,24 @@ def test_language(odd, docs):
     assert language.accepted(docs).count() >= 0.97 * docs.count()
 
 
+def test_language_of_very_long_texts(docs):
+    by_lang = defaultdict(list)
+    for r in docs.orderBy("doc_id").collect():
+        if r.text:
+            by_lang[r.lang].append(r.text)
+    judge = language.Judge({lang: language.only_letters(" ".join(found[::2]))[: language.DICTIONARY_BYTES] for lang, found in by_lang.items()})
+    r = random.Random(4)
+    for lang, found in by_lang.items():
+        words = " ".join(found[1::2]).split()
+        parts = [" ".join(r.choices(words, k=4_000)) for _ in range(120)]
+        judged = [judge(p) for p in parts[:10]]
+        assert all(j[0] == lang and j[2] >= language.MIN_MARGIN for j in judged)
+        # new word orders, and one text over and over
+        for long in (" ".join(parts), " ".join([parts[0]] * 120)):
+            found_lang, _, margin, size = judge(long)
+            assert found_lang == lang and size > 1_500_000 and margin >= 0.7 * min(j[2] for j in judged)
+
+
 def test_main_text(spark):
     def page(k):
         story = "".join(f"<p>Part {j} of story {k} &amp; more\n text</p>" for j in range(3))
