@@ -3,8 +3,8 @@
 The templates below are short notices, with their label and mandatory key
 phrases. Their words with positions are the index, a constant table. How rare a
 word is, the corpus says: document frequencies of all template words are counted
-over all documents, and only words in at most ``RARE_SHARE`` of them are looked
-up. For a document, its ``LOOKED_UP`` template words of highest inverse
+over all documents. They order the lookup only, no word is left out for being
+frequent. For a document, its ``LOOKED_UP`` template words of highest inverse
 document frequency are looked up with their positions; document position minus
 template position is where the template would begin, and the postings that agree
 on template and begin are intersected by counting their distinct words. A
@@ -56,7 +56,6 @@ TEMPLATES = (
     ("bsd", "bsd", "redistribution and use in source and binary forms with or without modification are permitted", ("redistribution and use", "source and binary forms")),
     ("mpl-2", "mpl", "subject to the terms of the mozilla public license v 2 0", ("mozilla public license",)),
 )
-RARE_SHARE = 0.1
 LOOKED_UP = 4
 AGREEING = 2
 
@@ -110,11 +109,11 @@ def with_words(docs: DataFrame) -> DataFrame:
 
 
 def idf_table(rows: DataFrame) -> dict[str, float]:
-    """Inverse document frequency of every rare template word, counted over all documents; at most the vocabulary."""
+    """Inverse document frequency of every template word that some document has, counted over all documents."""
     seen = rows.select(F.explode(F.array_intersect("words", _strings(VOCABULARY))).alias("word"))
     counts = {r["word"]: r["count"] for r in seen.groupBy("word").count().collect()}
     total = rows.count()
-    return {w: math.log((1 + total) / (1 + n)) for w, n in counts.items() if n <= max(RARE_SHARE * total, 1)}
+    return {w: math.log((1 + total) / (1 + n)) for w, n in counts.items()}
 
 
 def _with_base(rows: DataFrame) -> DataFrame:
@@ -162,7 +161,9 @@ def template_labels(rows: DataFrame, idf: dict[str, float]) -> DataFrame:
     by = ["doc_id", "same", "chars", "template", "label", "reach", "agreeing", "begin"]
     words = hits.groupBy(*by, "word").agg(F.max("idf").alias("idf"))
     places = words.groupBy(*by).agg(F.sum("idf").alias("weight"), F.count(F.lit(1)).alias("n")).filter("n >= agreeing")
-    best = places.groupBy("doc_id", "same", "chars", "label").agg(F.max(F.least(F.lit(1.0), F.col("weight") / F.col("reach"))).alias("support"))
+    # nothing tells where every document has every word
+    support = F.when(F.col("reach") > 0, F.least(F.lit(1.0), F.col("weight") / F.col("reach"))).otherwise(1.0)
+    best = places.groupBy("doc_id", "same", "chars", "label").agg(F.max(support).alias("support"))
     return best.groupBy("doc_id", "same", "chars").agg(F.collect_list(F.struct("label", "support")).alias("hits"))
 
 

@@ -221,6 +221,18 @@ def test_licenses(odd, docs):
     assert license.scan(odd.limit(0)).count() == 0
 
 
+def labels_of(spark, texts):
+    rows = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    return {r.doc_id: (r.labels, r.score) for r in license.scan(rows).collect()}
+
+
+def test_licenses_of_a_frequent_notice(spark):
+    notice = "Licensed under CC BY-NC 4.0"
+    got = labels_of(spark, [f"Text {k} of many. {notice if k % 2 else 'All is said.'}" for k in range(40)])
+    assert all(labels == ("cc-by-nc" if k % 2 else "") and (score > 0) == bool(k % 2) for k, (labels, score) in got.items())
+    assert set(labels_of(spark, [notice] * 3).values()) == {("cc-by-nc", 1.0)}
+
+
 def test_packing(odd, docs, library):
     for frame in (odd, docs):
         rows = packing.packed_documents(frame).collect()
