@@ -3,23 +3,25 @@
 The templates below are short notices, with their label and mandatory key
 phrases. Their words with positions are the index, a constant table. How rare a
 word is, the corpus says: document frequencies of all template words are counted
-over all documents. They order the lookup only, no word is left out for being
-frequent. For a document, its ``LOOKED_UP`` template words of highest inverse
-document frequency are looked up with their positions; document position minus
-template position is where the template would begin, and the postings that agree
-on template and begin are intersected by counting their distinct words. A
-template counts at a begin when ``AGREEING`` of its rare words (all, if it has
-fewer) are found there and all its key phrases stand in the document at their
-place relative to that begin. Its support is the inverse document frequency
-found there against the most that ``LOOKED_UP`` of its words could bring.
+over all documents. They choose what is looked up, no word is left out for being
+frequent: of every template the ``LOOKED_UP`` rarest words of its key phrases,
+which no occurrence can lack, at all their places in the document. Document
+position minus template position is where the template would begin, and the
+postings that agree on template and begin are intersected by counting their
+distinct words. A template counts at a begin when all its looked-up words are
+found there and all its key phrases stand in the document at their place relative
+to that begin, so the lookup loses nothing: neither other notices nor stray words
+nor the text's length matter. Its support is the inverse document frequency of its
+words that stand at their places, against the most that ``SUPPORTING`` of its words
+could bring.
 
 Base results are exact and stay: the places where the words of a fixed phrase
 stand one after another.
 
 Words are runs of ASCII letters and digits and of characters beyond ASCII; A-Z
-count as a-z. Only documents with some rare template word reach the index, their
-looked-up words are rows keyed by document, template and begin, so no document's
-or word's rows meet in one task.
+count as a-z. Only documents with all looked-up words of a template reach the index, their
+looked-up words are rows keyed by document, template and begin, each with the few
+words around it, so no document's or word's rows meet in one task.
 
 Defined results: null text counts as empty and has no words; a null id stays
 null; rows that repeat id and text get equal results; an empty table gives an
@@ -56,8 +58,10 @@ TEMPLATES = (
     ("bsd", "bsd", "redistribution and use in source and binary forms with or without modification are permitted", ("redistribution and use", "source and binary forms")),
     ("mpl-2", "mpl", "subject to the terms of the mozilla public license v 2 0", ("mozilla public license",)),
 )
-LOOKED_UP = 4
-AGREEING = 2
+LOOKED_UP = 2
+SUPPORTING = 4
+#: Words of the longest template.
+LONGEST = max(len(notice.split(" ")) for _, _, notice, _ in TEMPLATES)
 
 
 def _index() -> list[tuple[str, int, str]]:
@@ -128,39 +132,68 @@ def _with_base(rows: DataFrame) -> DataFrame:
 
 
 def _verified() -> Column:
-    """All key phrases of the row's template at their place relative to ``begin``."""
+    """All key phrases of the row's template at their place relative to ``begin``, a place in ``around``."""
     found = F.lit(False)
     for name in {t for t, *_ in _key_places()}:
         there = F.lit(True)
         for t, phrase, at in _key_places():
             for j, w in enumerate(phrase.split(" ")):
-                there = there & (F.get("words", F.col("begin") + at + j) == w) if t == name else there
+                there = there & (F.get("around", F.col("begin") + at + j) == w) if t == name else there
         found = F.when(F.col("template") == name, F.coalesce(there, F.lit(False))).otherwise(found)
     return found
 
 
+def _weight(idf: dict[str, float]) -> Column:
+    """Inverse document frequency of the distinct words of the row's template that stand at their place."""
+    found = F.lit(0.0)
+    for name, _, notice, _ in TEMPLATES:
+        total = F.lit(0.0)
+        places: dict[str, list[int]] = {}
+        for at, w in enumerate(notice.split(" ")):
+            places.setdefault(w, []).append(at)
+        for w, own in sorted(places.items()):
+            there = F.lit(False)
+            for at in own:
+                there = there | F.coalesce(F.get("around", F.col("begin") + at) == w, F.lit(False))
+            total = total + F.when(there, idf.get(w, 0.0)).otherwise(0.0)
+        found = F.when(F.col("template") == name, total).otherwise(found)
+    return found
+
+
+def looked_up(idf: dict[str, float]) -> dict[str, list[str]]:
+    """The rarest words of every template's key phrases; templates with a key word that no document has can't occur."""
+    found = {}
+    for name, _, _, phrases in TEMPLATES:
+        own = {w for p in phrases for w in p.split(" ")}
+        if own <= set(idf):
+            found[name] = sorted(own, key=lambda w: (-idf[w], w))[:LOOKED_UP]
+    return found
+
+
 def template_labels(rows: DataFrame, idf: dict[str, float]) -> DataFrame:
     """doc_id, same, chars and hits (label, support) of documents with a verified template."""
     spark = rows.sparkSession
-    rare = sorted(idf, key=lambda w: (-idf[w], w))
-    # an intersection keeps the order of its first side: highest inverse document frequency first
-    near = rows.withColumn("own", F.array_intersect(_strings(rare), F.col("words"))).filter("size(own) > 0")
-    near = near.withColumn("top", F.slice("own", 1, LOOKED_UP))
+    chosen = looked_up(idf)
+    own = F.array_intersect(_strings(sorted({w for ws in chosen.values() for w in ws})), F.col("words"))
+    # words of the templates whose looked-up words are all in the document
+    top = F.array_distinct(F.flatten(F.array(*[F.when(F.size(F.array_intersect("own", _strings(ws))) == len(ws), _strings(ws)).otherwise(_strings([])) for ws in chosen.values()]))) if chosen else _strings([])
+    near = rows.withColumn("own", own).filter("size(own) > 0").withColumn("top", top).filter("size(top) > 0")
+    # the words before and behind, as far as a template reaches; "lead" is the word's own place among them
     placed = F.filter(F.transform("words", lambda w, i: F.struct(w.alias("word"), i.alias("at"))), lambda x: F.array_contains("top", x["word"]))
-    own = near.select("doc_id", "same", "chars", "words", F.explode(placed).alias("x"))
+    lead = lambda x: F.least(x["at"], F.lit(LONGEST))
+    placed = F.transform(placed, lambda x: F.struct(x["word"].alias("word"), x["at"].alias("at"), lead(x).alias("lead"), F.slice("words", x["at"] - lead(x) + 1, lead(x) + LONGEST).alias("around")))
+    postings = near.select("doc_id", "same", "chars", F.explode(placed).alias("x")).select("doc_id", "same", "chars", "x.*")
     # constant tables of the templates, a few hundred rows at most: they may be broadcast
-    rare_of: dict[str, list[str]] = {}
-    for t, _, w in _index():
-        if w in idf and w not in rare_of.setdefault(t, []):
-            rare_of[t].append(w)
-    reach = {t: sum(sorted((idf[w] for w in own_words), reverse=True)[:LOOKED_UP]) for t, own_words in rare_of.items()}
-    index = [(t, label, at, w, idf[w], reach[t], min(AGREEING, len(rare_of[t]))) for t, label, *_ in TEMPLATES for n, at, w in _index() if n == t and w in idf]
-    table = spark.createDataFrame(index, "template string, label string, t_at int, word string, idf double, reach double, agreeing int")
-    hits = own.select("doc_id", "same", "chars", "words", F.col("x.word").alias("word"), F.col("x.at").alias("at")).join(F.broadcast(table), "word")
-    hits = hits.withColumn("begin", F.col("at") - F.col("t_at")).filter(_verified()).drop("words")
-    by = ["doc_id", "same", "chars", "template", "label", "reach", "agreeing", "begin"]
-    words = hits.groupBy(*by, "word").agg(F.max("idf").alias("idf"))
-    places = words.groupBy(*by).agg(F.sum("idf").alias("weight"), F.count(F.lit(1)).alias("n")).filter("n >= agreeing")
+    words_of = {t: {w for n, _, w in _index() if n == t and w in idf} for t in chosen}
+    reach = {t: sum(sorted((idf[w] for w in own_words), reverse=True)[:SUPPORTING]) for t, own_words in words_of.items()}
+    label_of = {t: label for t, label, *_ in TEMPLATES}
+    index = [(t, label_of[t], at, w, reach[t], len(chosen[t])) for t, at, w in _index() if w in chosen.get(t, ())]
+    table = spark.createDataFrame(index, "template string, label string, t_at int, word string, reach double, agreeing int")
+    hits = postings.join(F.broadcast(table), "word").withColumn("begin", F.col("lead") - F.col("t_at")).filter(_verified())
+    hits = hits.select("doc_id", "same", "chars", "template", "label", "reach", "agreeing", (F.col("at") - F.col("t_at")).alias("start"), "word", _weight(idf).alias("weight"))
+    by = ["doc_id", "same", "chars", "template", "label", "reach", "agreeing", "start"]
+    words = hits.groupBy(*by, "word").agg(F.max("weight").alias("weight"))
+    places = words.groupBy(*by).agg(F.max("weight").alias("weight"), F.count(F.lit(1)).alias("n")).filter("n >= agreeing")
     # nothing tells where every document has every word
     support = F.when(F.col("reach") > 0, F.least(F.lit(1.0), F.col("weight") / F.col("reach"))).otherwise(1.0)
     best = places.groupBy("doc_id", "same", "chars", "label").agg(F.max(support).alias("support"))

@@ -233,6 +233,23 @@ def test_licenses_of_a_frequent_notice(spark):
     assert set(labels_of(spark, [notice] * 3).values()) == {("cc-by-nc", 1.0)}
 
 
+def test_licenses_of_several_notices(spark, docs):
+    bsd, sa = "Redistribution and use in source and binary forms, with or without modification, are permitted.", "Licensed under CC BY-SA 4.0."
+    mpl = "Subject to the terms of the Mozilla Public License, v. 2.0."
+    stray = "hereby obtaining mozilla redistribution nc sa permitted binary granted charge forms "
+    texts = [f"{bsd} {sa}", f"{bsd} {mpl} {sa}", f"{stray * 300}{sa}{stray * 300}", f"{sa} {stray}", stray, "cc by nc", "by nc 4 0 cc", "mozilla public license", "Lesser General Public License", ""]
+    texts += [f"plain text number {k}" for k in range(200)] + [r.text or "" for r in docs.select("text").collect()]
+    got = labels_of(spark, texts)
+    for k, text in enumerate(texts):
+        words = WORD.findall("".join(chr(ord(c) + 32) if "A" <= c <= "Z" else c for c in text))
+        want = {label for phrase, label in license.PHRASES.items() if f" {phrase} " in f" {' '.join(words)} "}
+        for _, label, notice, phrases in license.TEMPLATES:
+            places = [(f" {notice} ".split(f" {p} ")[0].count(" "), p.split(" ")) for p in phrases]
+            if any(all(b + at >= 0 and words[b + at : b + at + len(own)] == own for at, own in places) for b in range(-20, len(words))):
+                want.add(label)
+        assert got[k][0] == ",".join(sorted(want)) and (got[k][1] > 0) == bool(want), (k, text[:80])
+
+
 def test_packing(odd, docs, library):
     for frame in (odd, docs):
         rows = packing.packed_documents(frame).collect()
