@@ -2,14 +2,17 @@
 
 All pages of a host are merged into one style tree: its nodes are the block-level
 paths (tag, class and id, digits dropped) that the host's pages share. For every
-node with text the host's distinct pages vote with the node's content: its
+node with text the host's distinct main contents vote with the node's content: its
 importance is the entropy of those contents over the pages, 0 where all pages
 carry the same text and 1 where every page has its own. Pages of hosts with few
 pages say little, so ``PRIOR_PAGES`` pages' worth of a prior is mixed in: 1
 under an article or main element, 0 where the path names page furniture (menus,
 headers, footers, side bars, notices, adverts, forms, comments), one half
-otherwise. Equal pages of a host count once. A page keeps the blocks of the
-nodes whose importance is at least ``KEEP``; furniture is never kept.
+otherwise. Pages of a host with the same main content (the blocks under article or
+main elements, without any all that are not furniture) count once, whatever else
+differs in them. A page keeps the blocks of the nodes whose importance is at least
+``KEEP``; furniture is never kept, and entropy alone removes nothing from under an
+article or main element.
 
 Scale: a page becomes one small row per node; those are counted with partial
 aggregation, so a host with a third of all pages reaches no task as a whole. A
@@ -152,7 +155,7 @@ def _signed(x: int) -> int:
 
 
 def node_contents(pages: DataFrame) -> DataFrame:
-    """One row per page and node: host, page hash, path, prior, content hash."""
+    """One row per page and node: host, hash of the main content, path, prior, content hash."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -160,26 +163,29 @@ def node_contents(pages: DataFrame) -> DataFrame:
             for url, page in zip(b.column(0).to_pylist(), b.column(1)):
                 page = page.as_py()
                 of: dict[int, tuple[float, xxhash.xxh64]] = {}
-                for path, prior, text in blocks(page):
+                whole = blocks(page)
+                for path, prior, text in whole:
                     of.setdefault(path, (prior, xxhash.xxh64()))[1].update(text + "\n")
-                whole = _signed(xxhash.xxh64_intdigest(page or ""))
+                most = max((prior for _, prior, _ in whole), default=0.0)
+                main = _signed(xxhash.xxh64_intdigest("\n".join(text for _, prior, text in whole if prior == most)))
                 host = host_of(url)
-                out.extend((host, whole, _signed(path), prior, _signed(h.intdigest())) for path, (prior, h) in of.items())
+                out.extend((host, main, _signed(path), prior, _signed(h.intdigest())) for path, (prior, h) in of.items())
             columns = list(zip(*out)) or [[]] * 5
             kinds = (pa.string(), pa.int64(), pa.int64(), pa.float64(), pa.int64())
-            yield pa.record_batch([pa.array(c, t) for c, t in zip(columns, kinds)], names=["host", "page", "path", "prior", "content"])
+            yield pa.record_batch([pa.array(c, t) for c, t in zip(columns, kinds)], names=["host", "main", "path", "prior", "content"])
 
-    return pages.select("url", "html").mapInArrow(run, "host string, page long, path long, prior double, content long")
+    return pages.select("url", "html").mapInArrow(run, "host string, main long, path long, prior double, content long")
 
 
 def importance(pages: DataFrame) -> DataFrame:
-    """host, path, n pages, entropy and importance of every node of every host's style tree."""
-    once = node_contents(pages).groupBy("host", "path", "page").agg(F.max("prior").alias("prior"), F.first("content").alias("content"))
+    """host, path, n pages of distinct main content, entropy and importance of every node of every host's style tree."""
+    once = node_contents(pages).groupBy("host", "path", "main").agg(F.max("prior").alias("prior"), F.min("content").alias("content"))
     each = once.groupBy("host", "path", "content").agg(F.count(F.lit(1)).alias("n"), F.max("prior").alias("prior"))
     nodes = each.groupBy("host", "path").agg(F.sum("n").alias("pages"), F.max("prior").alias("prior"), F.sum(F.col("n") * F.log("n")).alias("nlogn"))
     spread = F.when(F.col("pages") > 1, F.least(F.lit(1.0), (F.log("pages") - F.col("nlogn") / F.col("pages")) / F.log("pages"))).otherwise(F.col("prior"))
     mixed: Column = (F.col("pages") * F.col("entropy") + PRIOR_PAGES * F.col("prior")) / (F.col("pages") + PRIOR_PAGES)
-    return nodes.withColumn("entropy", spread).select("host", "path", "pages", "prior", "entropy", F.when(F.col("prior") == 0, 0.0).otherwise(mixed).alias("importance"))
+    weighed = F.when(F.col("prior") == 0, 0.0).when(F.col("prior") == 1, F.greatest(mixed, F.lit(KEEP))).otherwise(mixed)
+    return nodes.withColumn("entropy", spread).select("host", "path", "pages", "prior", "entropy", weighed.alias("importance"))
 
 
 def extract(pages: DataFrame) -> DataFrame:

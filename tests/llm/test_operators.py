@@ -198,6 +198,18 @@ def test_main_text(spark):
     assert html.extract(df.limit(0)).count() == 0
 
 
+def test_main_text_of_copies(spark):
+    # three of four pages are one article, and differ in a script's number only; the others share its first heading
+    def page(k):
+        story = k if k % 4 == 0 else "copied"
+        return f"<body><script>var n={k}</script><div>All rights reserved</div><article><h2>Abstract</h2><h1>Title {story}</h1><p>Story {story}</p></article></body>"
+
+    df = spark.createDataFrame([(k, f"https://a.example/{k}", page(k)) for k in range(400)], "page_id long, url string, html string")
+    for r in html.extract(df).collect():
+        story = r.page_id if r.page_id % 4 == 0 else "copied"
+        assert r.text == f"Abstract\nTitle {story}\nStory {story}"
+
+
 WORD = re.compile(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
 
 
