@@ -8,7 +8,9 @@ carry the same text and 1 where every page has its own. Pages of hosts with few
 pages say little, so ``PRIOR_PAGES`` pages' worth of a prior is mixed in: 1
 under an article or main element, 0 where the path names page furniture (menus,
 headers, footers, side bars, notices, adverts, forms, comments), one half
-otherwise. Pages of a host with the same main content (the blocks under article or
+otherwise. Names of class, id and role never make furniture of html, body, main
+and article elements or of what holds a main or article element; such a main or
+article has the prior one half, and the tree decides. Pages of a host with the same main content (the blocks under article or
 main elements, without any all that are not furniture) count once, whatever else
 differs in them. A page keeps the blocks of the nodes whose importance is at least
 ``KEEP``; furniture is never kept, and entropy alone removes nothing from under an
@@ -76,42 +78,54 @@ def host_of(url: str | None) -> str:
 
 
 class _Node:
-    __slots__ = ("tag", "path", "prior")
+    __slots__ = ("tag", "path", "parent", "named", "holds", "prior", "doubt")
 
-    def __init__(self, tag: str, path: int, prior: float):
-        self.tag, self.path, self.prior = tag, path, prior
+    def __init__(self, tag: str, path: int, parent: _Node | None, named: bool):
+        self.tag, self.path, self.parent, self.named = tag, path, parent, named
+        self.holds, self.doubt, self.prior = False, False, 0.5
 
 
 def _child(parent: _Node, tag: str, attributes: str) -> _Node:
     names = [DIGITS.sub("", " ".join(g for g in m.groups()[1:] if g)).lower() for m in ATTRIBUTE.finditer(attributes)]
     words = {w for n in names for w in NAME.findall(n)}
-    prior = parent.prior
-    if prior and (tag in FURNITURE_TAGS or words & FURNITURE_NAMES or (tag == "header" and prior < 1)):
-        prior = 0.0
-    elif prior and tag in CONTENT_TAGS:
-        prior = 1.0
     path = xxhash.xxh64_intdigest(f"{parent.path}/{tag}/{' '.join(sorted(words))}")
-    return _Node(tag, path, prior)
+    node = _Node(tag, path, parent, bool(words & FURNITURE_NAMES) and tag not in ("html", "body"))
+    above: _Node | None = node if tag in CONTENT_TAGS else None
+    while above and not above.holds:
+        above.holds, above = True, above.parent
+    return node
+
+
+def _weigh(node: _Node) -> None:
+    """Prior of a node, its parent's being known; all of the page must be read, as ``holds`` depends on what follows."""
+    parent = node.parent
+    node.doubt = parent.doubt or (node.named and node.holds)
+    if not parent.prior or node.tag in FURNITURE_TAGS or (node.named and not node.holds) or (node.tag == "header" and parent.prior < 1):
+        node.prior = 0.0
+    elif node.doubt:
+        node.prior = 0.5
+    else:
+        node.prior = 1.0 if node.tag in CONTENT_TAGS else parent.prior
+
+
+#: End tags of raw elements; nothing else ends them, whatever looks like a tag in their content.
+RAW_END = {tag: re.compile(rf"</{tag}(?![^\s/>])[^>]*>?", re.I) for tag in RAW}
 
 
 def blocks(page: str | None) -> list[tuple[int, float, str]]:
     """(path, prior, text) of every block with text, in page order."""
-    root = _Node("", 0, 0.5)
-    stack, found, open_text = [root], [], []
-    at, raw = 0, ""
+    root = _Node("", 0, None, False)
+    stack, made, found, open_text = [root], [], [], []
+    page = page or ""
+    at = 0
 
     def flush() -> None:
         text = " ".join(entities.unescape("".join(open_text)).split())
         if text:
-            found.append((stack[-1].path, stack[-1].prior, text))
+            found.append((stack[-1], text))
         open_text.clear()
 
-    page = page or ""
-    for m in TAG.finditer(page):
-        if raw:
-            if m[1] and m[2].lower() == raw:
-                raw, at = "", m.end()
-            continue
+    while m := TAG.search(page, at):
         open_text.append(page[at : m.start()])
         at = m.end()
         tag = (m[2] or "").lower()
@@ -119,7 +133,8 @@ def blocks(page: str | None) -> list[tuple[int, float, str]]:
             continue
         if tag in RAW:
             if not m[1] and not m[3].rstrip().endswith("/"):
-                raw = tag
+                end = RAW_END[tag].search(page, at)
+                at = end.end() if end else len(page)
             continue
         if tag == "br":
             open_text.append(" ")
@@ -144,10 +159,13 @@ def blocks(page: str | None) -> list[tuple[int, float, str]]:
                 if stack[k].tag in fence:
                     break
         stack.append(_child(stack[-1], tag, m[3]))
-    if not raw:
-        open_text.append(page[at:])
+        made.append(stack[-1])
+    open_text.append(page[at:])
     flush()
-    return found
+    # parents stand before their children
+    for node in made:
+        _weigh(node)
+    return [(node.path, node.prior, text) for node, text in found]
 
 
 def _signed(x: int) -> int:
@@ -162,10 +180,12 @@ def node_contents(pages: DataFrame) -> DataFrame:
             out: list[tuple] = []
             for url, page in zip(b.column(0).to_pylist(), b.column(1)):
                 page = page.as_py()
-                of: dict[int, tuple[float, xxhash.xxh64]] = {}
+                of: dict[int, list] = {}
                 whole = blocks(page)
                 for path, prior, text in whole:
-                    of.setdefault(path, (prior, xxhash.xxh64()))[1].update(text + "\n")
+                    one = of.setdefault(path, [prior, xxhash.xxh64()])
+                    one[0] = max(one[0], prior)
+                    one[1].update(text + "\n")
                 most = max((prior for _, prior, _ in whole), default=0.0)
                 main = _signed(xxhash.xxh64_intdigest("\n".join(text for _, prior, text in whole if prior == most)))
                 host = host_of(url)

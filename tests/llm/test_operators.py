@@ -210,6 +210,22 @@ def test_main_text_of_copies(spark):
         assert r.text == f"Abstract\nTitle {story}\nStory {story}"
 
 
+def test_main_text_keeps_whole_pages(spark):
+    loop = "<script>for(i=0;i<n;i++){}</SCRIPT >"
+    forms = {
+        "head": (f"<html><head>{loop}</head><body><article><p>One {{k}}</p></article></body></html>", "One {k}"),
+        "inside": (f"<article><p>One {{k}}</p>{loop}<p>Two {{k}}</p></article><script>a<b</script>", "One {k}\nTwo {k}"),
+        "body": ("<body class='has-sidebar'><div class=sidebar>All {k}</div><article><p>One {k}</p></article></body>", "One {k}"),
+        "article": ("<article class='post related'><p>One {k}</p></article><nav>Home</nav>", "One {k}"),
+        "main": ("<main id=search role=main><p>One {k}</p></main>", "One {k}"),
+        "holder": ("<div class='with-sidebar'><h1>Title {k}</h1><div><article><p>One {k}</p></article></div></div><div class=related>More {k}</div>", "Title {k}\nOne {k}"),
+    }
+    rows = [(k, f"https://{name}.example/{k}", form.replace("{k}", str(k))) for name, (form, _) in forms.items() for k in range(20)]
+    for r in html.extract(spark.createDataFrame(rows, "page_id long, url string, html string")).collect():
+        name = r.url.split("/")[2].split(".")[0]
+        assert r.text == forms[name][1].replace("{k}", str(r.page_id)), name
+
+
 WORD = re.compile(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
 
 
