@@ -14,16 +14,31 @@ Work follows the candidates, not the table count:
 * a collection value that no other class has can't meet anything, so only values
   of two or more classes are combined;
 * inside a table's bucket every member is compared with the smallest member, not
-  with all others. Buckets whose remaining members still lie in different
-  components after that are worked off exactly. A shingle that no other member of
-  such a bucket has is in no intersection: counted over all of them, it bounds what
-  any two members can have in common. Members that can't be linked at all drop out;
-  the 4, 16, 64 ... members with the fewest shingles of their own are compared with
-  the rest, leaving out pairs in one component or beyond the bound, until no bucket
-  has two components left that were not compared;
+  with all others. Where members then still lie in different components, the rest
+  is worked off exactly (``_rest``) by what rare shingles and parities prove;
 * each candidate pair is confirmed on both full sets, 100 * intersection >= 75 *
   union. Sets are of 64-bit shingle hashes.
 
+The rest of the buckets: let a shingle be rare when at most ``RARE`` of the classes
+left have it, and c the count of a class's other shingles.
+
+1. Two classes that share a rare shingle meet in that shingle's short list; the
+   lists give how many they share, and with min(c, c') that bounds the intersection.
+2. Two classes that share none have at most min(c, c') in common. A class whose c is
+   too small even for a subset of it drops out. That is linear in the classes, and
+   in a large group of edited copies it leaves those near the group's centre.
+3. In each bucket the class with the largest share of common shingles is compared
+   with the others: it is the likely centre of a group.
+4. Pairs that still lie apart are joined on single collections, classes outside a
+   value's largest component against all of them, and only pairs within both bounds
+   come out: min(c, c'), and a 1,024-bit parity of each set, whose differing bits are
+   no more than the shingles that only one of the two has. A pair comes out at the
+   first collection it shares.
+
+Step 4 looks at each class that is apart from its bucket's main component once for
+every class it meets there; that is quadratic only in families of texts whose every
+shingle is common and which are yet not linked with their centre.
+
 Links become components by contraction (``components``). No group is gathered in
 one task, nothing but loop conditions reaches the driver, and each stage is
 written to the shared folder.
@@ -45,7 +60,7 @@ import numpy as np
 import pyarrow as pa
 import xxhash
 import zstandard
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from rowlens.llm.common import drop_stage, stage_table, text_or_empty
@@ -54,6 +69,10 @@ from rowlens.llm.components import components
 SHINGLE = 5
 COLLECTIONS, ROWS = 20, 3
 PERCENT = 75
+#: Shingles of so many classes at most are rare.
+RARE = 3
+#: 64-bit words of a set's parity.
+PARITY = 16
 #: Words whose hashes a worker keeps.
 CACHE_WORDS = 400_000
 #: Shingles hashed at once, to bound a task's memory on very long texts.
@@ -180,25 +199,45 @@ def _near(n: str, m: str, percent: int) -> str:
     return f"100 * least({n}, {m}) >= {percent} * greatest({n}, {m})"
 
 
-def _reachable(n: Column, m: Column, r: Column, s: Column, percent: int) -> Column:
-    """Sets of n and m shingles, r and s of which others have too, can be similar enough."""
-    both = F.least(r, s)
+def _bound(both: Column, n: Column, m: Column, percent: int) -> Column:
+    """Sets of n and m shingles with at most ``both`` in common can be similar enough."""
     return 100 * both >= percent * (n + m - both)
 
 
-def own_shingles(texts: DataFrame, nodes: DataFrame) -> DataFrame:
-    """(node, own): how many shingles of a class no other class of ``nodes`` has."""
+def _unpacked(packed: pa.Scalar) -> np.ndarray:
+    return shingle_set(words_of(zstandard.ZstdDecompressor().decompress(packed.as_py()).decode("utf-8", "surrogatepass")))
+
+
+def parity(shingles: np.ndarray) -> np.ndarray:
+    """For each of ``64 * PARITY`` bits whether an odd number of shingles falls on it."""
+    at = (_mixed(shingles) % np.uint64(64 * PARITY)).astype(np.int64)
+    odd = (np.bincount(at, minlength=64 * PARITY) & 1).astype(np.uint8)
+    return np.packbits(odd, bitorder="little").view(np.int64)
+
+
+def _shingles(texts: DataFrame) -> DataFrame:
+    """(node, shingle) of every text of (doc_id, packed)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        unpack = zstandard.ZstdDecompressor().decompress
         for b in batches:
             for node, packed in zip(b.column(0).to_pylist(), b.column(1)):
-                found = shingle_set(words_of(unpack(packed.as_py()).decode("utf-8", "surrogatepass")))
-                yield pa.record_batch([pa.array(np.full(len(found), node)), pa.array(found.view(np.int64))], names=["node", "shingle"])
+                found = _unpacked(packed)
+                for at in range(0, len(found), BLOCK):
+                    part = found[at : at + BLOCK].view(np.int64)
+                    yield pa.record_batch([pa.array(np.full(len(part), node)), pa.array(part)], names=["node", "shingle"])
 
-    some = texts.join(nodes, texts["doc_id"] == nodes["node"], "left_semi").select("doc_id", "packed")
-    seen = some.mapInArrow(run, "node long, shingle long").groupBy("shingle").agg(F.min("node").alias("node"), F.count(F.lit(1)).alias("m"))
-    return seen.filter("m = 1").groupBy("node").agg(F.count(F.lit(1)).alias("own"))
+    return texts.select("doc_id", "packed").mapInArrow(run, "node long, shingle long")
+
+
+def _parities(texts: DataFrame) -> DataFrame:
+    """(node, parity) of every text of (doc_id, packed)."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            found = [parity(_unpacked(packed)) for packed in b.column(1)]
+            yield pa.record_batch([b.column(0), pa.array(found, pa.list_(pa.int64()))], names=["node", "parity"])
+
+    return texts.select("doc_id", "packed").mapInArrow(run, "node long, parity array<long>")
 
 
 def table_keys(nodes: DataFrame) -> DataFrame:
@@ -211,68 +250,129 @@ def table_keys(nodes: DataFrame) -> DataFrame:
     return own.select(F.explode(pairs).alias("key"), "node", "n")
 
 
+def _open(rows: DataFrame, found: DataFrame) -> DataFrame:
+    """(key, node, component) of the rows (key, node) whose key has several components."""
+    named = rows.join(found, "node", "left").select("key", "node", F.coalesce("component", "node").alias("component"))
+    keys = named.groupBy("key").agg(F.min("component").alias("low"), F.max("component").alias("high")).filter("low < high")
+    return named.join(keys.select("key"), "key")
+
+
+def _ordered(a: str, b: str) -> list[Column]:
+    return [F.greatest(a, b).alias("a"), F.least(a, b).alias("b")]
+
+
+def _apart(live: DataFrame, percent: int) -> DataFrame:
+    """Pairs (a, b) of rows (node, n, c, keys, parity, component) that may be linked and lie in different components.
+
+    A pair has two collections in common at least; both bounds hold.
+    """
+    at = [F.col("keys")[j].alias(f"k{j}") for j in range(COLLECTIONS)] + [F.col("parity")[j].alias(f"p{j}") for j in range(PARITY)]
+    values = live.select("node", "n", "c", "component", F.posexplode("keys").alias("i", "h"), *at)
+    counts = values.groupBy("i", "h", "component").agg(F.count(F.lit(1)).alias("m"))
+    main = counts.groupBy("i", "h").agg(F.max(F.struct("m", "component")).alias("main"), F.count(F.lit(1)).alias("found"))
+    main = main.filter("found > 1").select("i", "h", F.col("main.component").alias("main"))
+    rows = values.join(main, ["i", "h"])
+    left = rows.filter("component <> main").select("i", "h", *[F.col(x).alias(f"l_{x}") for x in rows.columns if x not in "ih"])
+    differ = sum((F.bit_count(F.col(f"p{j}").bitwiseXOR(F.col(f"l_p{j}"))) for j in range(PARITY)), F.lit(0))
+    agree = [F.col(f"k{j}") == F.col(f"l_k{j}") for j in range(COLLECTIONS)]
+    first = F.coalesce(*[F.when(x, F.lit(j)) for j, x in enumerate(agree)])
+    size = F.col("n") + F.col("l_n")
+    met = left.join(rows, ["i", "h"]).filter(
+        (F.col("component") != F.col("l_component"))
+        & ((F.col("component") == F.col("main")) | (F.col("node") > F.col("l_node")))
+        & _bound(F.least("c", "l_c"), F.col("n"), F.col("l_n"), percent)
+        & ((100 + percent) * differ <= (100 - percent) * size)
+        & (first == F.col("i"))
+        & (sum((x.cast("int") for x in agree), F.lit(0)) > 1)
+    )
+    return met.select(*_ordered("node", "l_node"))
+
+
+def _rest(rows: DataFrame, nodes: DataFrame, texts: DataFrame, tried: DataFrame, edges: DataFrame, found: DataFrame, percent: int) -> DataFrame:
+    """Components once all pairs of the open buckets are settled; see the module's docstring."""
+
+    def settled(pairs: DataFrame) -> None:
+        nonlocal tried, edges, found
+        new = stage_table(pairs.distinct().join(tried, ["a", "b"], "left_anti"), "pairs")
+        tried = tried.unionByName(new)
+        more = stage_table(_confirmed(new, texts, percent), "links")
+        if not more.isEmpty():
+            edges = edges.unionByName(more)
+            found = components(edges)
+
+    rest = stage_table(_open(rows, found), "open-buckets")
+    if rest.isEmpty():
+        return found
+    named = rest.select("node", "component").distinct().join(nodes, "node").select("node", "component", "n", "keys")
+    named = stage_table(named, "open-classes")
+    some = stage_table(texts.join(named, texts["doc_id"] == named["node"], "left_semi"), "open-texts")
+    shingles = stage_table(_shingles(some), "open-shingles")
+    lists = shingles.groupBy("shingle").agg(F.count(F.lit(1)).alias("m"))
+    lists = stage_table(lists.filter(F.col("m") <= RARE), "rare-shingles")
+    rare = shingles.join(lists, "shingle")
+    counted = named.join(rare.groupBy("node").agg(F.count(F.lit(1)).alias("r")), "node", "left")
+    counted = stage_table(counted.withColumn("c", F.col("n") - F.coalesce("r", F.lit(0))).drop("r"), "open-counts")
+    drop_stage(named)
+
+    # 1: pairs that share rare shingles
+    member = rare.filter("m > 1").join(counted.select("node", "n", "c", "component"), "node")
+    short = member.groupBy("shingle").agg(F.array_sort(F.collect_list(F.struct("node", "n", "c", "component"))).alias("all"))
+    short = short.filter("exists(all, x -> x.component <> all[0].component)")
+    two = "flatten(transform(all, (x, i) -> transform(filter(slice(all, i + 2, size(all)), y -> y.component <> x.component), y -> struct(x as x, y as y))))"
+    met = short.select(F.explode(F.expr(two)).alias("p")).groupBy("p").agg(F.count(F.lit(1)).alias("k"))
+    met = met.select("k", *[F.col(f"p.{s}.{x}").alias(f"{s}_{x}") for s in "xy" for x in ("node", "n", "c")])
+    both = F.col("k") + F.least("x_c", "y_c")
+    settled(met.filter(_bound(both, F.col("x_n"), F.col("y_n"), percent)).select(*_ordered("x_node", "y_node")))
+    drop_stage(shingles)
+    drop_stage(lists)
+
+    # 2: what is left can only be linked by its common shingles
+    alive = counted.filter(100 * F.col("c") >= percent * F.col("n"))
+    rest = stage_table(_open(rest.select("key", "node").join(alive.select("node"), "node", "left_semi"), found), "open-buckets")
+    if rest.isEmpty():
+        return found
+
+    # 3: the likely centre of each bucket against its members
+    seen = rest.join(alive.select("node", "n", "c"), "node")
+    centre = seen.groupBy("key").agg(F.max(F.struct((F.col("c") / F.col("n")).alias("share"), (-F.col("node")).alias("order"), "n", "c", "component")).alias("o"))
+    pairs = seen.join(centre, "key").filter((F.col("component") != F.col("o.component")) & _bound(F.least("c", "o.c"), F.col("n"), F.col("o.n"), percent))
+    settled(pairs.select("node", (-F.col("o.order")).alias("other")).select(*_ordered("node", "other")))
+
+    # 4: all others within both bounds
+    rest = stage_table(_open(rest.select("key", "node"), found), "open-buckets")
+    if rest.isEmpty():
+        return found
+    last = rest.select("node", "component").distinct()
+    live = last.join(alive.drop("component"), "node").join(_parities(some.join(last, some["doc_id"] == last["node"], "left_semi")), "node")
+    settled(_apart(stage_table(live, "open-live"), percent))
+    drop_stage(some)
+    return found
+
+
 def links(nodes: DataFrame, docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     """(node, component) of every class that is linked with another; nodes: node, n, keys."""
     keys = stage_table(table_keys(nodes), "table-keys")
     hubs = stage_table(keys.groupBy("key").agg(F.min(F.struct("node", "n")).alias("hub"), F.count(F.lit(1)).alias("m")).filter("m > 1").select("key", "hub"), "hubs")
-    rows = keys.join(hubs, "key").select("key", "node", "n", F.col("hub.node").alias("hub"), F.col("hub.n").alias("hub_n"))
-    rows = stage_table(rows.filter("node <> hub"), "buckets")
+    rows = stage_table(keys.join(hubs, "key").select("key", "node", "n", F.col("hub.node").alias("hub"), F.col("hub.n").alias("hub_n")), "buckets")
     drop_stage(keys)
     drop_stage(hubs)
-    members = rows.select("node").unionByName(rows.select(F.col("hub").alias("node"))).distinct()
+    members = rows.select("node").distinct()
     texts = _packed_texts(docs)
-    texts = stage_table(texts.join(members, texts["doc_id"] == members["node"], "left_semi"), "candidate-texts")
-    pairs = rows.filter(_near("n", "hub_n", percent)).select(F.col("node").alias("a"), F.col("hub").alias("b")).distinct()
+    texts = stage_table(texts.join(members, texts["doc_id"] == members["node"], "left_semi").distinct(), "candidate-texts")
+    pairs = rows.filter(_near("n", "hub_n", percent) + " and node <> hub").select(F.col("node").alias("a"), F.col("hub").alias("b")).distinct()
     tried = stage_table(pairs, "pairs")
     edges = stage_table(_confirmed(tried, texts, percent), "links")
-    found = components(edges)
-    rest, take = rows.select("key", "node", "n"), 4
-    own: DataFrame | None = None
-    while True:
-        named = rest.join(found, "node", "left").select("key", "node", "n", F.coalesce("component", "node").alias("component"))
-        if own is not None:
-            named = named.join(own, "node", "left").withColumn("own", F.coalesce("own", F.lit(0)))
-            # not even a set within its own shared part would be similar enough
-            named = named.filter(100 * (F.col("n") - F.col("own")) >= percent * F.col("n"))
-        open_keys = named.groupBy("key").agg(F.min("component").alias("low"), F.max("component").alias("high")).filter("low < high")
-        rest = stage_table(named.join(open_keys.select("key"), "key"), "open-buckets")
-        if rest.isEmpty():
-            return found
-        if own is None:
-            own = stage_table(own_shingles(texts, rest.select("node").distinct()), "own-shingles")
-            rest = rest.select("key", "node", "n")
-            continue
-        place = F.row_number().over(Window.partitionBy("key").orderBy("own", "node"))
-        first = rest.withColumn("place", place).filter(F.col("place") <= take)
-        first = first.groupBy("key").agg(F.array_sort(F.collect_list(F.struct("own", "node", "n", "component"))).alias("firsts"))
-        met = rest.join(first, "key")
-        shared = F.col("n") - F.col("own")
-
-        def worth(f: Column) -> Column:
-            before = (f["own"] < F.col("own")) | ((f["own"] == F.col("own")) & (f["node"] < F.col("node")))
-            return before & (f["component"] != F.col("component")) & _reachable(F.col("n"), f["n"], shared, f["n"] - f["own"], percent)
-
-        options = met.select("node", F.explode(F.transform(F.filter("firsts", worth), lambda f: f["node"])).alias("other"))
-        pairs = options.select(F.greatest("node", "other").alias("a"), F.least("node", "other").alias("b")).distinct()
-        pairs = stage_table(pairs.join(tried, ["a", "b"], "left_anti"), "pairs")
-        tried = tried.unionByName(pairs)
-        more = stage_table(_confirmed(pairs, texts, percent), "links")
-        if not more.isEmpty():
-            edges = edges.unionByName(more)
-            found = components(edges)
-        last = F.element_at("firsts", -1)
-        behind = (F.col("own") > last["own"]) | ((F.col("own") == last["own"]) & (F.col("node") > last["node"]))
-        rest = met.filter(behind).select("key", "node", "n")
-        take *= 4
+    return _rest(rows.select("key", "node"), nodes, texts, tried, edges, components(edges), percent)
 
 
 def near_duplicates(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     """doc_id, n_shingles, component_id and kept of every document."""
     signed = stage_table(signatures(docs), "signatures")
-    classes = stage_table(signed.filter("n > 0").groupBy("digest").agg(F.min("doc_id").alias("node")), "classes")
-    named = signed.join(classes, "digest").filter("doc_id = node").select("node", "n", "keys")
-    found = links(named, docs, percent)
-    placed = signed.select("doc_id", "digest", "n").join(classes, "digest", "left").join(found, "node", "left")
+    # n and keys follow from the digest, so any row of a class has them
+    rows = signed.filter("n > 0 and doc_id is not null").groupBy("digest")
+    classes = stage_table(rows.agg(F.min("doc_id").alias("node"), F.any_value("n").alias("n"), F.any_value("keys").alias("keys")), "classes")
+    found = links(classes.select("node", "n", "keys"), docs, percent)
+    placed = signed.select("doc_id", "digest", "n").join(classes.select("digest", "node"), "digest", "left").join(found, "node", "left")
     component = F.coalesce("component", "node", "doc_id")
     return placed.select(
         "doc_id",
