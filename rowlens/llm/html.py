@@ -1,26 +1,37 @@
 """Main text of web pages by site style trees.
 
 All pages of a host are merged into one style tree: its nodes are the block-level
-paths (tag, class and id, digits dropped) that the host's pages share. For every
-node with text the host's distinct main contents vote with the node's content: its
-importance is the entropy of those contents over the pages, 0 where all pages
-carry the same text and 1 where every page has its own. Pages of hosts with few
-pages say little, so ``PRIOR_PAGES`` pages' worth of a prior is mixed in: 1
-under an article or main element, 0 where the path names page furniture (menus,
-headers, footers, side bars, notices, adverts, forms, comments), one half
-otherwise. Names of class, id and role never make furniture of html, body, main
-and article elements or of what holds a main or article element; such a main or
-article has the prior one half, and the tree decides. Pages of a host with the same main content (the blocks under article or
-main elements, without any all that are not furniture) count once, whatever else
-differs in them. A page keeps the blocks of the nodes whose importance is at least
-``KEEP``; furniture is never kept, and entropy alone removes nothing from under an
-article or main element.
+paths (tag, class and id, digits dropped) that the host's pages share. Two things are
+counted at every node over the host's pages of distinct main content (the blocks under
+article or main elements, without any all that no element makes furniture; copies of one
+article count once, whatever else differs in them):
+
+* presentation: the entropy of the sequences of child elements that stand below it
+  (runs of equal children as one). A node that every page lays out alike says little;
+* content: the entropy of its own text, 0 where all pages carry the same and 1 where
+  every page has its own.
+
+A node's own importance is that of its content, or of its presentation where it has
+no text, mixed with ``PRIOR_PAGES`` pages' worth of a prior. Composite importances go
+from the leaves upward: a branch has the mean of the nodes below it, weighed by pages
+and by ``DECAY`` for each level, down to ``LEVELS`` levels. A block's importance is its
+node's composite one with ``BRANCH`` of that of the branch it hangs on, and blocks
+below ``KEEP`` are removed; removing all blocks of a branch removes the branch.
+
+The prior is 1 under an article or main element, 0 in page furniture (menus, headers,
+footers, side bars, notices, adverts, forms, comments), one half otherwise. Furniture is
+told by element, or by the words of class, id and role. Names never make furniture of
+html, body, main and article elements, of what holds a main or article element, or of
+what is named content as well; there the tree decides. Elsewhere names stand, for
+comments differ from page to page as articles do; but where they and the tree leave
+nothing of a page the names are wrong, and the page keeps what the tree finds important
+in named branches. Entropy alone removes nothing from under an article or main element.
 
 Scale: a page becomes one small row per node; those are counted with partial
 aggregation, so a host with a third of all pages reaches no task as a whole. A
-host's tree is one row with its dropped nodes (bounded by the site's templates),
-joined to the pages by host; Spark broadcasts it if it is small, and splits
-a hot host's partition if not.
+host's tree is one row with its dropped nodes, joined to the pages by host; Spark
+broadcasts it if it is small, and splits a hot host's partition if not. Reading a page
+takes time linear in its tags, and a node carries at most ``LEVELS`` ancestors.
 
 Defined results: null or empty html gives the empty text; a null or odd url is a
 host of its own name ''; repeated rows get equal texts; unclosed, unopened and
@@ -43,13 +54,23 @@ from rowlens.llm.common import stage_table
 
 PRIOR_PAGES = 8
 KEEP = 0.5
-
-#: One tag, comment or declaration; quoted attribute values may hold '>'.
-TAG = re.compile(r"<!--.*?(?:-->|$)|<(/?)([a-zA-Z][^\s/>]*)((?:\"[^\"]*\"|'[^']*'|[^'\">])*+)>?|<[!?][^>]*>?", re.S)
-ATTRIBUTE = re.compile(r"(?:^|\s)(class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))", re.I)
+#: Levels of a branch that its importance is made of, and a level's weight against the one above.
+LEVELS, DECAY = 6, 0.5
+#: Share of the branch in a block's importance.
+BRANCH = 0.1
+#: Importances are sums of floating point numbers.
+ROUNDING = 1e-9
+#: Hosts whose dropped nodes a worker keeps.
+CACHE_HOSTS = 256
+
+#: One tag, comment or declaration; only a value that begins with a quote may hold '>'.
+TAG = re.compile(r"<!--.*?(?:-->|$)|<(/?)([a-zA-Z][^\s/>]*)((?:=\s*+(?:\"[^\"]*+\"|'[^']*+'|[^\s>]*+)|[^>=])*+)>?|<[!?][^>]*>?", re.S)
+ATTRIBUTE = re.compile(r"(?:^|[\s\"'/])(class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))", re.I)
 HOST = re.compile(r"^[a-zA-Z][a-zA-Z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:]*)")
 DIGITS = re.compile(r"\d+")
 NAME = re.compile(r"[a-z]+")
+#: Names of the kind has-sidebar speak of another element.
+OF_OTHERS = re.compile(r"\b(?:has|with|no|without|is)[-_][a-z_-]+")
 
 #: Elements whose content is no text at all; they end at their own end tag only.
 RAW = {"script", "style", "noscript", "template", "svg", "iframe", "object", "textarea", "select", "button", "title"}
@@ -70,6 +91,7 @@ FURNITURE_NAMES = {
     "share", "sharing", "sidebar", "signup", "social", "sponsor", "sponsored", "subscribe", "toolbar", "topbar", "widget",
 }
 CONTENT_TAGS = {"article", "main"}
+CONTENT_NAMES = {"article", "body", "content", "entry", "main", "post", "story"}
 
 
 def host_of(url: str | None) -> str:
@@ -78,18 +100,28 @@ def host_of(url: str | None) -> str:
 
 
 class _Node:
-    __slots__ = ("tag", "path", "parent", "named", "holds", "prior", "doubt")
+    __slots__ = ("tag", "path", "parent", "named", "content", "holds", "prior", "by_name", "style", "last")
+
+    def __init__(self, tag: str, path: int, parent: _Node | None, named: bool, content: bool):
+        self.tag, self.path, self.parent, self.named, self.content = tag, path, parent, named, content
+        self.holds, self.by_name, self.prior, self.style, self.last = False, False, 0.5, 0, 0
 
-    def __init__(self, tag: str, path: int, parent: _Node | None, named: bool):
-        self.tag, self.path, self.parent, self.named = tag, path, parent, named
-        self.holds, self.doubt, self.prior = False, False, 0.5
+    def above(self) -> list[int]:
+        found, node = [], self.parent
+        while node and node.parent and len(found) < LEVELS:
+            found.append(_signed(node.path))
+            node = node.parent
+        return found
 
 
 def _child(parent: _Node, tag: str, attributes: str) -> _Node:
     names = [DIGITS.sub("", " ".join(g for g in m.groups()[1:] if g)).lower() for m in ATTRIBUTE.finditer(attributes)]
     words = {w for n in names for w in NAME.findall(n)}
+    own = {w for n in names for w in NAME.findall(OF_OTHERS.sub(" ", n))}
     path = xxhash.xxh64_intdigest(f"{parent.path}/{tag}/{' '.join(sorted(words))}")
-    node = _Node(tag, path, parent, bool(words & FURNITURE_NAMES) and tag not in ("html", "body"))
+    node = _Node(tag, path, parent, bool(own & FURNITURE_NAMES) and tag not in ("html", "body"), bool(own & CONTENT_NAMES))
+    if parent.last != path:
+        parent.style, parent.last = xxhash.xxh64_intdigest(f"{parent.style}/{path}"), path
     above: _Node | None = node if tag in CONTENT_TAGS else None
     while above and not above.holds:
         above.holds, above = True, above.parent
@@ -98,11 +130,11 @@ def _child(parent: _Node, tag: str, attributes: str) -> _Node:
 
 def _weigh(node: _Node) -> None:
     """Prior of a node, its parent's being known; all of the page must be read, as ``holds`` depends on what follows."""
-    parent = node.parent
-    node.doubt = parent.doubt or (node.named and node.holds)
-    if not parent.prior or node.tag in FURNITURE_TAGS or (node.named and not node.holds) or (node.tag == "header" and parent.prior < 1):
+    parent, doubt = node.parent, node.named and (node.holds or node.content)
+    node.by_name = parent.by_name or (node.named and not doubt)
+    if not parent.prior or node.tag in FURNITURE_TAGS or (node.tag == "header" and parent.prior < 1):
         node.prior = 0.0
-    elif node.doubt:
+    elif doubt:
         node.prior = 0.5
     else:
         node.prior = 1.0 if node.tag in CONTENT_TAGS else parent.prior
@@ -112,60 +144,73 @@ def _weigh(node: _Node) -> None:
 RAW_END = {tag: re.compile(rf"</{tag}(?![^\s/>])[^>]*>?", re.I) for tag in RAW}
 
 
-def blocks(page: str | None) -> list[tuple[int, float, str]]:
-    """(path, prior, text) of every block with text, in page order."""
-    root = _Node("", 0, None, False)
-    stack, made, found, open_text = [root], [], [], []
-    page = page or ""
-    at = 0
-
-    def flush() -> None:
-        text = " ".join(entities.unescape("".join(open_text)).split())
+class _Page:
+    """Elements and blocks of one page, tags taken as they stand."""
+
+    def __init__(self, page: str):
+        self.root = _Node("", 0, None, False, False)
+        self.stack, self.made = [self.root], []
+        #: Where in the stack the open elements of a tag are.
+        self.open: dict[str, list[int]] = {}
+        self.blocks: list[tuple[_Node, str]] = []
+        self.text: list[str] = []
+        at = 0
+        while m := TAG.search(page, at):
+            self.text.append(page[at : m.start()])
+            at = m.end()
+            tag = (m[2] or "").lower()
+            if tag in RAW:
+                if not m[1] and not m[3].rstrip().endswith("/"):
+                    end = RAW_END[tag].search(page, at)
+                    at = end.end() if end else len(page)
+            elif tag == "br":
+                self.text.append(" ")
+            elif tag in BLOCK:
+                self.flush()
+                if m[1]:
+                    self.close(self.depth({tag}))
+                elif tag not in VOID:
+                    self.start(tag, m[3])
+        self.text.append(page[at:])
+        self.flush()
+        for node in self.made:  # parents stand before their children
+            _weigh(node)
+
+    def flush(self) -> None:
+        text = " ".join(entities.unescape("".join(self.text)).split())
         if text:
-            found.append((stack[-1], text))
-        open_text.clear()
-
-    while m := TAG.search(page, at):
-        open_text.append(page[at : m.start()])
-        at = m.end()
-        tag = (m[2] or "").lower()
-        if not tag:
-            continue
-        if tag in RAW:
-            if not m[1] and not m[3].rstrip().endswith("/"):
-                end = RAW_END[tag].search(page, at)
-                at = end.end() if end else len(page)
-            continue
-        if tag == "br":
-            open_text.append(" ")
-        if tag not in BLOCK:
-            continue
-        flush()
-        if tag in VOID:
-            continue
-        if m[1]:
-            depth = next((k for k in range(len(stack) - 1, 0, -1) if stack[k].tag == tag), 0)
-            if depth:
-                del stack[depth:]
-            continue
-        if stack[-1].tag == "p":
-            stack.pop()
-        closed, fence = CLOSES.get(tag, (None, None))
-        if closed:
-            for k in range(len(stack) - 1, 0, -1):
-                if stack[k].tag in closed:
-                    del stack[k:]
-                    break
-                if stack[k].tag in fence:
-                    break
-        stack.append(_child(stack[-1], tag, m[3]))
-        made.append(stack[-1])
-    open_text.append(page[at:])
-    flush()
-    # parents stand before their children
-    for node in made:
-        _weigh(node)
-    return [(node.path, node.prior, text) for node, text in found]
+            self.blocks.append((self.stack[-1], text))
+        self.text.clear()
+
+    def depth(self, tags: set[str]) -> int:
+        """Place of the innermost open element of these tags, 0 if there is none."""
+        return max((self.open[t][-1] for t in tags if self.open.get(t)), default=0)
+
+    def close(self, depth: int) -> None:
+        while depth and len(self.stack) > depth:
+            self.open[self.stack.pop().tag].pop()
+
+    def start(self, tag: str, attributes: str) -> None:
+        if self.stack[-1].tag == "p":
+            self.close(len(self.stack) - 1)
+        closed, fence = CLOSES.get(tag, (set(), set()))
+        inner = self.depth(closed)
+        if inner > self.depth(fence):
+            self.close(inner)
+        self.open.setdefault(tag, []).append(len(self.stack))
+        self.stack.append(_child(self.stack[-1], tag, attributes))
+        self.made.append(self.stack[-1])
+
+
+def blocks(page: str | None) -> list[tuple[_Node, str]]:
+    """(node, text) of every block with text that no element's kind makes furniture, in page order."""
+    return [(node, text) for node, text in _Page(page or "").blocks if node.prior]
+
+
+def kept_text(page: str | None, dropped: set[int]) -> str:
+    """The page's blocks without those of dropped nodes and without named furniture; named ones stay where nothing else does."""
+    left = [(node, text) for node, text in blocks(page) if _signed(node.path) not in dropped]
+    return "\n".join(text for _, text in [x for x in left if not x[0].by_name] or left)
 
 
 def _signed(x: int) -> int:
@@ -173,52 +218,82 @@ def _signed(x: int) -> int:
 
 
 def node_contents(pages: DataFrame) -> DataFrame:
-    """One row per page and node: host, hash of the main content, path, prior, content hash."""
+    """One row per page and node: host, hash of the main content, path, parents' paths, prior, hash of the child elements, hash of its text (null without text)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            out: list[tuple] = []
-            for url, page in zip(b.column(0).to_pylist(), b.column(1)):
-                page = page.as_py()
-                of: dict[int, list] = {}
-                whole = blocks(page)
-                for path, prior, text in whole:
-                    one = of.setdefault(path, [prior, xxhash.xxh64()])
-                    one[0] = max(one[0], prior)
-                    one[1].update(text + "\n")
-                most = max((prior for _, prior, _ in whole), default=0.0)
-                main = _signed(xxhash.xxh64_intdigest("\n".join(text for _, prior, text in whole if prior == most)))
+            for url, html in zip(b.column(0).to_pylist(), b.column(1)):
+                page = _Page(html.as_py() or "")
+                free = [(n, t) for n, t in page.blocks if n.prior]
+                sure = [(n, t) for n, t in free if n.prior == 1 and not n.by_name]
+                main = _signed(xxhash.xxh64_intdigest("\n".join(t for _, t in sure or free)))
+                nodes: dict[int, list] = {}
+                for node in page.made:
+                    if node.prior:
+                        one = nodes.setdefault(node.path, [node, xxhash.xxh64(), None])
+                        one[0] = node if node.prior > one[0].prior else one[0]
+                        one[1].update(f"{node.style}\n")
+                for node, text in page.blocks:
+                    if node.prior:
+                        one = nodes.setdefault(node.path, [node, xxhash.xxh64(), None])
+                        one[2] = one[2] or xxhash.xxh64()
+                        one[2].update(text + "\n")
                 host = host_of(url)
-                out.extend((host, main, _signed(path), prior, _signed(h.intdigest())) for path, (prior, h) in of.items())
-            columns = list(zip(*out)) or [[]] * 5
-            kinds = (pa.string(), pa.int64(), pa.int64(), pa.float64(), pa.int64())
-            yield pa.record_batch([pa.array(c, t) for c, t in zip(columns, kinds)], names=["host", "main", "path", "prior", "content"])
+                rows = [(host, main, _signed(n.path), n.above(), n.prior, _signed(style.intdigest()), _signed(text.intdigest()) if text else None) for n, style, text in nodes.values()]
+                kinds = (pa.string(), pa.int64(), pa.int64(), pa.list_(pa.int64()), pa.float64(), pa.int64(), pa.int64())
+                columns = list(zip(*rows)) or [[]] * 7
+                yield pa.record_batch([pa.array(c, t) for c, t in zip(columns, kinds)], names=["host", "main", "path", "above", "prior", "style", "content"])
+
+    return pages.select("url", "html").mapInArrow(run, "host string, main long, path long, above array<long>, prior double, style long, content long")
+
 
-    return pages.select("url", "html").mapInArrow(run, "host string, main long, path long, prior double, content long")
+def _entropy(counted: DataFrame, value: str) -> DataFrame:
+    """host, path, pages and the entropy of ``value`` over them, between 0 and 1 (one page: 1)."""
+    each = counted.groupBy("host", "path", value).agg(F.count(F.lit(1)).alias("n"))
+    nodes = each.groupBy("host", "path").agg(F.sum("n").alias("m"), F.sum(F.col("n") * F.log("n")).alias("nlogn"))
+    spread = F.when(F.col("m") > 1, F.least(F.lit(1.0), (F.log("m") - F.col("nlogn") / F.col("m")) / F.log("m")))
+    return nodes.select("host", "path", F.col("m").alias(f"{value}_pages"), spread.alias(f"{value}_entropy"))
 
 
 def importance(pages: DataFrame) -> DataFrame:
-    """host, path, n pages of distinct main content, entropy and importance of every node of every host's style tree."""
-    once = node_contents(pages).groupBy("host", "path", "main").agg(F.max("prior").alias("prior"), F.min("content").alias("content"))
-    each = once.groupBy("host", "path", "content").agg(F.count(F.lit(1)).alias("n"), F.max("prior").alias("prior"))
-    nodes = each.groupBy("host", "path").agg(F.sum("n").alias("pages"), F.max("prior").alias("prior"), F.sum(F.col("n") * F.log("n")).alias("nlogn"))
-    spread = F.when(F.col("pages") > 1, F.least(F.lit(1.0), (F.log("pages") - F.col("nlogn") / F.col("pages")) / F.log("pages"))).otherwise(F.col("prior"))
-    mixed: Column = (F.col("pages") * F.col("entropy") + PRIOR_PAGES * F.col("prior")) / (F.col("pages") + PRIOR_PAGES)
-    weighed = F.when(F.col("prior") == 0, 0.0).when(F.col("prior") == 1, F.greatest(mixed, F.lit(KEEP))).otherwise(mixed)
-    return nodes.withColumn("entropy", spread).select("host", "path", "pages", "prior", "entropy", weighed.alias("importance"))
+    """The style trees: host, path, pages, prior, entropies of content and style, own and composite importance of every node, and what a block there is worth."""
+    rows = stage_table(node_contents(pages), "style-nodes")
+    once = rows.groupBy("host", "path", "main").agg(F.min("style").alias("style"), F.min("content").alias("content"))
+    shape = rows.groupBy("host", "path").agg(F.max("prior").alias("prior"), F.any_value("above").alias("above"))
+    tree = shape.join(_entropy(once, "style"), ["host", "path"]).join(_entropy(once.filter("content is not null"), "content"), ["host", "path"], "left")
+    entropy: Column = F.coalesce("content_entropy", F.when(F.col("content_pages").isNull(), F.col("style_entropy")), "prior")
+    pages_n = F.coalesce("content_pages", "style_pages")
+    tree = tree.withColumn("pages", pages_n).withColumn("own", (pages_n * entropy + PRIOR_PAGES * F.col("prior")) / (pages_n + PRIOR_PAGES))
+    tree = stage_table(tree, "style-tree")
+    # every node counts in itself and in the branches above it, less with each level
+    lines = F.array_insert(F.col("above"), 1, F.col("path"))
+    parts = tree.select("host", "pages", "own", F.posexplode(lines).alias("level", "path"))
+    weight = F.col("pages") * F.pow(F.lit(DECAY), F.col("level"))
+    composite = parts.groupBy("host", "path").agg((F.sum(weight * F.col("own")) / F.sum(weight)).alias("composite"))
+    tree = tree.join(composite, ["host", "path"])
+    branch = composite.select("host", F.col("path").alias("up"), F.col("composite").alias("branch"))
+    tree = tree.withColumn("up", F.get("above", 0)).join(branch, ["host", "up"], "left")
+    worth = (1 - BRANCH) * F.col("composite") + BRANCH * F.coalesce("branch", "composite")
+    worth = F.when(F.col("prior") == 1, F.greatest(worth, F.lit(KEEP))).otherwise(worth)
+    return tree.select("host", "path", "pages", "prior", "content_entropy", "style_entropy", "own", "composite", worth.alias("importance"))
 
 
 def extract(pages: DataFrame) -> DataFrame:
     """page_id, url, text and n_chars of every page."""
-    low = importance(pages).filter(F.col("importance") < KEEP)
+    # a node of one page has no say, so there are at most half as many as the host has nodes on its pages
+    low = importance(pages).filter((F.col("importance") < KEEP - ROUNDING) & (F.col("pages") > 1))
     trees = stage_table(low.groupBy("host").agg(F.collect_set("path").alias("dropped")), "style-trees")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        trees: dict[str, set[int]] = {}
         for b in batches:
             texts = []
-            for page, dropped in zip(b.column(2), b.column(3).to_pylist()):
-                gone = set(dropped or ())
-                texts.append("\n".join(text for path, prior, text in blocks(page.as_py()) if prior and _signed(path) not in gone))
+            for page, host, dropped in zip(b.column(2), b.column(3).to_pylist(), b.column(4)):
+                if host not in trees:
+                    if len(trees) >= CACHE_HOSTS:
+                        trees.clear()
+                    trees[host] = set(dropped.as_py() or ())
+                texts.append(kept_text(page.as_py(), trees[host]))
             yield pa.record_batch(
                 [b.column(0), b.column(1), pa.array(texts, pa.string()), pa.array([len(t) for t in texts], pa.int64())],
                 names=["page_id", "url", "text", "n_chars"],
@@ -226,5 +301,5 @@ def extract(pages: DataFrame) -> DataFrame:
 
     host = F.lower(F.regexp_extract(F.coalesce("url", F.lit("")), HOST.pattern, 1))
     rows = pages.select(F.col("page_id").cast("long"), F.col("url").cast("string"), F.col("html").cast("string"), host.alias("host"))
-    joined = rows.join(trees, "host", "left").select("page_id", "url", "html", "dropped")
+    joined = rows.join(trees, "host", "left").select("page_id", "url", "html", "host", "dropped")
     return joined.mapInArrow(run, "page_id long, url string, text string, n_chars long")

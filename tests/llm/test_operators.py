@@ -5,6 +5,7 @@ import math
 import random
 import re
 import struct
+import time
 import zlib
 from collections import Counter, defaultdict
 
@@ -218,6 +219,9 @@ def test_main_text_keeps_whole_pages(spark):
         "body": ("<body class='has-sidebar'><div class=sidebar>All {k}</div><article><p>One {k}</p></article></body>", "One {k}"),
         "article": ("<article class='post related'><p>One {k}</p></article><nav>Home</nav>", "One {k}"),
         "main": ("<main id=search role=main><p>One {k}</p></main>", "One {k}"),
+        "layout": ("<body class='has-sidebar search-on'><div class='post'><p>One {k}</p></div><div class=sidebar><p>Menu</p></div></body>", "One {k}"),
+        "named": ("<div class='sidebar-layout widget'><p>One {k}</p></div><div class=foot><p>The same</p></div>", "One {k}"),
+        "unquoted": ("<p title=it's>One {k}</p><p>don't two {k}</p>", "One {k}\ndon't two {k}"),
         "holder": ("<div class='with-sidebar'><h1>Title {k}</h1><div><article><p>One {k}</p></article></div></div><div class=related>More {k}</div>", "Title {k}\nOne {k}"),
     }
     rows = [(k, f"https://{name}.example/{k}", form.replace("{k}", str(k))) for name, (form, _) in forms.items() for k in range(20)]
@@ -226,6 +230,59 @@ def test_main_text_keeps_whole_pages(spark):
         assert r.text == forms[name][1].replace("{k}", str(r.page_id)), name
 
 
+def test_style_tree_against_brute_force(spark):
+    r = random.Random(11)
+
+    def page(k):
+        items = "".join(f"<li>{r.choice(('Home', 'About', k))}</li>" for _ in range(r.randint(1, 3)))
+        return f"<body><ul class=m{k}>{items}</ul><div class=lead>{r.choice(('Same', k))}<p>Text {k % 7}</p></div><h2>Unique {k}</h2></body>"
+
+    made = [page(k) for k in range(40)] + [page(40)] * 3
+    got = {x.path: x for x in html.importance(spark.createDataFrame([(k, "https://a.example/", h) for k, h in enumerate(made)], "page_id long, url string, html string")).collect()}
+
+    # path -> per page of distinct content: sequence of child elements, own text
+    style, content, above = defaultdict(list), defaultdict(list), {}
+    for h in dict.fromkeys(made):
+        names, texts, stack = defaultdict(list), defaultdict(list), [()]
+        for close, tag, text in re.findall(r"<(/?)(\w+)[^>]*>([^<]*)", h):
+            if close:
+                stack.pop()
+            else:
+                stack.append(stack[-1] + (tag,))
+                if not names[stack[-2]] or names[stack[-2]][-1] != tag:
+                    names[stack[-2]].append(tag)
+                names[stack[-1]] += ["|"]
+            if text:
+                texts[stack[-1]].append(text)
+        for path in {p for p in names if p}:
+            style[path].append(tuple(names[path]))
+            above[path] = [path[:k] for k in range(len(path) - 1, 0, -1)]
+        for path, own in texts.items():
+            content[path].append(tuple(own))
+
+    def own(path):
+        values = content.get(path) or style[path]
+        n = len(values)
+        h = -sum(c / n * math.log(c / n) for c in Counter(values).values()) / math.log(n)
+        return n, (n * h + 8 * 0.5) / (n + 8)
+
+    sums = defaultdict(lambda: [0.0, 0.0])
+    for path in style:
+        n, x = own(path)
+        for level, up in enumerate([path, *above[path]]):
+            sums[up][0] += n * 0.5**level * x
+            sums[up][1] += n * 0.5**level
+    composite = {p: a / b for p, (a, b) in sums.items()}
+    want = sorted((round(own(p)[1], 6), round(composite[p], 6), round(0.9 * composite[p] + 0.1 * composite.get(p[:-1], composite[p]), 6)) for p in style)
+    assert want == sorted((round(x.own, 6), round(x.composite, 6), round(x.importance, 6)) for x in got.values())
+
+
+def test_deeply_nested_pages(spark):
+    deep = ["<div>" * 20_000 + "x" + "</span></ul></p>" * 20_000, "<div>" * 20_000 + "x" + "<li>a</li>" * 20_000]
+    began = time.time()
+    assert [len(html.kept_text(d, set())) for d in deep] == [1, 1 + 2 * 20_000] and time.time() - began < 20
+
+
 WORD = re.compile(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
 
 
