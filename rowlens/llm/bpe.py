@@ -29,8 +29,8 @@ import regex
 
 #: Unicode White_Space, as in the pre-tokenizer's own \s.
 SPACE = "\t-\r \x85\xa0  -     　"
-#: A run of Latin letters that no letter or digit follows, with the one blank before it; else blanks and what follows up to the next blank.
-CHUNK = rf" ?[A-Za-zÀ-ÖØ-öø-ÿ]++(?!\w)|[{SPACE}]*[^{SPACE}]+|[{SPACE}]+"
+#: A run of Latin letters that no letter or digit follows (nor what a newer Unicode table may call one), with the one blank before it; else blanks and what follows up to the next blank.
+CHUNK = rf" ?[A-Za-zÀ-ÖØ-öø-ÿ]++(?![\w\u0100-\U0010ffff])|[{SPACE}]*[^{SPACE}]+|[{SPACE}]+"
 #: The pre-tokenizer's pattern; a fixed value of this kind of vocabulary.
 PIECE = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 #: Chunks whose ids a worker keeps; the cache starts anew beyond.
@@ -130,9 +130,20 @@ class ForcedBoundaryCoder(Coder):
             self.bytes_of[i] = token
         for token, i in self.special.items():
             self.bytes_of[i] = token.encode()
-        self.pieces = regex.compile(PIECE).findall
+        self.latin = regex.compile(PIECE).findall
+        from tokenizers import pre_tokenizers
+
+        #: The library's own pre-tokenizer; it writes bytes in the vocabulary's alphabet.
+        self.own = pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=True).pre_tokenize_str
+        self.table = {ord(c): b for c, b in byte.items()}
         self.spec = {}
 
+    def pieces(self, chunk: str) -> list[bytes]:
+        """The pre-tokenizer's pieces. Which characters are letters depends on the Unicode version, so beyond Latin-1 the library says it."""
+        if max(chunk) < "\u0100":
+            return [piece.encode() for piece in self.latin(chunk)]
+        return [piece.translate(self.table).encode("latin-1") for piece, _ in self.own(chunk)]
+
     def fragments(self, piece: bytes) -> list[bytes]:
         joined = self.joined
         cuts = [k for k, pair in enumerate(zip(piece, piece[1:]), 1) if pair not in joined]
@@ -177,7 +188,7 @@ class ForcedBoundaryCoder(Coder):
     def chunk(self, chunk: str) -> bytes:
         ids, core = array("I"), self.core
         for piece in self.pieces(chunk):
-            for fragment in self.fragments(piece.encode()):
+            for fragment in self.fragments(piece):
                 ids.extend(core(fragment))
         return ids.tobytes()
 
