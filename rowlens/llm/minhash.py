@@ -69,12 +69,12 @@ from rowlens.llm.components import components
 SHINGLE = 5
 COLLECTIONS, ROWS = 20, 3
 PERCENT = 75
-#: Shingles of so many classes at most are rare.
+#: Shingles of so many classes at most are rare; three is the most that ``_short_lists`` can tell apart.
 RARE = 3
 #: 64-bit words of a set's parity.
 PARITY = 16
 #: Words whose hashes a worker keeps.
-CACHE_WORDS = 400_000
+CACHE_WORDS = 100_000
 #: Shingles hashed at once, to bound a task's memory on very long texts.
 BLOCK = 8_192
 
@@ -229,6 +229,14 @@ def _shingles(texts: DataFrame) -> DataFrame:
     return texts.select("doc_id", "packed").mapInArrow(run, "node long, shingle long")
 
 
+def _short_lists(shingles: DataFrame) -> DataFrame:
+    """shingle and members (ascending nodes) of every shingle that at most ``RARE`` nodes have; three nodes are their least, their greatest and what is left of their exclusive or."""
+    found = shingles.groupBy("shingle").agg(F.count(F.lit(1)).alias("m"), F.min("node").alias("low"), F.max("node").alias("high"), F.bit_xor("node").alias("all"))
+    third = F.col("all").bitwiseXOR(F.col("low")).bitwiseXOR(F.col("high"))
+    members = F.when(F.col("m") == 1, F.array("low")).when(F.col("m") == 2, F.array("low", "high")).otherwise(F.array(F.col("low"), third, F.col("high")))
+    return stage_table(found.filter(F.col("m") <= RARE).select("shingle", members.alias("members")), "rare-shingles")
+
+
 def _parities(texts: DataFrame) -> DataFrame:
     """(node, parity) of every text of (doc_id, packed)."""
 
@@ -306,24 +314,19 @@ def _rest(rows: DataFrame, nodes: DataFrame, texts: DataFrame, tried: DataFrame,
     named = rest.select("node", "component").distinct().join(nodes, "node").select("node", "component", "n", "keys")
     named = stage_table(named, "open-classes")
     some = stage_table(texts.join(named, texts["doc_id"] == named["node"], "left_semi"), "open-texts")
-    shingles = stage_table(_shingles(some), "open-shingles")
-    lists = shingles.groupBy("shingle").agg(F.count(F.lit(1)).alias("m"))
-    lists = stage_table(lists.filter(F.col("m") <= RARE), "rare-shingles")
-    rare = shingles.join(lists, "shingle")
-    counted = named.join(rare.groupBy("node").agg(F.count(F.lit(1)).alias("r")), "node", "left")
+    lists = _short_lists(_shingles(some))
+    rare = lists.select(F.explode("members").alias("node")).groupBy("node").agg(F.count(F.lit(1)).alias("r"))
+    counted = named.join(rare, "node", "left")
     counted = stage_table(counted.withColumn("c", F.col("n") - F.coalesce("r", F.lit(0))).drop("r"), "open-counts")
     drop_stage(named)
 
     # 1: pairs that share rare shingles
-    member = rare.filter("m > 1").join(counted.select("node", "n", "c", "component"), "node")
-    short = member.groupBy("shingle").agg(F.array_sort(F.collect_list(F.struct("node", "n", "c", "component"))).alias("all"))
-    short = short.filter("exists(all, x -> x.component <> all[0].component)")
-    two = "flatten(transform(all, (x, i) -> transform(filter(slice(all, i + 2, size(all)), y -> y.component <> x.component), y -> struct(x as x, y as y))))"
-    met = short.select(F.explode(F.expr(two)).alias("p")).groupBy("p").agg(F.count(F.lit(1)).alias("k"))
-    met = met.select("k", *[F.col(f"p.{s}.{x}").alias(f"{s}_{x}") for s in "xy" for x in ("node", "n", "c")])
-    both = F.col("k") + F.least("x_c", "y_c")
-    settled(met.filter(_bound(both, F.col("x_n"), F.col("y_n"), percent)).select(*_ordered("x_node", "y_node")))
-    drop_stage(shingles)
+    two = "flatten(transform(members, (x, i) -> transform(slice(members, i + 2, size(members)), y -> struct(y as a, x as b))))"
+    met = lists.filter("size(members) > 1").select(F.explode(F.expr(two)).alias("p")).select("p.a", "p.b").groupBy("a", "b").agg(F.count(F.lit(1)).alias("k"))
+    for side in "ab":
+        met = met.join(counted.select(F.col("node").alias(side), *[F.col(x).alias(f"{side}_{x}") for x in ("n", "c", "component")]), side)
+    both = F.col("k") + F.least("a_c", "b_c")
+    settled(met.filter((F.col("a_component") != F.col("b_component")) & _bound(both, F.col("a_n"), F.col("b_n"), percent)).select("a", "b"))
     drop_stage(lists)
 
     # 2: what is left can only be linked by its common shingles
