@@ -152,7 +152,7 @@ def test_review(spark):
     good = ("1", 0.9, "150000", "180000", "USD", "year", "Base salary 150k to 180k USD per year", "senior", None, "Quant Dev", "no", "We cannot sponsor visas", True, "A PhD is required", "2026-12-23", "Apply by 23 December 2026")
     r = review.plan(posting, spark.createDataFrame([good], schema), build_profile()).first()
     assert r.outcome == "corrected" and [c.field for c in r.corrections] == ["compensation", "visa_sponsorship", "phd_required", "closes_at"]
-    assert r.refused == ["seniority: its quote never names the level"]
+    assert r.refused == ["seniority: level_not_quoted"]
     bad = good[:2] + ("160000",) + good[3:10] + ("sponsors", "visa help", True, "PhD or equivalent required", "2025-12-23", "Apply by 23 December 2026")
     r = review.plan(posting, spark.createDataFrame([bad], schema), build_profile()).first()
     assert r.outcome == "confirmed" and len(r.refused) == 5
