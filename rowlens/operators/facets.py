@@ -41,8 +41,41 @@ def facet(store: Store, dimension: str, flt: PostingFilter = DEFAULT_FILTER, as_
 
 
 def facet_counts(store: Store, flt: PostingFilter = DEFAULT_FILTER, as_of: datetime | str | None = None) -> DataFrame:
-    """All dimensions, one below the other."""
-    return reduce(DataFrame.unionByName, [facet(store, d, flt, as_of) for d in DIMENSIONS])
+    """All dimensions, one below the other, from one reading of the feed.
+
+    The base is filtered by everything but the dimensions' own fields; each row says which
+    of those fields it fails. A row counts in the dimensions that leave out what it fails:
+    in all of them if that is nothing, in one if it is one, in none beyond that.
+    """
+    fields = {field: (column, child) for field, column, child in DIMENSIONS.values()}
+    rows = base_feed(store, reduce(lambda f, name: f.without(name), fields, flt), as_of)
+    own = {column for column, child in fields.values() if not child}
+    fails = []
+    for field, (column, child) in fields.items():
+        values = getattr(flt, field)
+        if values and child:
+            mark = f"__{field}"
+            holders = getattr(store, child).filter(F.col(column).isin(*values)).select("posting_id").distinct().withColumn(mark, F.lit(True))
+            rows = rows.join(holders, "posting_id", "left")
+            fails.append(F.when(F.col(mark).isNull(), F.lit(field)))
+        elif values:
+            fails.append(F.when(~F.coalesce(F.col(column).isin(*values), F.lit(False)), F.lit(field)))
+    failed = F.array_compact(F.array(*fails)) if fails else F.expr("cast(array() as array<string>)")
+    rows = rows.select("posting_id", *sorted(own), failed.alias("failed")).filter("size(failed) < 2")
+
+    def valued(frame: DataFrame, names: list[str]) -> DataFrame:
+        """(dimension, value) of each row for the dimensions that it counts in."""
+        pairs = [F.when((F.size("failed") == 0) | F.array_contains("failed", DIMENSIONS[d][0]), F.struct(F.lit(d).alias("dimension"), F.col(DIMENSIONS[d][1]).alias("value"))) for d in names]
+        return frame.select("posting_id", F.explode(F.array_compact(F.array(*pairs))).alias("x")).select("posting_id", "x.*").filter("value is not null")
+
+    parts = [valued(rows, [d for d, (_, _, child) in DIMENSIONS.items() if not child])]
+    for child in sorted({child for _, _, child in DIMENSIONS.values() if child}):
+        names = [d for d, (_, _, c) in DIMENSIONS.items() if c == child]
+        values = getattr(store, child).select("posting_id", *[DIMENSIONS[d][1] for d in names])
+        # a posting counts once for a value: distinct first, the count then needs none
+        parts.append(valued(rows.select("posting_id", "failed").join(values, "posting_id"), names).distinct())
+    every = reduce(DataFrame.unionByName, parts)
+    return every.groupBy("dimension", "value").agg(F.count(F.lit(1)).alias("n"))
 
 
 def options(counts: DataFrame, selected: DataFrame) -> DataFrame:

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from rowlens.config import build_profile
+from rowlens.config import build_profile, build_taxonomy
 from rowlens.functions import dates, money, text
 from rowlens.operators import applications, dedup, facets, feed, health, normalize, reports, retention, score, search
 from rowlens.operators.feed import PostingFilter
@@ -223,12 +223,16 @@ def coverage(spark, sf):
     return total.unionByName(sector).unionByName(country)
 
 
+#: Some months after the last posting, when part of the companies have gone silent.
+QUIET = "2001-12-01 00:00:00"
+
+
 @query(
-    f"select company_slug from companies c where enabled and not discovered and not exists (select 1 from postings p where p.company_slug = c.company_slug and p.is_active and p.last_seen_at >= timestamp '{AS_OF}' - interval '20' day)",
+    f"select company_slug from companies c where enabled and not discovered and not exists (select 1 from postings p where p.company_slug = c.company_slug and p.is_active and p.last_seen_at >= timestamp '{QUIET}' - interval '20' day)",
     "companies", "postings",
 )
 def silent_companies(spark, sf):
-    return reports.silent_companies(store(spark, sf), AS_OF, days=20)
+    return reports.silent_companies(store(spark, sf), QUIET, days=20)
 
 
 _COHORT = f"""cohort as (select *, cast(ceil((epoch(timestamp '{AS_OF}') - epoch(first_seen_at)) / 604800.0) - 1 as int) as week from postings
@@ -411,7 +415,8 @@ def kept_payloads(spark, sf):
 
 @query(
     """select source_job_id, sha256(title_raw || chr(31) || description_raw || chr(31) || coalesce(location_raw, '')) as content_hash,
-    trim(regexp_replace(regexp_replace(regexp_replace(regexp_replace(lower(title_raw), '[(\\[][^)\\]]*[)\\]]', ' ', 'g'), '\\b(?:19|20)\\d{2}\\s*(?:start|intake|cohort)\\b', ' ', 'g'), '\\b(?:req|ref|job)[-_ ]?#?\\d+\\b', ' ', 'g'), '[^a-z0-9]+', ' ', 'g')) as title_key,
+    array_to_string(list_filter(regexp_extract_all(regexp_replace(lower(title_raw), '\\([^)]*\\)|\\[[^\\]]*\\]', ' ', 'g'), '[a-z0-9]+'),
+        lambda w: w not in ('start', 'starting', 'intake', 'cohort', 'req', 'ref', 'job', 'f', 'h', 'm', 'w', 'd', 'x') and not regexp_full_match(w, '\\d{3,}')), ' ') as title_key,
     substr(sha256(source || chr(31) || company_slug || chr(31) || source_job_id), 1, 26) as posting_id from raw""",
     "raw",
 )
@@ -447,32 +452,105 @@ def amounts(spark, sf):
 # --- normalize and score -----------------------------------------------------------------------
 
 
-@query(
-    """select source_job_id, regexp_matches(description_raw, '(?i)\\bphd\\s+(is\\s+)?required\\b') and not regexp_matches(description_raw, '(?i)\\bphd\\s+preferred\\b') as phd_required,
-    case when regexp_matches(description_raw, '(?i)will not sponsor|must have (the )?(existing )?right to work') or regexp_matches(description_raw, '(?i)remote \\(([a-z ]+) only\\)') then 'no'
-        when regexp_matches(description_raw, '(?i)visa sponsorship (is )?available|relocation support') then 'sponsors' else 'unknown' end as visa_sponsorship,
-    case when description_raw like '%Nous%' then 'fr' when description_raw like '%Wir suchen%' then 'de' else 'en' end as language,
-    array_to_string(list_sort(list_filter(list_value(case when description_raw ilike '%c++%' then 'cpp' end, case when regexp_matches(description_raw, '(?i)\\bpython\\b') then 'python' end, case when regexp_matches(description_raw, '(?i)\\brust\\b') then 'rust' end,
-        case when regexp_matches(description_raw, '(?i),\\s*\\bgo\\b') then 'go' end, case when regexp_matches(description_raw, '(?i)\\blinux\\b') then 'linux' end, case when regexp_matches(description_raw, '(?i)\\bjava\\b') then 'java' end,
-        case when regexp_matches(description_raw, '(?i)\\bsql\\b') then 'sql' end, case when regexp_matches(description_raw, '(?i)\\bfpga\\b') then 'fpga' end, case when description_raw ilike '%kdb+%' then 'kdb' end), lambda x: x is not null)), ',') as tech
-    from raw""",
-    "raw",
-)
+_RULES = build_taxonomy()
+
+
+def _has(text_sql: str, words: tuple[str, ...]) -> str:
+    return "(" + " or ".join(f"contains({text_sql}, '{w}')" for w in words) + ")"
+
+
+_ROLE = f"""case when {_has("t", _RULES.trading)} then 'quant_trading' when {_has("t", _RULES.other)} then 'other' when {_has("t", _RULES.data_eng)} then 'data_eng' when {_has("t", _RULES.risk)} then 'risk'
+    when {_has("t", _RULES.dev_strong)} then 'quant_dev'
+    when {_has("t", _RULES.engineering)} or (({_has("t", _RULES.dev_context)} or {_has("t", _RULES.infra_context)}) and not {_has("t", _RULES.research)})
+        then case when {_has("t", _RULES.dev_context)} then 'quant_dev' when {_has("t", _RULES.infra_context)} then 'swe_platform' when {_has("d", _RULES.dev_context)} then 'quant_dev' else 'swe_platform' end
+    when {_has("t", _RULES.research)} or {_has("t", _RULES.quant_research)} or contains(t, ' quant ') then 'quant_research' else 'other' end"""
+_LEVEL = f"""case when min_years is not null then case when {_has("t", _RULES.programme)} and min_years <= 2 then 'graduate' when min_years <= 2 then 'junior' when min_years <= 4 then 'mid' else 'senior' end
+    when {_has("t", _RULES.programme)} then 'graduate' when {_has("t", _RULES.level_words["lead"])} then 'lead' when {_has("t", _RULES.level_words["senior"])} then 'senior' when {_has("t", _RULES.level_words["junior"])} then 'junior' else 'unknown' end"""
+_YEARS = "(\\d{1,2})\\s*(\\+|(-|to)\\s*\\d{1,2}\\s*\\+?)?\\s*years?\\b"
+_MARKS = ", ".join(f"{{'n': " + " + ".join(f"contains(d, '{m}')::int" for m in own) + f", 'o': {-k}, 'lang': '{lang}'}}" for k, (lang, own) in enumerate(_RULES.language_markers.items()))
+_TAGS = {
+    "cpp": "contains(d, 'c++')", "fpga": "regexp_matches(d, '\\b(fpga|verilog)\\b')", "kdb": "contains(d, 'kdb')", "go": "list_contains(items, 'go')",
+    **{tag: f"regexp_matches(d, '\\b{tag}\\b')" for tag in ("java", "linux", "python", "rust", "sql")},
+}
+_TEXT_SQL = f""", lines as (select source_job_id, ' ' || lower(title_raw) || ' ' as t, ' ' || lower(description_raw) || ' ' as d, description_raw as w,
+        string_split_regex(lower(description_raw), '[!?;]+|\\.\\s|\\.$') as said, list_transform(string_split_regex(lower(description_raw), '[,/;:()]|\\band\\b|\\bor\\b|\\.\\s|\\.$'), lambda x: trim(x)) as items from raw),
+    asked as (select *, try_cast(regexp_extract(list_filter(said, lambda x: regexp_matches(x, '{_YEARS}') and not regexp_matches(x, '\\b(history|founded|since|we have)\\b')
+        and (regexp_matches(x, '\\b(minimum|least|experience|required?|needs?|must)\\b') or regexp_matches(x, '\\d\\s*(\\+|-\\s*\\d)')))[1], '{_YEARS}', 1) as int) as min_years,
+        array_to_string(list_filter(said, lambda x: regexp_matches(x, '\\b(fluent|bilingual)\\b')), ' | ') as fluent,
+        coalesce(nullif(regexp_extract(w, '(?i)(will|can|do|does) ?not sponsor|must (already )?have the right to work|citizens only', 0), ''), nullif(regexp_extract(w, '(?i)(remote|hybrid) \\([a-z ]+ only\\)', 0), '')) as no,
+        nullif(regexp_extract(w, '(?i)(visa )?sponsorship (is )?available|relocation support', 0), '') as yes,
+        list_sort([{_MARKS}], 'desc')[1] as mark from lines)
+    select source_job_id, {_ROLE} as role_family, {_LEVEL} as seniority, min_years,
+        len(list_filter(said, lambda x: regexp_matches(x, '\\bphd\\b') and regexp_matches(x, '\\b(required|must)\\b') and not regexp_matches(x, '\\b(preferred|plus|or|not|no)\\b'))) > 0 as phd_required,
+        case when no is not null then 'no' when yes is not null then 'sponsors' else 'unknown' end as visa_sponsorship, coalesce(no, yes) as visa_evidence,
+        array_to_string(list_sort(list_filter([{", ".join(f"case when {test} then '{tag}' end" for tag, test in _TAGS.items())}], lambda x: x is not null)), ',') as tech,
+        concat_ws(',', case when regexp_matches(fluent, '\\bgerman\\b') then 'de' end, case when regexp_matches(fluent, '\\benglish\\b') then 'en' end, case when regexp_matches(fluent, '\\bfrench\\b') then 'fr' end) as languages_required,
+        case when mark.n > 0 then mark.lang else 'en' end as language from asked"""
+
+
+@query(_TEXT_SQL, "raw")
 def text_fields(spark, sf):
     found = normalize.text_fields(canonical(spark, sf, "raw"))
-    return found.select("source_job_id", "phd_required", "visa_sponsorship", "language", F.array_join("tech", ",").alias("tech"))
+    names = ("source_job_id", "role_family", "seniority", "min_years", "phd_required", "visa_sponsorship", "visa_evidence", "language")
+    return found.select(*names, F.array_join("tech", ",").alias("tech"), F.array_join("languages_required", ",").alias("languages_required"))
 
 
 @query(
-    """select t as title, case when t ilike '%trader%' then 'quant_trading' when t ilike '%sales%' then 'other' when t ilike '%data engineer%' then 'data_eng' when t ilike '%risk analyst%' then 'risk'
-    when t ilike '%quantitative developer%' then 'quant_dev' when t ilike '%c++%' then 'quant_dev' when t ilike '%engineer%' or t ilike '%développeur%' then 'swe_platform' when t ilike '%researcher%' then 'quant_research' else 'other' end as role, count(*) as n
-    from (select title_raw as t from raw) group by 1, 2""",
+    f"select t as title, {_ROLE} as role, count(*) as n from (select title_raw as title, ' ' || lower(title_raw) || ' ' as t, ' ' || lower(description_raw) || ' ' as d from raw) group by title, t, role".replace("select t as title", "select title"),
     "raw",
 )
 def roles(spark, sf):
-    raw = canonical(spark, sf, "raw")
-    # a bare engineer's title may be settled by the description; here titles only
-    return raw.select(F.col("title_raw").alias("title"), normalize.role_family(F.col("title_raw"), F.lit("")).alias("role")).groupBy("title", "role").agg(F.count(F.lit(1)).alias("n"))
+    raw = canonical(spark, sf, "raw").select(F.col("title_raw").alias("title"), normalize.role_family(F.col("title_raw"), F.col("description_raw")).alias("role"))
+    return raw.groupBy("title", "role").agg(F.count(F.lit(1)).alias("n"))
+
+
+#: What each location text names: city, country, region and mode of its places in order of city and country.
+_PLACES = (
+    ("London, UK", "London|GB|emea|unknown"), ("Paris", "Paris|FR|emea|unknown"), ("3 Locations", "|||unknown"), ("Hybrid - New York, NY", "New York|US|amer|hybrid"), ("Remote - EMEA", "||emea|remote"),
+    ("Zurich / Paris", "Paris|FR|emea|unknown;Zurich|CH|emea|unknown"), ("Pune, India", "Pune|IN|apac|unknown"), ("Cambridge", "|||unknown"), ("Plano, TX", "Plano|US|amer|unknown"),
+    ("Dublin Ireland", "Dublin|IE|emea|unknown"), ("Chicago Office and Paris", "Chicago|US|amer|unknown;Paris|FR|emea|unknown"), ("Switzerland - Zürich", "Zurich|CH|emea|unknown"),
+    ("Multiple locations", "|||unknown"), ("Remote (US only)", "|US|amer|remote"), ("NYC; Singapore", "New York|US|amer|unknown;Singapore|SG|apac|unknown"), ("Cambridge MA", "Cambridge|US|amer|unknown"),
+    ("Hybrid: Berlin, Germany", "Berlin|DE|emea|hybrid"),
+)
+_PLACE_ROWS = ", ".join(f"('{said}', '{want}')" for said, want in _PLACES)
+
+
+def normalized(spark: SparkSession, sf: str) -> DataFrame:
+    return normalize.normalize(canonical(spark, sf, "raw"))
+
+
+@query(
+    f"select source_job_id, coalesce(want, '|||unknown') as places from raw left join (values {_PLACE_ROWS}) v(said, want) on location_raw = said",
+    "raw",
+)
+def raw_places(spark, sf):
+    named = F.transform("locations", lambda x: F.concat_ws("|", F.coalesce(x["city"], F.lit("")), F.coalesce(x["country"], F.lit("")), F.coalesce(x["region"], F.lit("")), x["remote_mode"]))
+    return normalized(spark, sf).select("source_job_id", F.array_join(F.array_sort(named), ";").alias("places"))
+
+
+@query(
+    """, lines as (select source_job_id, description_raw as d, regexp_extract(description_raw, 'Salary: \\$(\\d+),000 - \\$(\\d+),000', ['a', 'b']) as s, regexp_extract(description_raw, 'pay is (\\d+) EUR', 1) as e,
+        regexp_extract(description_raw, '£(\\d+)k - £(\\d+)k', ['a', 'b']) as g, regexp_extract(description_raw, 'Pay of (\\d+),500 CHF', 1) as c from raw)
+    select source_job_id, case when s.a <> '' then try_cast(s.a as double) * 1000 when e <> '' then try_cast(e as double) when g.a <> '' then try_cast(g.a as double) * 1000 when c <> '' then try_cast(c as double) * 1000 + 500 end as amount_min,
+        case when s.a <> '' then try_cast(s.b as double) * 1000 when e <> '' then try_cast(e as double) when g.a <> '' then try_cast(g.b as double) * 1000 when c <> '' then try_cast(c as double) * 1000 + 500 end as amount_max,
+        case when s.a <> '' then 'USD' when e <> '' then 'EUR' when g.a <> '' then 'GBP' when c <> '' then 'CHF' end as currency, case when e <> '' then 'day' when c <> '' then 'month' when s.a <> '' or g.a <> '' then 'year' end as period,
+        contains(d, 'Bonus') as bonus_mentioned, contains(d, 'equity') as equity_mentioned from lines""",
+    "raw",
+)
+def raw_pay(spark, sf):
+    pay = normalized(spark, sf).select("source_job_id", "compensation.*")
+    return pay.select("source_job_id", F.col("amount_min").cast("double").alias("amount_min"), F.col("amount_max").cast("double").alias("amount_max"), "currency", "period", "bonus_mentioned", "equity_mentioned")
+
+
+@query(
+    f"""select source_job_id, substr(sha256(source || chr(31) || company_slug || chr(31) || source_job_id), 1, 26) as posting_id, source, company_slug, title_raw,
+    case when posted_at_raw in ('2001-02-03', '2001-02-03T10:00:00Z') and cast(replace(replace(posted_at_raw, 'T', ' '), 'Z', '') as timestamp) <= fetched_at + interval '0' day then cast('2001-02-03' as date) end as posted_on,
+    sha256(title_raw || chr(31) || description_raw || chr(31) || coalesce(location_raw, '')) as content_hash, cast(fetched_at as date) as first_seen from raw""",
+    "raw",
+)
+def normalized_postings(spark, sf):
+    p = normalized(spark, sf)
+    return p.select("source_job_id", "posting_id", "source", "company_slug", "title_raw", F.col("posted_at").cast("date").alias("posted_on"), "content_hash", F.col("first_seen_at").cast("date").alias("first_seen"))
 
 
 _SCORE_SQL = """, r as (select p.posting_id, p.title, lower(p.title) as t, p.role_family, p.seniority, p.min_years, p.phd_required, p.visa_sponsorship, p.salary_min, c.sector, c.priority,

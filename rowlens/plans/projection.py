@@ -42,11 +42,21 @@ DESCRIPTIONS = (
     "Wir suchen Kenntnisse in FPGA und kdb+. Bilingual German and English. Relocation support.",
     "Competitive pay, $14.6 billion in assets, remote (US only).",
 )
-PLACES = ("London, UK", "Paris", "3 Locations", "Hybrid - New York, NY", "Remote - EMEA", "Zurich / Paris", None, "Pune, India")
+#: Sentences of a raw description; # stands for a number that the key gives.
+YEARS_SAID = ("We need #+ years of C++ and Python.", "At least # years of experience with Rust, Go, and Linux.", "A history of # years.", "# - 12 years of experience in Java or SQL.", "Work with kdb+ and Verilog.")
+PAY_SAID = ("Salary: $1#0,000 - $2#0,000 per year.", "The base pay is 4#0 EUR per day.", "Compensation: £6#k - £9#k a year.", "Competitive pay.", "We manage $#4 billion in assets.", "Pay of #,500 CHF per month.", "A learning budget of €#00 per year.")
+VISA_SAID = ("Visa sponsorship is available.", "You must have the right to work.", "We will not sponsor.", "Remote (US only).", "Relocation support.", "Bring your ideas.")
+MORE_SAID = ("A PhD is required.", "PhD preferred.", "Fluent in French and German.", "Nous recherchons des compétences en Java.", "Wir suchen Kenntnisse in FPGA.", "Bilingual German and English.", "Bonus and equity.")
+PLACES = ("London, UK", "Paris", "3 Locations", "Hybrid - New York, NY", "Remote - EMEA", "Zurich / Paris", None, "Pune, India", "Cambridge", "Plano, TX", "Dublin Ireland", "Chicago Office and Paris", "Switzerland - Zürich", "Multiple locations", "Remote (US only)", "NYC; Singapore", "Cambridge MA", "Hybrid: Berlin, Germany")
 TECH = ("python", "cpp", "rust", "kdb", "java", "sql", "linux", "cuda", "fpga", "ocaml", "kubernetes", "csharp")
 ROLES = ("quant_dev", "swe_platform", "other", "quant_trading", "data_eng", "risk", "quant_research")
 LEVELS = ("junior", "graduate", "senior", "unknown", "mid", "intern", "lead")
 
+def _said(key: str, sentences: tuple[str, ...]) -> str:
+    return f"replace({_pick(key, sentences)}, '#', cast(1 + o_orderkey % 8 as varchar(20)))"
+
+
+RAW_TEXT = " || ' ' || ".join((_said("o_orderkey", YEARS_SAID), _said("o_custkey", PAY_SAID), _said("cast(floor(o_totalprice) as bigint)", VISA_SAID), _said("(o_orderkey + o_custkey)", MORE_SAID)))
 ID = "lpad(cast(o_orderkey as varchar(20)), 10, '0')"
 SLUG = "'s' || cast(o_custkey % (select count(*) from {supplier}) as varchar(20))"
 SCORE = "cast(least(100, floor(o_totalprice / 3500)) as int)"
@@ -96,7 +106,7 @@ SQL: dict[str, str] = {
         from {{orders}}""",
     "raw": f"""
         select {_pick("o_orderkey", SOURCES)} as source, {SLUG} as company_slug, 'j' || cast(o_orderkey as varchar(20)) as source_job_id, 'https://jobs.example/' || cast(o_orderkey as varchar(20)) as url,
-            {_pick("o_orderkey", TITLES)} as title_raw, {_pick("o_orderkey", DESCRIPTIONS)} as description_raw, {_pick("o_orderkey", PLACES)} as location_raw,
+            {_pick("o_orderkey", TITLES)} as title_raw, {RAW_TEXT} as description_raw, {_pick("o_orderkey", PLACES)} as location_raw,
             {_pick("o_orderkey", ("2001-02-03", "2001-02-03T10:00:00Z", "soon", None, "1712031231230"))} as posted_at_raw, o_orderdate as fetched_at
         from {{orders}}""",
     "runs": f"""
