@@ -480,7 +480,7 @@ _TEXT_SQL = f""", lines as (select source_job_id, ' ' || lower(title_raw) || ' '
         coalesce(nullif(regexp_extract(w, '(?i)(will|can|do|does) ?not sponsor|must (already )?have the right to work|citizens only', 0), ''), nullif(regexp_extract(w, '(?i)(remote|hybrid) \\([a-z ]+ only\\)', 0), '')) as no,
         nullif(regexp_extract(w, '(?i)(visa )?sponsorship (is )?available|relocation support', 0), '') as yes,
         list_sort([{_MARKS}], 'desc')[1] as mark from lines)
-    select source_job_id, {_ROLE} as role_family, {_LEVEL} as seniority, min_years,
+    select source_job_id, {_ROLE} as role_family, {_LEVEL} as seniority, coalesce(min_years, -1) as min_years,
         len(list_filter(said, lambda x: regexp_matches(x, '\\bphd\\b') and regexp_matches(x, '\\b(required|must)\\b') and not regexp_matches(x, '\\b(preferred|plus|or|not|no)\\b'))) > 0 as phd_required,
         case when no is not null then 'no' when yes is not null then 'sponsors' else 'unknown' end as visa_sponsorship, coalesce(no, yes) as visa_evidence,
         array_to_string(list_sort(list_filter([{", ".join(f"case when {test} then '{tag}' end" for tag, test in _TAGS.items())}], lambda x: x is not null)), ',') as tech,
@@ -492,6 +492,7 @@ _TEXT_SQL = f""", lines as (select source_job_id, ' ' || lower(title_raw) || ' '
 def text_fields(spark, sf):
     found = normalize.text_fields(canonical(spark, sf, "raw"))
     names = ("source_job_id", "role_family", "seniority", "min_years", "phd_required", "visa_sponsorship", "visa_evidence", "language")
+    found = found.withColumn("min_years", F.coalesce("min_years", F.lit(-1)))
     return found.select(*names, F.array_join("tech", ",").alias("tech"), F.array_join("languages_required", ",").alias("languages_required"))
 
 
