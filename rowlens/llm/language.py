@@ -3,20 +3,21 @@
 One zstandard raw-content dictionary per language, made of labelled sample texts;
 a text is compressed with each and goes to the language whose dictionary makes
 it smallest. The dictionaries are fitted on a bounded sample: per language the
-``SAMPLE_DOCS`` labelled training rows with the smallest hash of their id, cut
-to ``DICTIONARY_BYTES`` in all. Everything else covers all rows and whole texts.
+``SAMPLE_DOCS`` labelled training rows with the smallest hash of their id, of each
+as many characters as share ``DICTIONARY_BYTES`` equally among the rows that the
+language has, from a place in the text that the hash chooses. Every language that a
+training row has is learned. Everything else covers all rows and whole texts.
 
 Compared is what tells languages apart: lower-cased letters, everything else as
-one blank. Texts below ``SHORT_BYTES`` of such letters are compressed with the
-strategy that finds matches of three bytes. Texts above ``PIECE_BYTES`` are
-compressed in equal pieces, each with the fresh dictionaries, and the sizes of all
-pieces are added up: what a dictionary saves would else be lost against the size of
-a long text, which zstandard learns from the text itself. Where sizes tie, the language with
-more training rows wins. The margin is the relative difference to the second
-smallest size; ``score`` rises with it, from 0 at a tie to 1. A row is rejected
-when it has no letter, or when its margin is narrow although it has
-``JUDGED_BYTES`` of letters; shorter texts are not rejected for a narrow margin,
-a few words can't show more.
+one blank. Texts are compressed in equal pieces of at most ``PIECE_BYTES``, each
+with the fresh dictionaries, and the sizes of all pieces are added up: what a
+dictionary saves would else be lost against the size of a long text, which
+zstandard learns from the text itself. Where sizes tie, the language with more
+training rows wins. The margin is the relative difference to the second smallest
+size; ``score`` rises with it, from 0 at a tie to 1. A row is rejected when it has
+no letter, or when its margin is narrow: a size is a whole number of bytes and known
+to ``ROUNDING`` bytes a piece only, and a margin is narrow if it stays below
+``MIN_MARGIN`` even with that added. So a few words, which can't show more, are kept.
 
 Defined results: null texts and texts without a letter are ``und`` with score 0
 and rejected; without any labelled training row every text is ``und``; repeated
@@ -35,17 +36,18 @@ import zstandard
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from rowlens.llm.common import text_or_empty
+from rowlens.llm.common import stage_table, text_or_empty
 
 UNKNOWN = "und"
-#: Bounds of the fitted sample: rows and bytes of a language, and the languages with most training rows.
+#: Bounds of the fitted sample: rows and bytes of a language.
 SAMPLE_DOCS = 200
 DICTIONARY_BYTES = 256 << 10
-MAX_LANGS = 64
-LEVEL, SHORT_LEVEL, SHORT_BYTES = 5, 19, 1024
+#: Parts of a language that first choose their rows on their own, so that no task sees more than so many times SAMPLE_DOCS.
+PARTS = 64
+LEVEL = 5
 PIECE_BYTES = 32 << 10
-#: Rows whose best size is less than this share under the second best are rejected, if they have so many bytes of letters.
-MIN_MARGIN, JUDGED_BYTES = 0.01, 256
+#: Rows whose best size, less the rounding of a piece's size, is less than this share under the second best are rejected.
+MIN_MARGIN, ROUNDING = 0.01, 2
 
 LETTER = re.compile(r"[^\W\d_]")
 NOT_LETTERS = re.compile(r"[\W\d_]+")
@@ -62,14 +64,23 @@ def only_letters(text: str) -> bytes:
 def fit(docs: DataFrame, train: Column, sample_docs: int = SAMPLE_DOCS, dictionary_bytes: int = DICTIONARY_BYTES) -> dict[str, bytes]:
     """Raw-content dictionary per language, from a bounded sample of the rows where ``train`` holds; languages with more training rows come first."""
     labelled = docs.filter(train & F.col("lang").isNotNull() & F.col("doc_id").isNotNull() & (F.coalesce("text", F.lit("")) != ""))
-    counts = labelled.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(MAX_LANGS).collect()
-    order = Window.partitionBy("lang").orderBy(F.xxhash64("doc_id"), "doc_id")
-    ids = labelled.select("doc_id", "lang").withColumn("place", F.row_number().over(order)).filter(F.col("place") <= sample_docs)
-    share = max(1, dictionary_bytes // sample_docs)
-    # ids holds at most sample_docs rows a language: small by construction, so it may be broadcast
-    sample = labelled.select("doc_id", F.substring("text", 1, share).alias("text")).join(F.broadcast(ids), "doc_id")
+    counts = labelled.groupBy("lang").count().orderBy(F.desc("count"), "lang").collect()
+    order = [F.xxhash64("doc_id"), F.col("doc_id")]
+    ids = labelled.select("doc_id", "lang", F.pmod(F.spark_partition_id(), F.lit(PARTS)).alias("part"))
+    for keys in (["lang", "part"], ["lang"]):
+        ids = ids.withColumn("place", F.row_number().over(Window.partitionBy(*keys).orderBy(*order))).filter(F.col("place") <= sample_docs)
+    ids = stage_table(ids.select("doc_id", "lang", "place"), "language-sample")
+    rows_of = {r["lang"]: r["count"] for r in ids.groupBy("lang").count().collect()}
     texts: dict[str, list[tuple[int, str]]] = {row["lang"]: [] for row in counts}
-    for row in sample.filter(F.col("lang").isin(list(texts))).select("lang", "place", "text").collect():
+    if not texts:
+        return {}
+    share = F.create_map(*[x for lang, n in rows_of.items() for x in (F.lit(lang), F.lit(max(1, dictionary_bytes // n)))])
+    size = F.element_at(share, F.col("lang"))
+    # a place in the text, and so much from there
+    start = F.pmod(F.xxhash64("doc_id", F.lit(1)), F.greatest(F.char_length("text") - size, F.lit(0)) + 1).cast("int") + 1
+    # ids holds at most sample_docs rows a language: small by construction, so it may be broadcast
+    sample = labelled.select("doc_id", "text").join(F.broadcast(ids), "doc_id").select("lang", "place", F.substring("text", start, size).alias("text"))
+    for row in sample.collect():
         texts[row.lang].append((row.place, row.text))
     return {lang: only_letters(" ".join(t for _, t in sorted(rows)))[:dictionary_bytes] for lang, rows in texts.items()}
 
@@ -77,14 +88,13 @@ def fit(docs: DataFrame, train: Column, sample_docs: int = SAMPLE_DOCS, dictiona
 class Judge:
     """Sizes of a text behind every language's dictionary."""
 
-    def __init__(self, dictionaries: dict[str, bytes]):
+    def __init__(self, dictionaries: dict[str, bytes], min_margin: float = MIN_MARGIN):
+        self.min_margin = min_margin
         self.langs = list(dictionaries)
         # one set of parameters for all, made for the largest dictionary, so that sizes differ by content only
         most = max(map(len, dictionaries.values()), default=0)
-        long = zstandard.ZstdCompressionParameters.from_level(LEVEL, dict_size=most, write_content_size=0, write_dict_id=0)
-        short = zstandard.ZstdCompressionParameters.from_level(SHORT_LEVEL, source_size=SHORT_BYTES, dict_size=most, min_match=3, write_content_size=0, write_dict_id=0)
-        self.long = [self._packer(d, long) for d in dictionaries.values()]
-        self.short = [self._packer(d, short) for d in dictionaries.values()]
+        how = zstandard.ZstdCompressionParameters.from_level(LEVEL, dict_size=most, write_content_size=0, write_dict_id=0)
+        self.packers = [self._packer(d, how) for d in dictionaries.values()]
 
     @staticmethod
     def _packer(content: bytes, how: zstandard.ZstdCompressionParameters) -> zstandard.ZstdCompressor:
@@ -92,36 +102,36 @@ class Judge:
         held.precompute_compress(compression_params=how)
         return zstandard.ZstdCompressor(dict_data=held, compression_params=how)
 
-    def __call__(self, text: str) -> tuple[str, float, float, int]:
-        """Language, score, margin and bytes judged."""
+    def __call__(self, text: str) -> tuple[str, float, float, bool]:
+        """Language, score, margin and whether the row is rejected."""
         if not self.langs or not LETTER.search(text):
-            return UNKNOWN, 0.0, 0.0, 0
+            return UNKNOWN, 0.0, 0.0, True
         body = only_letters(text)
         count = -(-len(body) // PIECE_BYTES)
         parts = [body[len(body) * k // count : len(body) * (k + 1) // count] for k in range(count)]
-        sizes = [sum(len(p.compress(part)) for part in parts) for p in (self.short if len(body) < SHORT_BYTES else self.long)]
+        sizes = [sum(len(p.compress(part)) for part in parts) for p in self.packers]
         best = min(sizes)
         lang = self.langs[sizes.index(best)]
         if len(sizes) == 1:
-            return lang, 1.0, 1.0, len(body)
+            return lang, 1.0, 1.0, False
         second = sorted(sizes)[1]
         margin = (second - best) / second
-        return lang, min(1.0, 4 * margin), margin, len(body)
+        return lang, min(1.0, 4 * margin), margin, margin + ROUNDING * count / second < self.min_margin
 
 
 def classify(docs: DataFrame, dictionaries: dict[str, bytes], min_margin: float = MIN_MARGIN) -> DataFrame:
     """doc_id, lang_pred, score, margin and rejected for every document."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        judge = Judge(dictionaries)
+        judge = Judge(dictionaries, min_margin)
         for b in batches:
             langs, scores, margins, rejected = [], [], [], []
             for text in b.column(1):
-                lang, score, margin, judged = judge(text.as_py())
+                lang, score, margin, narrow = judge(text.as_py())
                 langs.append(lang)
                 scores.append(score)
                 margins.append(margin)
-                rejected.append(lang == UNKNOWN or (margin < min_margin and judged >= JUDGED_BYTES))
+                rejected.append(narrow)
             yield pa.record_batch(
                 [b.column(0), pa.array(langs, pa.string()), pa.array(scores, pa.float64()), pa.array(margins, pa.float64()), pa.array(rejected, pa.bool_())],
                 names=["doc_id", "lang_pred", "score", "margin", "rejected"],
@@ -136,12 +146,9 @@ def keep_accepted(docs: DataFrame, dictionaries: dict[str, bytes], min_margin: f
     at = docs.columns.index("text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        judge = Judge(dictionaries)
+        judge = Judge(dictionaries, min_margin)
         for b in batches:
-            kept = []
-            for text in b.column(at):
-                lang, _, margin, judged = judge(text.as_py() or "")
-                kept.append(lang != UNKNOWN and (margin >= min_margin or judged < JUDGED_BYTES))
+            kept = [not judge(text.as_py() or "")[3] for text in b.column(at)]
             yield b.filter(pa.array(kept, pa.bool_()))
 
     return docs.mapInArrow(run, docs.schema)

@@ -20,7 +20,9 @@ is applied to every candidate as an expression. Counting covers all rows.
 Positions are code points: the parts between matches (``split``) and the matches
 (``regexp_extract_all``) of one pattern alternate, so their lengths add up to
 each start. Patterns are possessive where that can't change a match, so that
-long runs neither backtrack nor recurse.
+long runs neither backtrack nor recurse. Work is near linear in a text's spans: what grows
+is gathered in blocks, places are looked up in short pieces of the text, and candidates are
+looked for in the text without its base spans, so none has to be compared with them.
 
 Defined results: null text counts as empty and has no spans; a null id stays
 null; repeated rows give equal rows; an empty table gives an empty result and
@@ -31,6 +33,7 @@ read.
 from __future__ import annotations
 
 import math
+from collections.abc import Callable
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
@@ -91,30 +94,87 @@ WEIGHT = 10.0
 CUT = 0.5
 
 
+#: Elements that are gathered one by one before they are set aside as a block.
+BLOCK = 256
+#: Code points of a piece of text.
+PIECE = 1024
+#: Stands for what is taken out of a text; in no pattern.
+GONE = "\u0001"
+
+
+def _with(value: Column, body: Callable[[Column], Column]) -> Column:
+    """``body`` of a value that is computed once, however often it is used."""
+    return F.get(F.transform(F.array(value), body), 0)
+
+
+def _walk(items: Column, none: Column, at: Callable[[Column, Column], Column], emit: Callable[[Column, Column], Column], end: Callable[[Column], Column] | None = None) -> Column:
+    """What ``emit`` (an array) gives for every item, ``at`` being carried from item to item, and ``end`` of the last.
+
+    Growing one array costs its length with each item, so items are gathered in blocks.
+    """
+
+    def one(acc: Column, x: Column) -> Column:
+        return F.struct(at(acc["at"], x).cast("int").alias("at"), F.concat(acc["out"], emit(acc["at"], x)).alias("out"))
+
+    def whole(every: Column) -> Column:
+        def block(acc: Column, k: Column) -> Column:
+            start = F.struct(acc["at"].alias("at"), none.alias("out"))
+            return F.aggregate(F.slice(every, k * BLOCK + 1, BLOCK), start, one, lambda a: F.struct(a["at"].alias("at"), F.concat(acc["out"], F.array(a["out"])).alias("out")))
+
+        blocks = F.sequence(F.lit(0), F.greatest(F.ceil(F.size(every) / BLOCK).cast("int") - 1, F.lit(0)))
+        begin = F.struct(F.lit(0).alias("at"), F.array_remove(F.array(none), none).alias("out"))
+        last = (lambda acc: F.concat(F.flatten(acc["out"]), end(acc["at"]))) if end else (lambda acc: F.flatten(acc["out"]))
+        return F.aggregate(blocks, begin, block, last)
+
+    return _with(items, whole)
+
+
 def _spans(text: Column, may: str, pattern: str, kind: str) -> Column:
     """array<struct<kind, start, end, match>> of all matches, leftmost and not overlapping."""
-    gaps, matches = F.split(text, pattern, -1), F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
     none = F.expr("cast(array() as array<struct<kind:string,start:int,end:int,match:string>>)")
-    walked = F.aggregate(
-        F.arrays_zip(F.slice(gaps, 1, F.size(matches)).alias("g"), matches.alias("m")),
-        F.struct(F.lit(0).alias("at"), none.alias("out")),
-        lambda acc, z: F.struct(
-            (acc["at"] + F.char_length(z["g"]) + F.char_length(z["m"])).alias("at"),
-            F.concat(
-                acc["out"],
-                F.array(
-                    F.struct(
-                        F.lit(kind).alias("kind"),
-                        (acc["at"] + F.char_length(z["g"])).alias("start"),
-                        (acc["at"] + F.char_length(z["g"]) + F.char_length(z["m"])).alias("end"),
-                        z["m"].alias("match"),
-                    )
-                ),
-            ).alias("out"),
-        ),
-        lambda acc: acc["out"],
-    )
-    return F.when(text.rlike(may), walked).otherwise(none)
+    matches = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
+    both = _with(matches, lambda m: F.arrays_zip(F.slice(F.split(text, pattern, -1), 1, F.size(m)).alias("g"), m.alias("m")))
+
+    def span(at: Column, z: Column) -> Column:
+        start = at + F.char_length(z["g"])
+        return F.array(F.struct(F.lit(kind).alias("kind"), start.alias("start"), (start + F.char_length(z["m"])).alias("end"), z["m"].alias("match")))
+
+    return F.when(text.rlike(may), _walk(both, none, lambda at, z: at + F.char_length(z["g"]) + F.char_length(z["m"]), span)).otherwise(none)
+
+
+def _pieces(text: Column) -> Column:
+    """The text in pieces of ``PIECE`` code points: Spark finds a place in a text by reading all before it."""
+    return F.regexp_extract_all(text, F.lit(f"(?s).{{1,{PIECE}}}"), F.lit(0))
+
+
+def _cut(pieces: Column, start: Column, end: Column) -> Column:
+    """Code points from start to end (exclusive)."""
+    first, last = F.floor(start / PIECE).cast("int"), F.floor((end - 1) / PIECE).cast("int")
+    head, tail = F.get(pieces, first), F.get(pieces, last)
+    same = F.substring(head, start - first * PIECE + 1, end - start)
+    over = F.concat(F.substring(head, start - first * PIECE + 1, F.lit(PIECE)), F.array_join(F.slice(pieces, first + 2, F.greatest(last - first - 1, F.lit(0))), ""), F.substring(tail, F.lit(1), end - last * PIECE))
+    return F.when(end <= start, F.lit("")).when(first == last, same).otherwise(over)
+
+
+def _rewritten(text: Column, spans: Column, by: Callable[[Column, Column], Column]) -> Column:
+    """The text with every span replaced by ``by`` (its kind, its length); of overlapping spans the one that starts first, then the longest, is written."""
+    order = F.array_sort(F.transform(spans, lambda s: F.struct(s["start"].alias("start"), (-s["end"]).alias("back"), s["kind"].alias("kind"))))
+    none = F.expr("cast(array() as array<string>)")
+
+    def walked(pieces: Column) -> Column:
+        def emit(at: Column, s: Column) -> Column:
+            # of what overlaps the span before, only the rest counts
+            begin = F.greatest(at, s["start"])
+            left = F.greatest(-s["back"] - begin, F.lit(0))
+            return F.when(s["start"] < at, F.array(F.repeat(F.lit(GONE), left) if by is _gone else F.lit(""))).otherwise(F.array(_cut(pieces, at, s["start"]), by(s["kind"], left)))
+
+        return F.array_join(_walk(order, none, lambda at, s: F.greatest(at, -s["back"]), emit, lambda at: F.array(_cut(pieces, at, F.char_length(text)))), "")
+
+    return F.when(F.size(spans) == 0, text).otherwise(_with(_pieces(text), walked))
+
+
+def _gone(kind: Column, length: Column) -> Column:
+    return F.repeat(F.lit(GONE), length)
 
 
 def _digits(text: Column) -> Column:
@@ -170,29 +230,33 @@ def _votes(kind: str, match: Column, before: Column) -> Column:
     )
 
 
-def candidate_spans(text: Column, base: Column) -> Column:
-    """Candidates that overlap no base span: kind, start, end, votes and shape (length class)."""
+def candidate_spans(free: Column) -> Column:
+    """Candidates in a text whose base spans are taken out: kind, start, end, votes and shape (length class)."""
+
     def of(kind: str) -> Column:
-        free = F.filter(_spans(text, MAY_WIDER[kind], WIDER[kind], kind), lambda s: ~F.exists(base, lambda b: (b["start"] < s["end"]) & (s["start"] < b["end"])))
-        return F.transform(
-            free,
-            lambda s: F.struct(
-                s["kind"].alias("kind"),
-                s["start"].alias("start"),
-                s["end"].alias("end"),
-                _votes(kind, s["match"], F.substring(text, F.greatest(s["start"] + 1 - CONTEXT, F.lit(1)), F.least(F.lit(CONTEXT), s["start"]))).alias("votes"),
-                F.least(F.floor(F.char_length(s["match"]) / 8), F.lit(7)).cast("int").alias("shape"),
-            ),
-        )
+        def all_of(pieces: Column) -> Column:
+            return F.transform(
+                _spans(free, MAY_WIDER[kind], WIDER[kind], kind),
+                lambda s: F.struct(
+                    s["kind"].alias("kind"),
+                    s["start"].alias("start"),
+                    s["end"].alias("end"),
+                    _votes(kind, s["match"], _cut(pieces, F.greatest(s["start"] - CONTEXT, F.lit(0)), s["start"])).alias("votes"),
+                    F.least(F.floor(F.char_length(s["match"]) / 8), F.lit(7)).cast("int").alias("shape"),
+                ),
+            )
+
+        none = F.expr("cast(array() as array<struct<kind:string,start:int,end:int,votes:string,shape:int>>)")
+        return F.when(free.rlike(MAY_WIDER[kind]), _with(_pieces(free), all_of)).otherwise(none)
 
     return F.concat(*map(of, WIDER))
 
 
-def with_spans(docs: DataFrame) -> DataFrame:
-    """doc_id, text, base spans and candidates of every document."""
-    rows = docs.select(F.col("doc_id"), text_or_empty("text").alias("text"))
+def with_spans(rows: DataFrame) -> DataFrame:
+    """Adds to rows with ``text`` its base spans and candidates, which overlap none of them."""
     rows = rows.withColumn("base", base_spans(F.col("text")))
-    return rows.withColumn("candidates", candidate_spans(F.col("text"), F.col("base")))
+    rows = rows.withColumn("free", _rewritten(F.col("text"), F.col("base"), _gone))
+    return rows.withColumn("candidates", candidate_spans(F.col("free"))).drop("free")
 
 
 @dataclass(frozen=True)
@@ -280,23 +344,25 @@ def _rank(s: Column) -> Column:
 
 
 def accepted_spans(found: DataFrame, accepted: list[tuple[str, str, int]]) -> DataFrame:
-    """Adds ``spans``: base spans and the accepted candidates, by kind as listed, then start; of overlapping additions the first kind's stays."""
+    """Adds ``spans``: base spans and the accepted candidates, by kind as listed, then start; of overlapping additions the one that starts first, then the first kind's, stays."""
     if not accepted:
         return found.withColumn("spans", F.transform("base", _plain))
     names = F.array(*[F.lit(f"{k}:{v}:{s}") for k, v, s in accepted])
     found = found.withColumn("taken", F.filter("candidates", lambda c: F.array_contains(names, F.concat_ws(":", c["kind"], c["votes"], c["shape"].cast("string")))))
-    other = F.col("taken")
-    clear = F.filter("taken", lambda c: ~F.exists(other, lambda o: (_rank(o) < _rank(c)) & (o["start"] < c["end"]) & (c["start"] < o["end"])))
-    one_kind = F.size(F.array_distinct(F.transform("taken", lambda c: c["kind"]))) < 2  # spans of one kind never overlap
-    every = F.concat(F.transform("base", _plain), F.transform(F.when(one_kind, other).otherwise(clear), _plain))
-    keyed = F.transform(every, lambda s: F.struct(_rank(s).alias("rank"), s["start"].alias("start"), s["end"].alias("end"), s["kind"].alias("kind")))
-    spans = F.when(F.size("taken") == 0, F.transform("base", _plain)).otherwise(F.transform(F.array_sort(keyed), _plain))
+    # spans of one kind never overlap
+    several = F.size(F.array_distinct(F.transform("taken", lambda c: c["kind"]))) > 1
+    keyed = lambda spans: F.transform(spans, lambda s: F.struct(_rank(s).alias("rank"), s["start"].alias("start"), s["end"].alias("end"), s["kind"].alias("kind")))
+    by_start = F.array_sort(F.transform("taken", lambda s: F.struct(s["start"].alias("start"), _rank(s).alias("rank"), s["end"].alias("end"), s["kind"].alias("kind"))))
+    none = F.expr("cast(array() as array<struct<kind:string,start:int,end:int>>)")
+    clear = _walk(by_start, none, lambda at, s: F.greatest(at, s["end"]), lambda at, s: F.when(s["start"] >= at, F.array(_plain(s))).otherwise(none))
+    more = F.when(several, clear).otherwise(F.transform("taken", _plain))
+    spans = F.when(F.size("taken") == 0, F.transform("base", _plain)).otherwise(F.transform(F.array_sort(keyed(F.concat(F.transform("base", _plain), more))), _plain))
     return found.withColumn("spans", spans)
 
 
 def find_spans(docs: DataFrame) -> DataFrame:
     """doc_id, text, base and spans (arrays of kind, start, end) of every document."""
-    found = with_spans(docs)
+    found = with_spans(docs.select(F.col("doc_id"), text_or_empty("text").alias("text")))
     _, accepted = fit(found)
     return accepted_spans(found, accepted).select("doc_id", "text", "base", "spans")
 
@@ -317,26 +383,13 @@ def pii_digest(docs: DataFrame) -> DataFrame:
 
 def redacted(text: Column, spans: Column) -> Column:
     """The text with every span replaced by its kind in brackets; of overlapping spans the one that starts first, then the longest, is written."""
-    order = F.array_sort(F.transform(spans, lambda s: F.struct(s["start"].alias("start"), (-s["end"]).alias("back"), s["kind"].alias("kind"))))
-    walked = F.aggregate(
-        order,
-        F.struct(F.lit(0).alias("at"), F.lit("").alias("out")),
-        lambda acc, s: F.when(s["start"] < acc["at"], F.struct(F.greatest(acc["at"], -s["back"]).alias("at"), acc["out"].alias("out"))).otherwise(
-            F.struct(
-                (-s["back"]).alias("at"),
-                F.concat(acc["out"], F.substring(text, acc["at"] + 1, s["start"] - acc["at"]), F.lit("["), F.upper(s["kind"]), F.lit("]")).alias("out"),
-            )
-        ),
-        lambda acc: F.concat(acc["out"], F.substring(text, acc["at"] + 1, F.char_length(text) - acc["at"])),
-    )
-    return F.when(F.size(spans) == 0, text).otherwise(walked)
+    return _rewritten(text, spans, lambda kind, _: F.concat(F.lit("["), F.upper(kind), F.lit("]")))
 
 
 def redact(docs: DataFrame) -> DataFrame:
     """The rows of ``docs``, all columns as they are but for ``text``, where every span gives way to its kind, and ``n_chars``; null texts stay null."""
     rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), text_or_empty("text").alias("text"))
-    rows = rows.withColumn("base", base_spans(F.col("text")))
-    found = rows.withColumn("candidates", candidate_spans(F.col("text"), F.col("base")))
+    found = with_spans(rows)
     _, accepted = fit(found)
     done = accepted_spans(found, accepted).withColumn("clean", F.when(F.col("row.text").isNotNull(), redacted(F.col("text"), F.col("spans"))))
     new = {"text": F.col("clean"), "n_chars": F.when(F.col("clean").isNotNull(), F.char_length("clean").cast("long"))}

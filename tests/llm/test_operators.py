@@ -128,6 +128,16 @@ def test_personal_data(spark, odd, docs):
     assert clean.text == "mail me: [EMAIL], [PHONE], [IP], [CARD]" and clean.n_chars == len(clean.text) and clean.base == 1
 
 
+def test_many_spans_in_one_text(spark):
+    text = " ".join(f"a{k}@b{k}.de or 10.0.{k % 250}.1" for k in range(10_000))
+    frame = spark.createDataFrame([(1, text)], "doc_id long, text string")
+    began = time.time()
+    got = pii.find_spans(frame).first()
+    want = [("email", m.start(), m.end()) for m in re.finditer(r"\S+@\S+", text)] + [("ip", m.start(), m.end()) for m in re.finditer(r"10\.0\.\d+\.1", text)]
+    assert [tuple(s)[:3] for s in got.base] == want and [tuple(s) for s in got.spans] == want
+    assert pii.redact(frame).first().text == " ".join(["[EMAIL] or [IP]"] * 10_000) and time.time() - began < 120
+
+
 def test_reliability_is_learned():
     counted = [("card", "yyyy-", 2, 500), ("card", "nn-yn", 2, 500), ("card", "n-n-n", 3, 300)]
     model = pii.train(counted)
@@ -181,8 +191,36 @@ def test_language_of_very_long_texts(docs):
         assert all(j[0] == lang and j[2] >= language.MIN_MARGIN for j in judged)
         # new word orders, and one text over and over
         for long in (" ".join(parts), " ".join([parts[0]] * 120)):
-            found_lang, _, margin, size = judge(long)
-            assert found_lang == lang and size > 1_500_000 and margin >= 0.7 * min(j[2] for j in judged)
+            found_lang, _, margin, rejected = judge(long)
+            assert found_lang == lang and not rejected and margin >= 0.7 * min(j[2] for j in judged)
+
+
+def test_language_against_brute_force(docs, texts):
+    dictionaries = language.fit(docs, ~language.held_out(F.col("doc_id")))
+    assert list(dictionaries) and all(len(d) <= language.DICTIONARY_BYTES for d in dictionaries.values())
+    how = language.zstandard.ZstdCompressionParameters.from_level(language.LEVEL, dict_size=max(map(len, dictionaries.values())), write_content_size=0, write_dict_id=0)
+    for r in language.identify(docs).collect():
+        text = re.sub(r"[\W\d_]+", " ", texts[r.doc_id].lower()).encode()
+        if not re.search(r"[^\W\d_]", texts[r.doc_id]):
+            assert r.lang_pred == "und" and r.rejected
+            continue
+        n = math.ceil(len(text) / language.PIECE_BYTES)
+        sizes = {}
+        for lang, content in dictionaries.items():
+            held = language.zstandard.ZstdCompressionDict(content, dict_type=language.zstandard.DICT_TYPE_RAWCONTENT)
+            held.precompute_compress(compression_params=how)
+            packer = language.zstandard.ZstdCompressor(dict_data=held, compression_params=how)
+            sizes[lang] = sum(len(packer.compress(text[len(text) * k // n : len(text) * (k + 1) // n])) for k in range(n))
+        best, second = sorted(sizes.values())[:2]
+        # ties: the language that more training rows have, which comes first
+        assert r.lang_pred == min(sizes, key=sizes.get) and r.margin == (second - best) / second
+        assert r.rejected == ((second - best + 2 * n) / second < 0.01)
+
+
+def test_every_language_is_learned(spark):
+    rows = [(k, f"{chr(97 + k % 26) * 3}{chr(97 + k // 26)} " * 20, f"l{k}") for k in range(100)]
+    frame = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    assert len(language.fit(frame, F.lit(True))) == 100
 
 
 def test_main_text(spark):
