@@ -6,8 +6,11 @@ decreasing and its bin count held against lower bounds from dual-feasible
 functions: a bucket whose count equals the bound is certified, no packing of its
 pieces is smaller. Buckets with a gap exchange documents: ``FAN`` neighbours
 pool their pieces, best-fit decreasing runs again on the pool, and the pool's
-packing counts where it needs fewer bins. Rounds follow until nothing has a gap,
-or the pools reach ``FAN ** ROUNDS`` buckets.
+packing counts where it needs fewer bins. Rounds follow, each with pools ``FAN`` times
+as wide, until nothing has a gap or the pools reach ``FAN ** ROUNDS`` buckets. A gap
+that is left then stays, and the result shows it (``bins`` beyond ``bound``): less
+than a bin for every ``BUCKET`` pieces in practice, and a wider pool would need a task
+to hold more pieces. Pieces that are equal in everything are dealt like others.
 
 A task holds the lengths of one pool, never texts or ids: a bounded number of
 rows at any input size. A document longer than the capacity is cut so that the
@@ -37,6 +40,8 @@ CAPACITY = 2048
 BUCKET = 32_768
 FAN = 4
 ROUNDS = 2
+#: Buckets that rows equal in everything can reach.
+SPREAD = 1024
 #: Bits of a sequence number that count bins inside a bucket, and of a bucket number below its round.
 BIN_BITS, ROUND_BITS = 22, 36
 
@@ -140,7 +145,8 @@ def pack(items: DataFrame, capacity: int = CAPACITY, bucket: int = BUCKET) -> Da
         return rows[NAMES]
 
     buckets = max(1, math.ceil(items.count() / bucket))
-    dealt = items.withColumn("bucket", F.pmod(F.xxhash64("doc_id", "piece", "ids_crc32"), F.lit(buckets)))
+    # the row's number spreads rows that are equal in everything
+    dealt = items.withColumn("bucket", F.pmod(F.xxhash64("doc_id", "piece", "ids_crc32", F.monotonically_increasing_id() % SPREAD), F.lit(buckets)))
     now = stage_table(dealt.groupBy("bucket").applyInPandas(first, PACKED), "packed")
     done: DataFrame | None = None
     for r in range(1, ROUNDS + 1):
@@ -148,11 +154,13 @@ def pack(items: DataFrame, capacity: int = CAPACITY, bucket: int = BUCKET) -> Da
             break
         settled, gap = now.filter("bins <= bound"), now.filter("bins > bound")
         done = settled if done is None else done.unionByName(settled)
-        mask = (1 << ROUND_BITS) - 1
-        place = F.floor(F.col("bucket").bitwiseAND(F.lit(mask)) / (FAN**r if r == 1 else FAN)).cast("long")
+        # a bucket's number counts in units of the round it was packed in
+        made = F.shiftright("bucket", ROUND_BITS)
+        number = F.col("bucket").bitwiseAND(F.lit((1 << ROUND_BITS) - 1))
+        place = F.floor(number / F.pow(F.lit(float(FAN)), r - made)).cast("long")
         pool = F.lit(r << ROUND_BITS) + place
         now = stage_table(gap.groupBy(pool.alias("pool")).applyInPandas(pooled, PACKED), f"packed-{r}")
-        buckets = math.ceil(buckets / FAN)
+        buckets = math.ceil(buckets / FAN)  # pools of this round
     found = now if done is None else done.unionByName(now)
     return found.withColumn("sequence_id", F.col("bucket") * (1 << BIN_BITS) + F.col("bin"))
 

@@ -505,3 +505,24 @@ def test_search(spark, odd, docs, duck, monkeypatch):
     expect = {q: v for q, v in brute_search(rows, [tuple(r) for r in queries.collect()], 3).items() if v}
     assert {q: [i for i, _ in v] for q, v in have.items()} == {q: [i for i, _ in v] for q, v in expect.items()}
     assert bm25.search(odd.limit(0), queries).count() == 0
+
+
+def test_packing_exchange(spark):
+    r = np.random.default_rng(5)
+    lengths = r.integers(200, 1400, 3_000)
+    rows = [(k, 0, 0, int(n), k) for k, n in enumerate(lengths)] + [(None, 0, 0, 900, 7)] * 500
+    items = spark.createDataFrame(rows, "doc_id long, piece int, start long, length long, ids_crc32 long").repartition(4)
+    # the rounds' pools, by hand: 70 buckets, then groups of four, then of sixteen
+    got = packing.pack(items, packing.CAPACITY, bucket=50).toPandas()
+    assert Counter(zip(got.doc_id.fillna(-1), got.length)) == Counter((-1 if d is None else d, n) for d, _, _, n, _ in rows)
+    for _, own in got.groupby("sequence_id"):
+        own = own.sort_values("offset")
+        assert own.offset.tolist() == [0, *np.cumsum(own.length)[:-1]] and own.length.sum() <= packing.CAPACITY
+    for _, own in got.groupby("bucket"):
+        assert own["bin"].nunique() == own.bins.iloc[0] >= packing.lower_bound(own.length.to_numpy(np.int64), packing.CAPACITY) == own.bound.iloc[0]
+    rounds = got.bucket.to_numpy() >> packing.ROUND_BITS
+    assert set(rounds) >= {0, 1} and rounds.max() <= packing.ROUNDS
+    assert (got[got.doc_id.isna()].bucket & ((1 << packing.ROUND_BITS) - 1)).nunique() > 5
+    alone = packing.pack(items, packing.CAPACITY, bucket=50_000)
+    whole = alone.select("bins").first().bins
+    assert whole <= got.sequence_id.nunique() <= 1.02 * whole
