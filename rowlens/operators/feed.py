@@ -207,11 +207,11 @@ def after(sort: str, value: object, posting_id: str) -> Column:
 def feed(
     store: Store, flt: PostingFilter = DEFAULT_FILTER, sort: str = "score", cursor: str | None = None, limit: int = PAGE, as_of: datetime | str | None = None
 ) -> DataFrame:
-    """One page of the feed, ordered."""
+    """One page of the feed, ordered, of at most ``MOST`` rows; a limit of 0 gives none."""
     rows = base_feed(store, flt, as_of)
     if cursor is not None:
         rows = rows.filter(after(sort, *decode_cursor(cursor)))
-    return rows.orderBy(*order(sort)).limit(min(limit, MOST) if limit else PAGE)
+    return rows.orderBy(*order(sort)).limit(min(limit, MOST))
 
 
 def page(store: Store, flt: PostingFilter = DEFAULT_FILTER, sort: str = "score", cursor: str | None = None, limit: int = PAGE, as_of: datetime | str | None = None):

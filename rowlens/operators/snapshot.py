@@ -2,7 +2,8 @@
 
 Rows of one fingerprint affect each other in order, so the state machine runs per
 fingerprint (and per identity already stored) as a grouped function over ids and
-a few flags; the wide rows are joined afterwards. A group is one job's
+a few flags; the wide rows are joined afterwards, and stored rows of fingerprints
+that the batch does not name are not touched. A group is one job's
 republications, bounded by the sources that list it.
 """
 
@@ -71,12 +72,15 @@ def apply_batch(stored: DataFrame, batch: DataFrame) -> tuple[DataFrame, DataFra
     or takes its place if that one came from an aggregator or is closed.
     """
     narrow = ["posting_id", "fingerprint", *IDENTITY, "content_hash"]
-    old = stored.select(*narrow, "is_canonical", "is_active", F.unix_timestamp("last_seen_at").alias("seen"), F.lit(False).alias("in_batch"))
     # of repeated records in one batch the last seen one counts
     once = batch.groupBy("posting_id").agg(F.max_by(F.struct(*[c for c in batch.columns if c != "posting_id"]), F.struct("last_seen_at", "content_hash")).alias("r")).select("posting_id", "r.*")
     # a record that is stored under another fingerprint stays in that group
     known = stored.select("posting_id", F.col("fingerprint").alias("__old"))
     new = once.join(known, "posting_id", "left").select("posting_id", F.coalesce("__old", "fingerprint").alias("fingerprint"), *IDENTITY, "content_hash", F.lit(False).alias("is_canonical"), F.lit(True).alias("is_active"), F.unix_timestamp("last_seen_at").alias("seen"), F.lit(True).alias("in_batch"))
+    # only jobs that the batch names can change: the rest of the store passes by
+    named = new.select("fingerprint").distinct()
+    rest, stored = stored.join(named, "fingerprint", "left_anti"), stored.join(named, "fingerprint", "left_semi").select(*stored.columns)
+    old = stored.select(*narrow, "is_canonical", "is_active", F.unix_timestamp("last_seen_at").alias("seen"), F.lit(False).alias("in_batch"))
     state = old.unionByName(new).groupBy("fingerprint").applyInPandas(fold_group, STATE)
     moves = state.filter("alias_of is not null").select(F.col("alias_of").alias("new_id"), F.col("posting_id").alias("old_id"))
     stored_ids = stored.select(F.col("posting_id").alias("old_id"), F.lit(False).alias("__n"))
@@ -99,7 +103,7 @@ def apply_batch(stored: DataFrame, batch: DataFrame) -> tuple[DataFrame, DataFra
         return F.when(F.col("from_batch"), b).otherwise(F.col(f"s.{c}"))
 
     postings = wide.select("posting_id", *[value(c).alias(c) for c in columns if c != "posting_id"]).select(*columns)
-    return postings, moves
+    return rest.select(*columns).unionByName(postings), moves
 
 
 def deactivate_missing(postings: DataFrame, seen: DataFrame) -> DataFrame:

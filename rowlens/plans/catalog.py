@@ -9,9 +9,10 @@ from pyspark.sql import functions as F
 
 from rowlens.config import build_profile, build_taxonomy
 from rowlens.functions import dates, money, text
-from rowlens.operators import applications, dedup, facets, feed, health, normalize, reports, retention, score, search
+from rowlens.operators import applications, dedup, facets, feed, health, normalize, reports, retention, review, score, search, snapshot
 from rowlens.operators.feed import PostingFilter
 from rowlens.plans.projection import AS_OF, canonical, oracle, store
+from rowlens.sources import readers
 
 FLAGSHIP = "feed_default"
 
@@ -118,6 +119,16 @@ def filter_text(spark, sf):
     return _row(feed.base_feed(store(spark, sf), PostingFilter(query=match)))
 
 
+@query(_ORACLES["filter_text"])
+def filter_text_indexed(spark, sf):
+    """The same condition by a token table: its words narrow the texts that are read."""
+    st = store(spark, sf)
+    index = search.token_table(st.texts)
+    match = search.Match(phrases=("relocation support",), prefixes=("quant",), none=("astrology",))
+    found = search.matching_indexed(st.texts, index, match)
+    return _row(feed.base_feed(st, PostingFilter()).join(found, "posting_id", "left_semi"))
+
+
 _SORT_SQL = {"posted": "p.posted_at desc nulls last, p.posting_id desc", "seen": "p.first_seen_at desc nulls last, p.posting_id desc", "company": "p.company_slug asc nulls last, p.posting_id asc", "closes": "p.closes_at asc nulls last, p.posting_id asc"}
 
 
@@ -585,6 +596,90 @@ def verdicts(spark, sf):
     return found.select("posting_id", "score", "tier", "rejection_reason")
 
 
+@query(_SCORE_SQL.replace("{as_of}", "1998-03-01 00:00:00").replace("    select posting_id, score::int", "    select 'all' as track, posting_id, score::int"), "postings", "companies", "tech")
+def track_scores(spark, sf):
+    rows = scored_rows(spark, sf).withColumn("scored_at", F.lit("1998-03-01 00:00:00").cast("timestamp"))
+    found = score.score_tracks(rows, {"all": build_profile()}, canonical(spark, sf, "track_verdicts"), "1998-03-01 00:00:00")
+    return found.select("track", "posting_id", "score", "tier", "rejection_reason")
+
+
+# --- sources, batches and review ------------------------------------------------------------------
+
+
+@query(
+    """select s.source, company_slug, source_job_id, title_raw, location_raw, sha256(title_raw || chr(31) || description_raw || chr(31) || coalesce(location_raw, '')) as content_hash
+    from raw cross join (values ('greenhouse'), ('lever'), ('workday')) s(source) where s.source <> 'workday'
+    union all select 'workday', company_slug, source_job_id, title_raw, location_raw, sha256(title_raw || chr(31) || chr(31) || coalesce(location_raw, '')) from raw""",
+    "raw",
+)
+def source_records(spark, sf):
+    """Records of three sources' payloads, one page an employer, read back from their JSON."""
+    raw = canonical(spark, sf, "raw")
+    job, title, place, text_raw = F.col("source_job_id"), F.col("title_raw"), F.col("location_raw"), F.col("description_raw")
+    shapes = {
+        "greenhouse": F.struct(job.alias("id"), title.alias("title"), F.col("url").alias("absolute_url"), text_raw.alias("content"), F.struct(place.alias("name")).alias("location")),
+        "lever": F.struct(job.alias("id"), title.alias("text"), F.col("url").alias("hostedUrl"), text_raw.alias("descriptionPlain"), F.struct(place.alias("location")).alias("categories")),
+        "workday": F.struct(job.alias("externalPath"), title.alias("title"), place.alias("locationsText")),
+    }
+    wrap = {"greenhouse": lambda c: F.struct(c.alias("jobs")), "lever": lambda c: c, "workday": lambda c: F.struct(c.alias("jobPostings"))}
+    found = None
+    for source, shape in shapes.items():
+        pages = raw.groupBy("company_slug").agg(F.to_json(wrap[source](F.collect_list(shape))).alias("body"), F.max("fetched_at").alias("fetched_at"))
+        pages = pages.select("company_slug", F.col("company_slug").alias("company_name"), F.lit("t").alias("token"), "body", "fetched_at")
+        rows = readers.records(pages, source).select("source", "company_slug", "source_job_id", "title_raw", "location_raw", "content_hash")
+        found = rows if found is None else found.unionByName(rows)
+    return found
+
+
+def _numbered(spark: SparkSession, sf: str) -> DataFrame:
+    return canonical(spark, sf, "postings").withColumn("k", F.col("posting_id").cast("long"))
+
+
+@query(
+    """select posting_id, case when inb and (not ins or k % 5 = 0) then upper(title) else title end as title, case when inb and k % 5 = 0 then content_hash || 'x' else content_hash end as content_hash,
+    inb or is_active as is_active, inb or is_canonical as is_canonical, cast(case when inb then last_seen_at + interval '1' day else last_seen_at end as date) as last_day, cast(first_seen_at as date) as first_day
+    from (select *, cast(posting_id as bigint) as k, k % 2 = 0 as ins, k % 3 = 0 as inb from postings) where ins or inb""",
+    "postings",
+)
+def applied_batch(spark, sf):
+    """Stored postings after a batch of repeated, changed and new ones."""
+    rows = _numbered(spark, sf).withColumn("fingerprint", F.concat(F.lit("f"), "posting_id"))
+    batch = rows.filter("k % 3 = 0").withColumn("title", F.upper("title")).withColumn("last_seen_at", F.col("last_seen_at") + F.expr("interval 1 day"))
+    batch = batch.withColumn("content_hash", F.when(F.col("k") % 5 == 0, F.concat("content_hash", F.lit("x"))).otherwise(F.col("content_hash")))
+    after, _ = snapshot.apply_batch(rows.filter("k % 2 = 0").drop("k"), batch.drop("k"))
+    return after.select("posting_id", "title", "content_hash", "is_active", "is_canonical", F.col("last_seen_at").cast("date").alias("last_day"), F.col("first_seen_at").cast("date").alias("first_day"))
+
+
+@query(
+    """select posting_id, is_active and (cast(posting_id as bigint) % 40 = 0 or not exists (select 1 from postings s where cast(s.posting_id as bigint) % 40 = 0 and s.source = p.source and s.company_slug = p.company_slug)) as is_active
+    from postings p""",
+    "postings",
+)
+def closed_postings(spark, sf):
+    """Postings that their board no longer lists are closed; boards of which nothing was seen close nothing."""
+    rows = _numbered(spark, sf)
+    return snapshot.deactivate_missing(rows, rows.filter("k % 40 = 0")).select("posting_id", "is_active")
+
+
+@query(
+    """, r as (select p.posting_id, t.description, p.visa_sponsorship, cast(0.5 + cast(p.posting_id as bigint) % 5 / 10.0 as double) as confidence from postings p join texts t using (posting_id)),
+    v as (select *, confidence >= 0.6 as heard, visa_sponsorship <> 'no' as changes, case when not contains(description, 'will not sponsor') then 'visa_sponsorship: quote_not_found'
+        when visa_sponsorship <> 'unknown' and confidence < 0.8 then 'visa_sponsorship: confidence_below_override' end as why from r)
+    select posting_id, case when not heard then 'set_aside' when changes and why is null then 'corrected' else 'confirmed' end as outcome, case when heard and changes and why is null then visa_sponsorship end as before,
+        coalesce(case when heard and changes then why end, '') as refused from v""",
+    "postings", "texts",
+)
+def reviewed_visas(spark, sf):
+    """What is taken from replies that claim a refusal of sponsorship and quote it."""
+    rows = _numbered(spark, sf).join(canonical(spark, sf, "texts").select("posting_id", "description"), "posting_id").withColumn("title_raw", F.col("title"))
+    none = F.lit(None)
+    pay = F.struct(none.cast("decimal(18,4)").alias("amount_min"), none.cast("decimal(18,4)").alias("amount_max"), none.cast("string").alias("currency"), none.cast("string").alias("period"))
+    empty = {n: none.cast("string").alias(n) for n in ("amount_min", "amount_max", "currency", "period", "pay_quote", "seniority", "level_quote", "phd_quote", "closes_on", "closes_quote")}
+    replies = rows.select("posting_id", F.round(0.5 + F.col("k") % 5 / 10, 1).alias("confidence"), *empty.values(), none.cast("int").alias("min_years"), F.lit("no").alias("visa"), F.lit("We will not sponsor").alias("visa_quote"), F.lit(False).alias("phd"))
+    found = review.plan(rows.withColumn("compensation", pay), replies, build_profile())
+    return found.select("posting_id", "outcome", F.get("corrections", 0)["before"].alias("before"), F.array_join("refused", ",").alias("refused"))
+
+
 # --- applications ----------------------------------------------------------------------------------
 
 
