@@ -286,3 +286,28 @@ def readable(raw: str | None) -> str | None:
 def html_to_text(parts: Iterator[pd.Series]) -> Iterator[pd.Series]:
     for text in parts:
         yield text.map(readable)
+
+
+def description_blocks(text: Column) -> Column:
+    """Blocks of a plain description in order: array<struct<kind, lines>> of kind list (its items), heading or paragraph (one line).
+
+    A heading is a short line that ends with a colon or has no small letter.
+    """
+    lines = F.transform(F.split(text, r"\r?\n"), lambda x: F.trim(x))
+    bullet = r"^(?:[•*·–-]\s+)"
+
+    def kind(x: Column) -> Column:
+        short = (F.char_length(x) <= 60) & (x.rlike(":$") | (x.rlike(r"\p{Lu}") & ~x.rlike(r"\p{Ll}")))
+        return F.when(x == "", "").when(x.rlike(bullet), "list").when(short, "heading").otherwise("paragraph")
+
+    # a line begins a block, unless it is an item right behind an item
+    marked = F.transform(lines, lambda x: F.struct(kind(x).alias("kind"), F.regexp_replace(x, bullet, "").alias("line")))
+    none = F.expr("cast(array() as array<struct<kind:string,lines:array<string>>>)")
+
+    def add(done: Column, x: Column) -> Column:
+        last = F.get(done, F.size(done) - 1)
+        joined = F.concat(F.slice(done, 1, F.size(done) - 1), F.array(F.struct(last["kind"].alias("kind"), F.concat(last["lines"], F.array(x["line"])).alias("lines"))))
+        alone = F.concat(done, F.array(F.struct(x["kind"].alias("kind"), F.when(x["kind"] == "", F.expr("cast(array() as array<string>)")).otherwise(F.array(x["line"])).alias("lines"))))
+        return F.when((x["kind"] == "list") & (F.size(done) > 0) & F.coalesce(last["kind"] == "list", F.lit(False)), joined).otherwise(alone)
+
+    return F.filter(F.aggregate(marked, none, add), lambda b: b["kind"] != "")

@@ -84,9 +84,15 @@ def view(rows: DataFrame, name: str = "all", year: int | None = None, country: s
     return found
 
 
-def listing(rows: DataFrame) -> DataFrame:
-    """Latest first, undated last, then company and id."""
-    return rows.orderBy(F.desc_nulls_last("applied_on"), "company", "application_id")
+def listing(rows: DataFrame, open_only: bool = False, status: str | None = None, company: str | None = None, limit: int | None = None) -> DataFrame:
+    """Latest first, undated last, then company and id; ``company`` is any part of the name, case aside."""
+    kept = rows.filter("is_open") if open_only else rows
+    if status is not None:
+        kept = kept.filter(F.col("status") == status)
+    if company:
+        kept = kept.filter(F.contains(F.lower("company"), F.lower(F.lit(company))))
+    ordered = kept.orderBy(F.desc_nulls_last("applied_on"), "company", "application_id")
+    return ordered if limit is None else ordered.limit(limit)
 
 
 def sorted_view(rows: DataFrame, by: str, today: date | str, descending: bool = False) -> DataFrame:
@@ -140,6 +146,51 @@ def unlinked_marks(flags: DataFrame, apps: DataFrame) -> DataFrame:
     return flags.filter("application_status is not null").join(apps.filter("posting_id is not null").select("posting_id"), "posting_id", "left_anti")
 
 
+def track_postings(apps: DataFrame, events: DataFrame, wishes: DataFrame, links: DataFrame, today: date | str, cv_id: str | None = None) -> tuple[DataFrame, DataFrame]:
+    """(applications, events) after postings got a status, or lost it (null).
+
+    wishes: posting_id, status, company, company_slug, title, location, one row a posting; links:
+    posting_id and the application_id of a recorded application that has no posting yet.
+    An application with that posting is the newest one; else a linked one takes the posting;
+    else a new one of origin ``feed`` is made, applied today, with the CV in use. A lost
+    status deletes what the feed made and unlinks what was recorded otherwise.
+    """
+    day = F.lit(today).cast("date")
+    own = latest_per_posting(apps).select("posting_id", F.col("application_id").alias("own_id"), "origin", F.col("status").alias("old"))
+    linked = links.groupBy("posting_id").agg(F.min("application_id").alias("linked_id"))
+    free = apps.filter("posting_id is null").select(F.col("application_id").alias("linked_id"), F.col("status").alias("linked_old"))
+    asked = wishes.join(own, "posting_id", "left").join(linked.join(free, "linked_id"), "posting_id", "left")
+    known = F.coalesce("own_id", F.when(F.col("status").isNotNull(), F.col("linked_id")))
+    made_id = F.substring(F.sha2(F.concat_ws("\x1f", "posting_id", day.cast("string")), 256), 1, 26)
+    asked = asked.select(
+        *wishes.columns, F.coalesce(known, made_id).alias("application_id"), known.isNull().alias("is_new"), F.coalesce("old", "linked_old").alias("before"),
+        (F.col("status").isNull() & (F.col("origin") == "feed")).alias("deletes"),
+    ).filter("status is not null or not is_new")
+    closing = F.when(F.col("status").isin("rejected", "withdrawn"), day)
+    fields = {
+        "application_id": F.col("application_id"), "posting_id": F.col("posting_id"), "status": F.col("status"), "company": F.col("company"), "company_slug": F.col("company_slug"), "title": F.col("title"),
+        "location": F.col("location"), "applied_on": day, "closed_on": closing, "origin": F.lit("feed"), "cv_id": F.lit(cv_id).cast("string"), "cv_inferred": F.lit(cv_id is not None),
+    }
+    new = asked.filter("is_new").select(*[fields.get(c, F.lit(None)).cast(apps.schema[c].dataType).alias(c) for c in apps.columns])
+    change = asked.filter("not is_new").select("application_id", F.col("posting_id").alias("__posting"), F.col("status").alias("__status"), "deletes", F.lit(True).alias("__hit"))
+    rows = apps.join(change, "application_id", "left").filter(~F.coalesce("deletes", F.lit(False)))
+    moved = {
+        "posting_id": F.when(F.col("__hit"), F.when(F.col("__status").isNotNull(), F.col("__posting"))).otherwise(F.col("posting_id")),
+        "status": F.coalesce("__status", "status"),
+    }
+    if "closed_on" in apps.columns:
+        closed = F.when(F.col("__status").isin("rejected", "withdrawn"), F.coalesce("closed_on", day)).otherwise(F.col("closed_on"))
+        moved["closed_on"] = F.when(F.col("__status").isNull() | (F.col("__status") == F.col("status")), F.col("closed_on")).otherwise(closed)
+    after = rows.select(*[moved.get(c, F.col(c)).alias(c) for c in apps.columns]).unionByName(new)
+    # a new application begins as applied, and every change of status is news
+    steps = asked.filter("status is not null").select("application_id", "status", "is_new", "before")
+    first = steps.filter("is_new").select("application_id", day.alias("on_date"), F.lit("applied").alias("status"), F.lit(0).alias("order"))
+    then = steps.filter((F.col("is_new") & (F.col("status") != "applied")) | (~F.col("is_new") & ~F.col("status").eqNullSafe(F.col("before"))))
+    history = append_events(events, first.unionByName(then.select("application_id", day.alias("on_date"), "status", F.lit(1).alias("order"))))
+    gone = change.filter("deletes").select("application_id")
+    return after, history.join(gone, "application_id", "left_anti")
+
+
 def import_history(apps: DataFrame, produced: DataFrame, touched: DataFrame) -> DataFrame:
     """Imported rows replaced by the newly produced ones, where the user touched none; imports no longer produced go, all others stay."""
     keep = apps.join(touched.select("application_id"), "application_id", "left_semi")

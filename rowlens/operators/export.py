@@ -29,6 +29,11 @@ def write_csv(rows: DataFrame, path: str) -> None:
     rows.write.mode("overwrite").option("header", True).csv(path)
 
 
+def write_json_lines(rows: DataFrame, path: str) -> None:
+    """A report with one object a line, nested fields as they are."""
+    rows.write.mode("overwrite").json(path)
+
+
 def weekly_report(store: Store, queue: DataFrame, as_of: datetime | str) -> dict[str, DataFrame]:
     """The report's sections by name."""
     return {

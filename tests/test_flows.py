@@ -296,3 +296,38 @@ def test_streams_equal_batches(spark, tmp_path):
     got = spark.read.parquet(str(tmp_path / "postings")).drop("batch")
     assert got.select("posting_id", "role_family").exceptAll(normalize(kept).select("posting_id", "role_family")).count() == 0 and got.count() == 300
     assert spark.read.parquet(str(tmp_path / "archive")).count() == 300
+
+
+def test_tracking_postings(spark):
+    apps = spark.createDataFrame(
+        [("a1", "p1", "applied", "Acme", None, "T", None, datetime(2026, 1, 1).date(), None, "feed", None, False), ("a2", None, "interview", "Beta", None, "T", None, None, None, "import", None, False), ("a3", "p3", "applied", "Gamma", None, "T", None, None, None, "import", None, False)],
+        "application_id string, posting_id string, status string, company string, company_slug string, title string, location string, applied_on date, closed_on date, origin string, cv_id string, cv_inferred boolean",
+    )
+    events = spark.createDataFrame([("a1", 0, datetime(2026, 1, 1).date(), "applied"), ("a2", 0, datetime(2026, 1, 2).date(), "interview")], "application_id string, seq int, on_date date, status string")
+    schema = "posting_id string, status string, company string, company_slug string, title string, location string"
+    wish = lambda *rows: spark.createDataFrame([(p, s, "C", "c", "T", None) for p, s in rows], schema)
+    links = spark.createDataFrame([("p2", "a2")], "posting_id string, application_id string")
+    after, history = applications.track_postings(apps, events, wish(("p1", "rejected"), ("p2", "interview"), ("p4", "interview"), ("p3", None), ("p9", None)), links, "2026-02-01", "cv1")
+    got = {r.posting_id or r.application_id: r for r in after.collect()}
+    assert len(got) == 4 and got["p1"].status == "rejected" and str(got["p1"].closed_on) == "2026-02-01" and got["p2"].application_id == "a2" and got["a3"].status == "applied"
+    assert got["p4"].origin == "feed" and got["p4"].cv_id == "cv1" and got["p4"].status == "interview"
+    steps = {}
+    for r in history.orderBy("application_id", "seq").collect():
+        steps.setdefault(r.application_id, []).append(r.status)
+    assert steps == {"a1": ["applied", "rejected"], "a2": ["interview"], got["p4"].application_id: ["applied", "interview"]}
+    after, history = applications.track_postings(apps, events, wish(("p1", None)), links, "2026-02-01")
+    assert {r.application_id for r in after.collect()} == {"a2", "a3"} and {r.application_id for r in history.collect()} == {"a2"}
+
+
+def test_small_surfaces(spark):
+    from rowlens.config import ConfigError, build_sources, query_boards
+    from rowlens.functions.text import description_blocks
+
+    made = build_sources({"defaults": {"timeout_s": 5}, "sources": {"lever": {"enabled": False, "interval_min": 30}}}, ("lever", "ashby"))
+    assert not made["lever"].enabled and made["lever"].interval_minutes == 30 and made["ashby"].enabled and made["ashby"].timeout_seconds == 5
+    with pytest.raises(ConfigError):
+        build_sources({"sources": []}, ("lever",))
+    assert [r["token"] for r in query_boards({"x": {"queries": ["a", "b"]}, "y": {"queries": ["c"]}}, {"y": False})] == ["a", "b"]
+    text = "ABOUT US\nWe trade.\n\nYou will:\n- build\n- test\n\n- alone\nThe end"
+    got = spark.createDataFrame([(text,)], "t string").select(description_blocks(F.col("t")).alias("b")).first().b
+    assert [(b.kind, b.lines) for b in got] == [("heading", ["ABOUT US"]), ("paragraph", ["We trade."]), ("heading", ["You will:"]), ("list", ["build", "test"]), ("list", ["alone"]), ("paragraph", ["The end"])]
