@@ -56,7 +56,16 @@ def text_or_empty(name: str) -> Column:
     return F.coalesce(F.col(f"`{name}`").cast("string"), F.lit(""))
 
 
+def unused(name: str, df: DataFrame) -> str:
+    """The name, made longer until no column of the frame has it."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
 def keep_rows(docs: DataFrame, ids: DataFrame, id_col: str = "doc_id") -> DataFrame:
     """Rows of ``docs`` whose id is in ``ids`` (column ``doc_id``; null equals null), with their columns as they are."""
-    right = ids.select(F.col("doc_id").alias("__kept_id")).distinct()
-    return docs.join(right, docs[id_col].eqNullSafe(right["__kept_id"]), "left_semi")
+    kept = unused("__kept_id", docs)
+    right = ids.select(F.col("doc_id").alias(kept)).distinct()
+    return docs.join(right, F.col(f"`{id_col}`").eqNullSafe(F.col(kept)), "left_semi")

@@ -28,7 +28,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from rowlens.llm.common import stage_table, text_or_empty
+from rowlens.llm.common import stage_table, text_or_empty, unused
 
 SALTS = 64
 
@@ -76,12 +76,14 @@ def exact_groups(
 
 def keep_exact(docs: DataFrame) -> DataFrame:
     """One row of ``docs`` per text, all columns as they are: the one with the largest doc_id."""
-    kept = exact_groups(docs).filter("kept").select(F.col("doc_id").alias("__id"), F.col("digest").alias("__digest")).distinct()
-    rows = docs.withColumn("__own", sha256(text_or_empty("text")))
-    rows = rows.join(kept, F.col("doc_id").eqNullSafe(F.col("__id")) & (F.col("__own") == F.col("__digest")), "left_semi")
-    # of rows that repeat id and text one stays; the join has sorted by these keys
-    place = F.row_number().over(Window.partitionBy("doc_id", "__own").orderBy(F.lit(0)))
-    return rows.withColumn("__place", place).filter("__place = 1").drop("__own", "__place")
+    mine, other = unused("__id", docs), unused("__digest", docs)
+    kept = exact_groups(docs).filter("kept").select(F.col("doc_id").alias(mine), F.col("digest").alias(other)).distinct()
+    own, place = unused("__own", docs), unused("__place", docs)
+    rows = docs.withColumn(own, sha256(text_or_empty("text")))
+    rows = rows.join(kept, F.col("doc_id").eqNullSafe(F.col(mine)) & (F.col(own) == F.col(other)), "left_semi")
+    # of rows that repeat id and text one stays
+    number = F.row_number().over(Window.partitionBy("doc_id", own).orderBy(F.lit(0)))
+    return rows.withColumn(place, number).filter(F.col(place) == 1).drop(own, place)
 
 
 def exact_result(docs: DataFrame) -> DataFrame:
