@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from rowlens.llm import bm25, codes, collocations, exact, html, language, license, minhash, packing, pii, shards, tokens
+from rowlens.llm import bm25, codes, collocations, cosine, exact, html, language, license, minhash, packing, pii, shards, tokens
 from rowlens.llm.common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -60,16 +60,23 @@ def op12_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
     return collocations.collocations(table(spark, sf_dir, "documents"))
 
 
+def op13_embedding_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return cosine.near_vectors(table(spark, sf_dir, "embeddings"))
+
+
 def queries() -> dict[str, Query]:
     return {
         f.__name__: f
         for f in (
             op1_bpe_round_trip, op2_pii, op3_token_shards, op4_language_id, op5_site_style_tree,
             op6_license_scan, op7_best_fit_packing, op8_minhash_near_dedup, op9_exact_dedup, op10_top_k_search,
-            op11_vector_codes, op12_collocations,
+            op11_vector_codes, op12_collocations, op13_embedding_near_dedup,
         )
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op9_exact_dedup": exact.ORACLE_SQL, "op10_top_k_search": bm25.ORACLE_SQL, "op11_vector_codes": codes.ORACLE_SQL, "op12_collocations": collocations.ORACLE_SQL}
+    return {
+        "op9_exact_dedup": exact.ORACLE_SQL, "op10_top_k_search": bm25.ORACLE_SQL,
+        "op11_vector_codes": codes.ORACLE_SQL, "op12_collocations": collocations.ORACLE_SQL, "op13_embedding_near_dedup": cosine.ORACLE_SQL,
+    }
