@@ -39,8 +39,8 @@ from rowlens.llm.common import drop_stage, stage_table, text_or_empty
 
 UNKNOWN = "und"
 MAX_WORDS, MIN_COUNT, SUBSUMED, TOP = 3, 10, 50, 2000
-#: Bytes of text of a shard.
-SHARD_BYTES = 8 << 20
+#: Bytes of text of a shard, and rows that go back to Spark at once.
+SHARD_BYTES, ROWS = 4 << 20, 1 << 15
 #: A prime: bits of the bitmap of frequent phrases; and the base of the phrase hash.
 BITS, BASE = 67_108_859, 1_000_003
 BREAKS = b".,;:!?\n\x0b\x0c\r"
@@ -127,7 +127,12 @@ def _shard_counts(docs: DataFrame, depth: int, bitmaps: list[bytes]) -> DataFram
                 phrase, n = shard.phrases()
                 if depth == 1:
                     phrase, n = pa.concat_arrays([phrase, pa.array([None], pa.string())]), np.append(n, shard.total)
-                yield pa.record_batch([pa.array([lang] * len(n), pa.string()), phrase, pa.array(n, pa.int64())], names=["lang", "phrase", "n"])
+                del shard
+                for at in range(0, len(n), ROWS):
+                    some = phrase.slice(at, ROWS)
+                    yield pa.record_batch([pa.repeat(pa.scalar(lang), len(some)), some, pa.array(n[at : at + ROWS], pa.int64())], names=["lang", "phrase", "n"])
+                del phrase, n
+                pa.default_memory_pool().release_unused()
         held.clear()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
