@@ -135,7 +135,7 @@ def ascii_fold(c: Column) -> Column:
 
 #: Legal forms, words that many employers' names have, and words of those who hire for others.
 LEGAL = ("ltd", "limited", "llc", "llp", "lp", "inc", "plc", "gmbh", "ag", "kg", "sa", "sas", "sarl", "spa", "srl", "bv", "nv", "oy", "ab", "corp", "co", "pte", "pty")
-GENERIC = ("group", "holding", "holdings", "partners", "capital", "management", "technologies", "technology", "tech", "labs", "research", "trading", "fund", "services", "systems", "the", "and")
+GENERIC = ("and", "assets", "capital", "consulting", "digital", "global", "group", "international", "invest", "networks", "software", "solutions", "tech", "the", "ventures", "worldwide")
 HIRING = ("recruitment", "recruiting", "staffing", "talent", "agency")
 
 
@@ -174,9 +174,10 @@ def alias_map(variants: Mapping[str, list[str]]) -> dict[str, str]:
     return {key: canonical for canonical, names in variants.items() for key in (canonical, *names)}
 
 
-#: Beginnings of title words with the token that stands for all of them; abbreviations of two words.
+#: Beginnings of title words with the token that stands for all of them; abbreviations of two words by their initials.
 TITLE_STEMS = (("quant", "quant"), ("develop", "dev"), ("engineer", "eng"), ("research", "research"), ("softw", "sw"), ("graduat", "grad"), ("cpp", "c++"))
-SHORT_TITLES = {"swe": "sw eng", "sde": "sw dev", "mle": "ml eng", "qr": "quant research", "qd": "quant dev"}
+FIELDS, TRADES = {"q": "quant", "s": "sw", "sw": "sw", "ml": "ml"}, {"d": "dev", "e": "eng", "r": "research"}
+SHORT_TITLES = {f + t: f"{field} {trade}" for f, field in FIELDS.items() for t, trade in TRADES.items()}
 #: Words without meaning in a title: numbers, numerals, single letters, joining words.
 EMPTY_WORD = "^(?:[0-9]+|[ivx]+|[a-z]|the|of|and|for|in|new)$"
 

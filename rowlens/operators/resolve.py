@@ -1,29 +1,30 @@
 """Entity resolution of histories kept by hand: spreadsheet rows, folders and feed postings.
 
-Candidates come from equi joins on the employer's key (and a day band); evidence
-is an expression; only the greedy assignment, whose every step depends on the
-steps before, runs as a grouped function, on one employer's candidate pairs at a
-time: ids and scores, never texts.
+Candidates come from equi joins on the employer's key and a day block; evidence
+is an expression; the greedy assignment runs in rounds of windows and joins over ids
+and points (``matching``), so no employer's pairs meet in one task.
 """
 
 from __future__ import annotations
 
 from collections.abc import Mapping
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from rowlens.functions.places import SINGLE_PLACE_WORDS, place_agreement, places
+from rowlens.functions.places import place_agreement, places, single_place_words
+from rowlens.operators.matching import linked, one_to_one
+from rowlens.session import cut_lineage
 from rowlens.functions.text import SEP, blank_to_null, company_key, fold, name_leftover, title_tokens
 
-LEAST, SHARED, LINK_DAYS = 1, 4, 4
+#: Least points of a pair and of a shared folder; days between posting and application; days beyond which a date excludes a pair.
+LEAST, SHARED, LINK_DAYS, FAR_DAYS = 1, 4, 4, 31
 
 
 def date_evidence(left: Column, right: Column) -> Column:
     """4 within two days, 3 within ten, 1 within a month; null (impossible) beyond, 0 where a date is missing."""
     gap = F.abs(F.datediff(left, right))
-    return F.when(gap.isNull(), 0).when(gap <= 2, 4).when(gap <= 10, 3).when(gap <= 31, 1)
+    return F.when(gap.isNull(), 0).when(gap <= 2, 4).when(gap <= 10, 3).when(gap <= FAR_DAYS, 1)
 
 
 def title_evidence(left: Column, right: Column) -> Column:
@@ -47,56 +48,34 @@ def candidate_pairs(rows: DataFrame, folders: DataFrame, aliases: Mapping[str, s
     left = left.select("company_key", "row_id", "applied_on", twin.alias("twin"), F.col("folded_company").alias("row_company"), fold(F.coalesce("title", F.lit(""))).alias("row_title"), places(fold(F.coalesce("location", F.lit("")))).alias("row_places"))
     right = keyed(folders, "company", aliases)
     right = right.select("company_key", "folder_id", "day", F.col("folded_company").alias("folder_company"), fold(F.coalesce("title", F.lit(""))).alias("folder_title"))
-    both = left.join(right, "company_key")
+    # pairs meet in a block of days, or because one side has no date; impossible ones never do
+    block = lambda day: F.floor(F.datediff(day, F.lit("1970-01-01").cast("date")) / FAR_DAYS).cast("string")
+    near = F.array(*[F.floor(F.datediff("applied_on", F.lit("1970-01-01").cast("date")) / FAR_DAYS + k).cast("string") for k in (-1, 0, 1)], F.lit("undated folder"))
+    left = left.withColumn("block", F.explode(F.when(F.col("applied_on").isNotNull(), near).otherwise(F.array(F.lit("undated row")))))
+    right = right.withColumn("block", F.explode(F.when(F.col("day").isNotNull(), F.array(block("day"), F.lit("undated row"))).otherwise(F.array(F.lit("undated row"), F.lit("undated folder")))))
+    both = left.join(right, ["company_key", "block"])
     hint = F.coalesce(blank_to_null(F.col("row_title")), name_leftover(F.col("row_company"), F.col("folder_company")))
-    titles = title_evidence(title_tokens(hint, SINGLE_PLACE_WORDS), title_tokens(F.col("folder_title"), SINGLE_PLACE_WORDS))
+    titles = title_evidence(title_tokens(hint, single_place_words()), title_tokens(F.col("folder_title"), single_place_words()))
     where = F.coalesce(place_agreement(F.col("row_places"), places(F.col("folder_title"))), F.lit(0))
     points = date_evidence(F.col("applied_on"), F.col("day")) + titles + where
     return both.select("company_key", "row_id", "folder_id", "twin", points.cast("int").alias("points")).filter(F.col("points") >= LEAST)
 
 
-ASSIGNED = "company_key string, row_id string, folder_id string, outcome string, candidates array<string>"
-
-
 def assign(pairs: DataFrame) -> DataFrame:
-    """Greedy one-to-one assignment per employer, best evidence first.
+    """company_key, row_id, folder_id, outcome and candidates: greedy one-to-one assignment, best evidence first.
 
     outcome is paired, shared (the folder is another row's) or ambiguous: a tie
     between folders that the row's twins don't explain is reported, never guessed.
     """
-
-    def greedy(group: pd.DataFrame) -> pd.DataFrame:
-        group = group.sort_values(["points", "row_id", "folder_id"], ascending=[False, True, True])
-        options: dict[str, list[tuple[int, str]]] = {}
-        twin: dict[str, str] = {}
-        for r, f, p, t in zip(group.row_id, group.folder_id, group.points, group.twin):
-            options.setdefault(r, []).append((p, f))
-            twin[r] = t
-        taken_rows: dict[str, str] = {}
-        taken, tied = set(), {}
-        for r, f, p in zip(group.row_id, group.folder_id, group.points):
-            if r in taken_rows or r in tied or f in taken:
-                continue
-            rivals = [g for q, g in options[r] if q == p and g != f and g not in taken]
-            twins = [o for o in options if o != r and o not in taken_rows and o not in tied and twin[o] == twin[r]]
-            if rivals and len(twins) < len(rivals):
-                tied[r] = [f, *rivals]
-                continue
-            taken_rows[r] = f
-            taken.add(f)
-        out = []
-        for r, choices in options.items():
-            shared = [f for p, f in choices if p >= SHARED and f in taken]
-            if r in taken_rows:
-                out.append((r, taken_rows[r], "paired", None))
-            elif r in tied:
-                out.append((r, None, "ambiguous", tied[r]))
-            elif len(shared) == 1:
-                out.append((r, shared[0], "shared", None))
-        frame = pd.DataFrame(out, columns=["row_id", "folder_id", "outcome", "candidates"])
-        return frame.assign(company_key=group.company_key.iloc[0])[["company_key", "row_id", "folder_id", "outcome", "candidates"]]
-
-    return pairs.groupBy("company_key").applyInPandas(greedy, ASSIGNED)
+    pairs = cut_lineage(pairs)
+    paired, tied = one_to_one(pairs)
+    none, some = F.lit(None).cast("string"), F.lit(None).cast("array<string>")
+    found = paired.select("row_id", "folder_id", F.lit("paired").alias("outcome"), some.alias("candidates"))
+    found = found.unionByName(tied.select("row_id", none.alias("folder_id"), F.lit("ambiguous").alias("outcome"), "candidates"))
+    strong = pairs.filter(F.col("points") >= SHARED).join(paired.select("folder_id"), "folder_id", "left_semi").join(found.select("row_id"), "row_id", "left_anti")
+    shared = strong.groupBy("row_id").agg(F.count_distinct("folder_id").alias("n"), F.min("folder_id").alias("folder_id")).filter("n = 1")
+    found = found.unionByName(shared.select("row_id", "folder_id", F.lit("shared").alias("outcome"), some.alias("candidates")))
+    return found.join(pairs.select("company_key", "row_id").distinct(), "row_id").select("company_key", "row_id", "folder_id", "outcome", "candidates")
 
 
 STILL_OPEN = ("", "waiting", "waiting for answer", "?")
@@ -157,9 +136,6 @@ def reconcile(rows: DataFrame, folders: DataFrame, registry: DataFrame, aliases:
     return every.withColumn("application_id", application_id(F.col("__c"), F.col("__t"), F.col("applied_on"), F.col("__n"))).drop("__c", "__t", "__n")
 
 
-LINKED = "posting_id string, application_id string, ambiguous array<string>"
-
-
 def link_candidates(postings: DataFrame, applications: DataFrame, aliases: Mapping[str, str] | None = None) -> DataFrame:
     """company_key, posting_id, application_id, twin and points of one employer's pairs at most four days apart.
 
@@ -168,9 +144,9 @@ def link_candidates(postings: DataFrame, applications: DataFrame, aliases: Mappi
     """
     twin = F.sha2(F.concat_ws(SEP, *[F.coalesce(F.col(c).cast("string"), F.lit("\0")) for c in ("company", "title", "location", "applied_on", "status", "reason")]), 256)
     apps = keyed(applications.filter("posting_id is null and applied_on is not null"), "company", aliases)
-    apps = apps.select("application_id", "applied_on", twin.alias("twin"), F.array_distinct(F.array_compact(F.array("company_slug", "company_key"))).alias("keys"), title_tokens(fold(F.coalesce("title", F.lit(""))), SINGLE_PLACE_WORDS).alias("app_title"), places(fold(F.coalesce("location", F.lit("")))).alias("app_places"))
+    apps = apps.select("application_id", "applied_on", twin.alias("twin"), F.array_distinct(F.array_compact(F.array("company_slug", "company_key"))).alias("keys"), title_tokens(fold(F.coalesce("title", F.lit(""))), single_place_words()).alias("app_title"), places(fold(F.coalesce("location", F.lit("")))).alias("app_places"))
     feed = keyed(postings, "company_name", aliases)
-    feed = feed.select("posting_id", "day", F.array_distinct(F.array("company_slug", "company_key")).alias("keys"), title_tokens(fold(F.col("title")), SINGLE_PLACE_WORDS).alias("post_title"), places(fold(F.coalesce("places", F.lit("")))).alias("post_places"))
+    feed = feed.select("posting_id", "day", F.array_distinct(F.array("company_slug", "company_key")).alias("keys"), title_tokens(fold(F.col("title")), single_place_words()).alias("post_title"), places(fold(F.coalesce("places", F.lit("")))).alias("post_places"))
 
     # the band of days is an equi join too: an application meets the day blocks it can lie in
     block = F.floor(F.datediff("day", F.lit("1970-01-01").cast("date")) / (2 * LINK_DAYS + 1))
@@ -186,22 +162,6 @@ def link_candidates(postings: DataFrame, applications: DataFrame, aliases: Mappi
 
 def link_postings(candidates: DataFrame) -> DataFrame:
     """posting_id with its application_id, or with the tied ones as ``ambiguous``; twins are no tie."""
-
-    def greedy(group: pd.DataFrame) -> pd.DataFrame:
-        group = group.sort_values(["points", "posting_id", "application_id"], ascending=[False, True, True])
-        options: dict[str, list[tuple[int, str]]] = {}
-        for p, a, n in zip(group.posting_id, group.application_id, group.points):
-            options.setdefault(p, []).append((n, a))
-        twin = dict(zip(group.application_id, group.twin))
-        out: dict[str, tuple] = {}
-        taken = set()
-        for p, a, n in zip(group.posting_id, group.application_id, group.points):
-            if p in out or a in taken:
-                continue
-            rivals = [b for m, b in options[p] if m == n and b != a and b not in taken and twin[b] != twin[a]]
-            out[p] = (p, None, [a, *rivals]) if rivals else (p, a, None)
-            if not rivals:
-                taken.add(a)
-        return pd.DataFrame(list(out.values()), columns=["posting_id", "application_id", "ambiguous"])
-
-    return candidates.groupBy("company_key").applyInPandas(greedy, LINKED)
+    done, torn = linked(candidates)
+    none = F.lit(None)
+    return done.select("posting_id", "application_id", none.cast("array<string>").alias("ambiguous")).unionByName(torn.select("posting_id", none.cast("string").alias("application_id"), "ambiguous"))

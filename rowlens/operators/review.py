@@ -13,13 +13,14 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from rowlens.config import Profile
+from rowlens.config import Profile, build_taxonomy
 from rowlens.functions.dates import date_in_text
 from rowlens.functions.money import amounts_in, detect_period, is_weekly, same_pay
 from rowlens.functions.text import java_literal, squash
+from rowlens.operators.normalize import INTERNS
 
-#: Labels that a reader may put before what it copies.
-LABEL = r"(?i)^\s*(?:title|location|location field|company|description|text)\s*:\s*"
+#: One or two words and a colon that a reader may put before what it copies.
+LABEL = r"^\s*\p{L}+(?: \p{L}+)?\s*:\s*"
 
 
 def _any(*words: str) -> str:
@@ -27,23 +28,17 @@ def _any(*words: str) -> str:
     return r"(?i)(?<![a-z])(?:" + "|".join(words) + ")"
 
 
-#: What a quote must say for a claim to rest on it, by claim.
+#: What a quote must say for a claim to rest on it, by claim: what is named, and what softens, demands or denies it.
 SAYS = {
-    "doctorate": _any(r"ph\.?\s?d", "doctora", "dr\\. title"),
-    "alternative": _any("master", "m\\.?sc", "bachelor", "or equivalent", "equivalent", "prefer", "plus\\b", "ideal", "desirable", "welcome", "beneficial"),
-    "condition": _any("requir", "must", "mandator", "essential", "necessary", "qualification", "degree", "complet", "hold"),
-    "no": _any("no sponsor", "not sponsor", "without sponsor", "unable to", "not able to", "cannot", "can ?not", "can't", "do(?:es)? not", "do(?:es)?n't", "right to work", "work authori[sz]ation", "authori[sz]ed to work", "eligible to work", "citizens"),
-    "sponsors": _any("sponsor", "visa", "work permit", "relocat", "immigration"),
-}
-#: Words that name a level.
-LEVELS = {
-    "intern": _any("intern", "trainee", "placement"),
-    "graduate": _any("graduate", "campus", "early career", "new grad"),
-    "junior": _any("junior", "jr\\b", "entry"),
-    "mid": _any("mid\\b", "mid-", "intermediate"),
-    "senior": _any("senior", "sr\\b", "experienced", "staff"),
-    "lead": _any("lead", "head of", "principal", "director", "manag"),
+    "doctorate": _any(r"ph\W?d", "doctor"),
+    "alternative": _any("prefer", "plus\\b", "advantage", "nice", "or\\b", "equivalent", "optional"),
+    "condition": _any("requir", "must", "need", "mandat", "only\\b", "hold"),
+    "no": _any("not\\b", "no\\b", "without", "unable", "never", "cannot", r"\w+n't", "right to work", "nationals", "citizen"),
+    "sponsors": _any("sponsor", "visa", "permit", "relocat"),
 }
+_RULES = build_taxonomy()
+#: Words that name a level: those that the titles are read by.
+LEVELS = {level: _any(*(java_literal(w.strip()) for w in words)) for level, words in {"intern": INTERNS, "graduate": _RULES.programme, "mid": ("mid-level", "mid level", "intermediate"), **_RULES.level_words}.items()}
 
 
 def haystack() -> Column:

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from rowlens.config import build_profile, build_taxonomy
+from rowlens.config import Profile, build_profile, build_taxonomy, build_tracks
 from rowlens.functions import dates, money, text
 from rowlens.operators import applications, dedup, facets, feed, health, normalize, reports, retention, review, score, search, snapshot
 from rowlens.operators.feed import PostingFilter
@@ -488,8 +488,8 @@ _TEXT_SQL = f""", lines as (select source_job_id, ' ' || lower(title_raw) || ' '
     asked as (select *, try_cast(regexp_extract(list_filter(said, lambda x: regexp_matches(x, '{_YEARS}') and not regexp_matches(x, '\\b(history|founded|since|we have)\\b')
         and (regexp_matches(x, '\\b(minimum|least|experience|required?|needs?|must)\\b') or regexp_matches(x, '\\d\\s*(\\+|-\\s*\\d)')))[1], '{_YEARS}', 1) as int) as min_years,
         array_to_string(list_filter(said, lambda x: regexp_matches(x, '\\b(fluent|bilingual)\\b')), ' | ') as fluent,
-        coalesce(nullif(regexp_extract(w, '(?i)(will|can|do|does) ?not sponsor|must (already )?have the right to work|citizens only', 0), ''), nullif(regexp_extract(w, '(?i)(remote|hybrid) \\([a-z ]+ only\\)', 0), '')) as no,
-        nullif(regexp_extract(w, '(?i)(visa )?sponsorship (is )?available|relocation support', 0), '') as yes,
+        coalesce(nullif(regexp_extract(w, '(?i)([a-z]+ )?not sponsor|have the right to work', 0), ''), nullif(regexp_extract(w, '(?i)\\([a-z ]+ only\\)', 0), '')) as no,
+        nullif(regexp_extract(w, '(?i)visa sponsorship is available|relocation support', 0), '') as yes,
         list_sort([{_MARKS}], 'desc')[1] as mark from lines)
     select source_job_id, {_ROLE} as role_family, {_LEVEL} as seniority, coalesce(min_years, -1) as min_years,
         len(list_filter(said, lambda x: regexp_matches(x, '\\bphd\\b') and regexp_matches(x, '\\b(required|must)\\b') and not regexp_matches(x, '\\b(preferred|plus|or|not|no)\\b'))) > 0 as phd_required,
@@ -565,20 +565,34 @@ def normalized_postings(spark, sf):
     return p.select("source_job_id", "posting_id", "source", "company_slug", "title_raw", F.col("posted_at").cast("date").alias("posted_on"), "content_hash", F.col("first_seen_at").cast("date").alias("first_seen"))
 
 
-_SCORE_SQL = """, r as (select p.posting_id, p.title, lower(p.title) as t, p.role_family, p.seniority, p.min_years, p.phd_required, p.visa_sponsorship, p.salary_min, c.sector, c.priority,
+def _one_of(text_sql: str, words: tuple[str, ...]) -> str:
+    return "regexp_matches(" + text_sql + ", '(^|[^a-z0-9])(" + "|".join(w.replace("+", "\\+") for w in words) + ")($|[^a-z0-9])')" if words else "false"
+
+
+def _listed(words: tuple[str, ...]) -> str:
+    return ", ".join(f"'{w}'" for w in words) or "null"
+
+
+def _score_sql(p: Profile, as_of: str, name: str) -> str:
+    """Rows r of verdicts of all postings under a profile, as the view ``name``."""
+    w, topic = p.weights, p.topic_titles is not None
+    inside = f"exists (select 1 from locations l where l.posting_id = p.posting_id and l.country in ({_listed(p.scope_countries)}))" if p.scope_countries else "true"
+    off = f"when not (list_has_any(tech, [{_listed(p.topic_tech)}]) or {_one_of('t', p.topic_titles or ())}) then 'off_topic'" if topic else ""
+    return f""", {name} as (
+    with r as (select p.posting_id, p.title, lower(p.title) as t, p.role_family, p.seniority, p.min_years, p.phd_required, p.visa_sponsorship, p.salary_min, c.sector, c.priority,
         cast(floor((epoch(timestamp '{as_of}') - floor(epoch(coalesce(p.posted_at, p.first_seen_at)))) / 86400) as int) as age, coalesce((select list(tech) from tech x where x.posting_id = p.posting_id), []) as tech
-        from postings p join companies c using (company_slug)),
-    w as (select *, case when regexp_matches(t, '(^|[^a-z0-9])(sales|recruiter|compliance|audit|account manager)($|[^a-z0-9])') then 'excluded_title' when role_family = 'other' then 'not_quant' when sector = 'tech' then 'off_topic'
-        when min_years > 4 or regexp_matches(t, '(^|[^a-z0-9])(senior|lead|principal|staff|vp|director|head of)($|[^a-z0-9])') then 'senior_only' when phd_required then 'phd_required' when age > 60 then 'stale' end as reject,
-        regexp_matches(t, '(^|[^a-z0-9])(quantitative developer|quant developer|core developer|trading systems engineer)($|[^a-z0-9])') as strong,
-        regexp_matches(t, '(^|[^a-z0-9])(software engineer|c\\+\\+ developer|python developer|platform engineer|quantitative researcher)($|[^a-z0-9])') as possible from r),
-    s as (select *, greatest(0, least(100, case when strong then 35 when possible then 18 else 0 end + case when priority = 1 then 12 else 0 end
-        + case when seniority in ('graduate', 'junior', 'intern') or coalesce(min_years <= 3, false) then 20 else 0 end + case when seniority = 'graduate' then 10 else 0 end
-        + case when list_contains(tech, 'cpp') then 10 else 0 end + case when list_contains(tech, 'python') then 6 else 0 end + case when list_has_any(tech, ['kdb', 'ocaml', 'rust', 'cuda', 'fpga']) then 8 else 0 end
-        + case visa_sponsorship when 'sponsors' then 8 when 'no' then -25 else 0 end + case when age <= 7 then 6 else 0 end + case when salary_min is not null then 3 else 0 end + case when age > 30 then -10 else 0 end)) as total from w),
+        from postings p join companies c using (company_slug) where {inside}),
+    w as (select *, case when {_one_of("t", p.excluded)} then 'excluded_title' when role_family = 'other' then '{"off_topic" if topic else "not_quant"}' when sector in ({_listed(p.exclude_sectors)}) then 'off_topic' {off}
+        when min_years > {p.min_years_above} or {_one_of("t", p.reject_words)} then 'senior_only' when phd_required then 'phd_required' when age > {p.stale_after_days} then 'stale' end as reject,
+        {_one_of("t", p.strong)} as strong, {_one_of("t", p.possible)} as possible from r),
+    s as (select *, greatest(0, least(100, case when strong then {w["title_strong"]} when possible then {w["title_possible"]} else 0 end + case when priority = 1 then {w["sector_tier1"]} else 0 end
+        + case when seniority in ('graduate', 'junior', 'intern') or coalesce(min_years <= {p.years_max}, false) then {w["seniority_match"]} else 0 end + case when seniority = 'graduate' then {w["graduate_programme"]} else 0 end
+        + case when list_contains(tech, 'cpp') then {w["tech_cpp"]} else 0 end + case when list_contains(tech, 'python') then {w["tech_python"]} else 0 end + case when list_has_any(tech, [{_listed(p.niche_tech)}]) then {w["tech_niche"]} else 0 end
+        + case visa_sponsorship when 'sponsors' then {w["visa_sponsors"]} when 'no' then {w["visa_no"]} else 0 end + case when age <= {p.window_days} then {w["freshness_7d"]} else 0 end
+        + case when salary_min is not null then {w["salary_disclosed"]} else 0 end + case when age > {p.stale_after_days * p.stale_fraction} then {w["stale_penalty"]} else 0 end)) as total from w),
     z as (select *, case when reject is not null then 0 else total end as score from s)
-    select posting_id, score::int as score, case when reject is not null then 'rejected' when score >= 70 then 'strong' when score >= 45 then 'possible' when score >= 25 then 'stretch' else 'rejected' end as tier,
-        coalesce(reject, case when score < 25 then 'low_score' end) as rejection_reason from z"""
+    select posting_id, score::int as score, case when reject is not null then 'rejected' when score >= {p.tiers["strong"]} then 'strong' when score >= {p.tiers["possible"]} then 'possible' when score >= {p.tiers["stretch"]} then 'stretch' else 'rejected' end as tier,
+        coalesce(reject, case when score < {p.tiers["stretch"]} then 'low_score' end) as rejection_reason from z)"""
 
 
 def scored_rows(spark: SparkSession, sf: str) -> DataFrame:
@@ -590,16 +604,37 @@ def scored_rows(spark: SparkSession, sf: str) -> DataFrame:
     return rows.withColumn("tech", F.coalesce("tech", F.expr("cast(array() as array<string>)")))
 
 
-@query(_SCORE_SQL.replace("{as_of}", "1998-03-01 00:00:00"), "postings", "companies", "tech")
+_ASKED = "1998-03-01 00:00:00"
+#: The profile of ``verdicts``: the default one but for a sector that is left out; and two tracks that differ from it and from each other.
+_PROFILE = {"scope": {"exclude_sectors": ["MIDDLE EAST"]}}
+_TRACKS = {
+    "tech": {"version": 2, "topic": {"titles": ["engineer", "developer"], "tech": ["cuda", "rust"]}, "weights": {"tech_cpp": 25, "visa_no": 0}, "tiers": {"strong": 60}},
+    "near": {"scope": {"countries": ["FRANCE", "GERMANY", "UNITED KINGDOM"], "exclude_sectors": []}, "hard_rejects": {"min_years_above": 3}, "seniority": {"reject": ["senior"]}},
+}
+
+
+@query(_score_sql(build_profile(_PROFILE), _ASKED, "judged") + " select * from judged", "postings", "companies", "tech")
 def verdicts(spark, sf):
-    found = score.evaluate(scored_rows(spark, sf), build_profile(), "1998-03-01 00:00:00")
+    found = score.evaluate(scored_rows(spark, sf), build_profile(_PROFILE), _ASKED)
     return found.select("posting_id", "score", "tier", "rejection_reason")
 
 
-@query(_SCORE_SQL.replace("{as_of}", "1998-03-01 00:00:00").replace("    select posting_id, score::int", "    select 'all' as track, posting_id, score::int"), "postings", "companies", "tech")
+def _track_sql() -> str:
+    views = "".join(_score_sql(p, _ASKED, f"judged_{name}") for name, p in build_tracks(_PROFILE, _TRACKS).items())
+    rows = (
+        f"""select '{name}' as track, j.posting_id, case when k.posting_id is null then j.score else k.score end as score, case when k.posting_id is null then j.tier else k.tier end as tier,
+        case when k.posting_id is null then j.rejection_reason else k.rejection_reason end as rejection_reason from judged_{name} j join verdicts v on v.posting_id = j.posting_id
+        left join track_verdicts k on k.track = '{name}' and k.posting_id = j.posting_id and k.profile_version = {p.version} and k.scored_at >= v.scored_at"""
+        for name, p in build_tracks(_PROFILE, _TRACKS).items()
+    )
+    return views + " union all ".join(rows)
+
+
+@query(_track_sql(), "postings", "companies", "tech", "locations", "verdicts", "track_verdicts")
 def track_scores(spark, sf):
-    rows = scored_rows(spark, sf).withColumn("scored_at", F.lit("1998-03-01 00:00:00").cast("timestamp"))
-    found = score.score_tracks(rows, {"all": build_profile()}, canonical(spark, sf, "track_verdicts"), "1998-03-01 00:00:00")
+    """Verdicts of two tracks over what was judged before: kept where still current, else made anew."""
+    rows = scored_rows(spark, sf).join(canonical(spark, sf, "verdicts").select("posting_id", "scored_at"), "posting_id")
+    found = score.score_tracks(rows, build_tracks(_PROFILE, _TRACKS), canonical(spark, sf, "track_verdicts"), _ASKED)
     return found.select("track", "posting_id", "score", "tier", "rejection_reason")
 
 
@@ -663,8 +698,8 @@ def closed_postings(spark, sf):
 
 @query(
     """, r as (select p.posting_id, t.description, p.visa_sponsorship, cast(0.5 + cast(p.posting_id as bigint) % 5 / 10.0 as double) as confidence from postings p join texts t using (posting_id)),
-    v as (select *, confidence >= 0.6 as heard, visa_sponsorship <> 'no' as changes, case when not contains(description, 'will not sponsor') then 'visa_sponsorship: quote_not_found'
-        when visa_sponsorship <> 'unknown' and confidence < 0.8 then 'visa_sponsorship: confidence_below_override' end as why from r)
+    v as (select *, confidence >= 0.55 as heard, visa_sponsorship <> 'no' as changes, case when not contains(description, 'will not sponsor') then 'visa_sponsorship: quote_not_found'
+        when visa_sponsorship <> 'unknown' and confidence < 0.75 then 'visa_sponsorship: confidence_below_override' end as why from r)
     select posting_id, case when not heard then 'set_aside' when changes and why is null then 'corrected' else 'confirmed' end as outcome, case when heard and changes and why is null then visa_sponsorship end as before,
         coalesce(case when heard and changes then why end, '') as refused from v""",
     "postings", "texts",
