@@ -45,19 +45,23 @@ def candidate_pairs(rows: DataFrame, folders: DataFrame, aliases: Mapping[str, s
     """
     left = keyed(rows, "company", aliases)
     twin = F.sha2(F.concat_ws(SEP, *[F.coalesce(F.col(c).cast("string"), F.lit("\0")) for c in ("company", "title", "location", "applied_on", "closed_on", "reason")]), 256)
-    left = left.select("company_key", "row_id", "applied_on", twin.alias("twin"), F.col("folded_company").alias("row_company"), fold(F.coalesce("title", F.lit(""))).alias("row_title"), places(fold(F.coalesce("location", F.lit("")))).alias("row_places"))
+    # tokens and places are read once a row; only a row without a title needs the pair, for what its employer's name has more
+    title, where = fold(F.coalesce("title", F.lit(""))), fold(F.coalesce("location", F.lit("")))
+    left = left.select("company_key", "row_id", "applied_on", twin.alias("twin"), F.col("folded_company").alias("row_company"), title.alias("row_title"), where.alias("row_location"))
+    left = left.withColumn("row_tokens", title_tokens(F.col("row_title"), single_place_words())).withColumn("row_places", places(F.col("row_location")))
     right = keyed(folders, "company", aliases)
-    right = right.select("company_key", "folder_id", "day", F.col("folded_company").alias("folder_company"), fold(F.coalesce("title", F.lit(""))).alias("folder_title"))
+    right = right.select("company_key", "folder_id", "day", F.col("folded_company").alias("folder_company"), title.alias("folder_title"))
+    right = right.withColumn("folder_tokens", title_tokens(F.col("folder_title"), single_place_words())).withColumn("folder_places", places(F.col("folder_title")))
     # pairs meet in a block of days, or because one side has no date; impossible ones never do
     block = lambda day: F.floor(F.datediff(day, F.lit("1970-01-01").cast("date")) / FAR_DAYS).cast("string")
     near = F.array(*[F.floor(F.datediff("applied_on", F.lit("1970-01-01").cast("date")) / FAR_DAYS + k).cast("string") for k in (-1, 0, 1)], F.lit("undated folder"))
     left = left.withColumn("block", F.explode(F.when(F.col("applied_on").isNotNull(), near).otherwise(F.array(F.lit("undated row")))))
     right = right.withColumn("block", F.explode(F.when(F.col("day").isNotNull(), F.array(block("day"), F.lit("undated row"))).otherwise(F.array(F.lit("undated row"), F.lit("undated folder")))))
     both = left.join(right, ["company_key", "block"])
-    hint = F.coalesce(blank_to_null(F.col("row_title")), name_leftover(F.col("row_company"), F.col("folder_company")))
-    titles = title_evidence(title_tokens(hint, single_place_words()), title_tokens(F.col("folder_title"), single_place_words()))
-    where = F.coalesce(place_agreement(F.col("row_places"), places(F.col("folder_title"))), F.lit(0))
-    points = date_evidence(F.col("applied_on"), F.col("day")) + titles + where
+    leftover = title_tokens(name_leftover(F.col("row_company"), F.col("folder_company")), single_place_words())
+    hint = F.when(blank_to_null(F.col("row_title")).isNotNull(), F.col("row_tokens")).otherwise(leftover)
+    agree = F.coalesce(place_agreement(F.col("row_places"), F.col("folder_places")), F.lit(0))
+    points = date_evidence(F.col("applied_on"), F.col("day")) + title_evidence(hint, F.col("folder_tokens")) + agree
     return both.select("company_key", "row_id", "folder_id", "twin", points.cast("int").alias("points")).filter(F.col("points") >= LEAST)
 
 

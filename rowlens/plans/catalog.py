@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -11,37 +9,12 @@ from rowlens.config import Profile, build_profile, build_taxonomy, build_tracks
 from rowlens.functions import dates, money, text
 from rowlens.operators import applications, dedup, facets, feed, health, normalize, reports, retention, review, score, search, snapshot
 from rowlens.operators.feed import PostingFilter
-from rowlens.plans.projection import AS_OF, canonical, oracle, store
+from rowlens.plans.projection import AS_OF, canonical, store
+from rowlens.plans.registry import oracle_sql, queries, query
 from rowlens.sources import readers
 
 FLAGSHIP = "feed_default"
 
-Query = Callable[[SparkSession, str], DataFrame]
-
-_QUERIES: dict[str, Query] = {}
-_ORACLES: dict[str, str] = {}
-
-
-def query(sql: str | None = None, *names: str) -> Callable[[Query], Query]:
-    """Registers a query under its function's name, with its oracle over the canonical frames named."""
-
-    def register(f: Query) -> Query:
-        _QUERIES[f.__name__] = f
-        if sql is not None:
-            _ORACLES[f.__name__] = oracle(sql, *names)
-        return f
-
-    return register
-
-
-def queries() -> dict[str, Query]:
-    return dict(_QUERIES)
-
-
-def oracle_sql() -> dict[str, str]:
-    return dict(_ORACLES)
-
-
 # --- feed ----------------------------------------------------------------------
 
 BASE = ("companies", "postings", "locations", "tech", "verdicts", "flags")
@@ -119,7 +92,7 @@ def filter_text(spark, sf):
     return _row(feed.base_feed(store(spark, sf), PostingFilter(query=match)))
 
 
-@query(_ORACLES["filter_text"])
+@query(oracle_sql()["filter_text"])
 def filter_text_indexed(spark, sf):
     """The same condition by a token table: its words narrow the texts that are read."""
     st = store(spark, sf)
@@ -751,3 +724,9 @@ def latest_application(spark, sf):
 def latest_status(spark, sf):
     rows = spark.read.parquet(f"{sf}/conversations.parquet").select(F.col("conv_id").cast("string").alias("application_id"), F.col("turn").alias("seq"), F.col("role").alias("status"))
     return applications.latest_status(rows)
+
+
+# the other modules of queries register themselves
+from rowlens.plans import histories  # noqa: E402
+
+__all__ = ["FLAGSHIP", "histories", "oracle_sql", "queries", "query"]

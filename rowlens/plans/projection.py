@@ -49,6 +49,7 @@ VISA_SAID = ("Visa sponsorship is available.", "You must have the right to work.
 MORE_SAID = ("A PhD is required.", "PhD preferred.", "Fluent in French and German.", "Nous recherchons des compétences en Java.", "Wir suchen Kenntnisse in FPGA.", "Bilingual German and English.", "Bonus and equity.")
 PLACES = ("London, UK", "Paris", "3 Locations", "Hybrid - New York, NY", "Remote - EMEA", "Zurich / Paris", None, "Pune, India", "Cambridge", "Plano, TX", "Dublin Ireland", "Chicago Office and Paris", "Switzerland - Zürich", "Multiple locations", "Remote (US only)", "NYC; Singapore", "Cambridge MA", "Hybrid: Berlin, Germany")
 TECH = ("python", "cpp", "rust", "kdb", "java", "sql", "linux", "cuda", "fpga", "ocaml", "kubernetes", "csharp")
+SHORT_TITLES = ("Software Engineer", "Quant Developer", None, "Risk Analyst", "Data Engineer")
 ROLES = ("quant_dev", "swe_platform", "other", "quant_trading", "data_eng", "risk", "quant_research")
 LEVELS = ("junior", "graduate", "senior", "unknown", "mid", "intern", "lead")
 
@@ -124,6 +125,15 @@ SQL: dict[str, str] = {
         select 'a' || lpad(cast(o_orderkey as varchar(20)), 10, '0') as application_id, 0 as seq, cast(o_orderdate as date) as on_date, 'applied' as status from {{orders}} where (o_orderkey % 6 = 1 or o_orderkey % 10 = 0) and o_orderkey % 17 <> 0
         union all
         select 'a' || lpad(cast(o_orderkey as varchar(20)), 10, '0'), 1, cast(o_orderdate + interval '9' day as date), 'interview' from {{orders}} where (o_orderkey % 6 = 1 or o_orderkey % 10 = 0) and o_orderkey % 3 = 1""",
+    # orders that follow each other share their fields, so that rows repeat and tie
+    "sheet": f"""
+        select 'r' || {ID} as row_id, 'c' || cast(g % (select count(*) from {{customer}}) as varchar(20)) as company, {_pick("g", SHORT_TITLES)} as title, {_pick("g", ("London", None, "Paris", "Chicago"))} as location,
+            case when g % 9 <> 4 then cast(timestamp '1998-01-01 00:00:00' as date) + cast(g * 7 % 90 as int) end as applied_on, cast(null as date) as closed_on, case when g % 4 = 1 then 'failed' else '' end as reason
+        from (select o_orderkey, o_custkey, cast(floor(o_orderkey / 7) as bigint) as g from {{orders}}) o where o_orderkey % 3 = 1""",
+    "folders": f"""
+        select 'f' || {ID} as folder_id, 'c' || cast(g % (select count(*) from {{customer}}) as varchar(20)) as company, {_pick("h", ("Software Engineer Paris", "Data Engineer", "Quant Developer London", "Risk Analyst", "Software Engineer"))} as title,
+            case when h % 11 <> 3 then cast(timestamp '1998-01-01 00:00:00' as date) + cast(h * 5 % 90 as int) end as day, h % 5 = 0 as estimated, 'p/' || {ID} as relative
+        from (select o_orderkey, cast(floor(o_orderkey / 7) as bigint) as g, cast(floor(o_orderkey / 3) as bigint) as h from {{orders}}) o where o_orderkey % 5 < 2""",
 }
 
 
@@ -143,4 +153,4 @@ def oracle(body: str, *names: str) -> str:
     """DuckDB statement with the canonical frames that ``body`` names."""
     views = {t: t for t in TABLES}
     ctes = ",\n".join(f"{n} as ({SQL[n].format(**views)})" for n in names)
-    return f"with {ctes}\n{body}" if ctes else body
+    return f"with recursive {ctes}\n{body}" if ctes else body
