@@ -188,7 +188,7 @@ def test_language_of_very_long_texts(docs):
         words = " ".join(found[1::2]).split()
         parts = [" ".join(r.choices(words, k=4_000)) for _ in range(120)]
         judged = [judge(p) for p in parts[:10]]
-        assert all(j[0] == lang and j[2] >= language.MIN_MARGIN for j in judged)
+        assert all(j[0] == lang and j[2] >= 0.01 for j in judged)
         # new word orders, and one text over and over
         for long in (" ".join(parts), " ".join([parts[0]] * 120)):
             found_lang, _, margin, rejected = judge(long)
@@ -196,8 +196,8 @@ def test_language_of_very_long_texts(docs):
 
 
 def test_language_against_brute_force(docs, texts):
-    dictionaries = language.fit(docs, ~language.held_out(F.col("doc_id")))
-    assert list(dictionaries) and all(len(d) <= language.DICTIONARY_BYTES for d in dictionaries.values())
+    dictionaries, limits = language.fit_judge(docs, ~language.held_out(F.col("doc_id")))
+    assert dictionaries == language.fit(docs, ~language.held_out(F.col("doc_id"))) and list(dictionaries) and all(len(d) <= language.DICTIONARY_BYTES for d in dictionaries.values())
     how = language.zstandard.ZstdCompressionParameters.from_level(language.LEVEL, dict_size=max(map(len, dictionaries.values())), write_content_size=0, write_dict_id=0)
     for r in language.identify(docs).collect():
         text = re.sub(r"[\W\d_]+", " ", texts[r.doc_id].lower()).encode()
@@ -214,7 +214,24 @@ def test_language_against_brute_force(docs, texts):
         best, second = sorted(sizes.values())[:2]
         # ties: the language that more training rows have, which comes first
         assert r.lang_pred == min(sizes, key=sizes.get) and r.margin == (second - best) / second
-        assert r.rejected == ((second - best + 2 * n) / second < 0.01)
+        plain = sum(len(language.zstandard.ZstdCompressor(compression_params=how).compress(text[len(text) * k // n : len(text) * (k + 1) // n])) for k in range(n))
+        power = len(text[: len(text) // n]).bit_length() - 1
+        least = limits[min(limits, key=lambda p: abs(p - power))] if limits else (0, 0)
+        assert r.rejected == (second == best or (plain - best) / plain < least[0] or (second - best) / max(1, plain - best) < least[1])
+
+
+def test_unknown_languages_are_rejected(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    found, limits = language.fit_judge(docs, ~language.held_out(F.col("doc_id")))
+    judge = language.Judge(found, limits)
+    assert limits
+    unknown = ["zzz", "qqqq xxxx wwww", "xk qj vw zz xk qj vw zz xk qj vw zz", "\u03ba\u03b1\u03bb\u03b7\u03bc\u03ad\u03c1\u03b1", "\u6211\u4eec\u4eca\u5929\u53bb\u5b66\u6821"]
+    r = random.Random(8)
+    unknown += ["".join(r.choices("bcdfghjklmnpqrstvwxz   ", k=n)) for n in (40, 200, 1_000, 5_000, 40_000)]
+    unknown += ["".join(r.choices("\u0431\u0432\u0433\u0434\u0435\u0436\u0437\u0438\u043a ", k=n)) for n in (20, 200, 5_000)]
+    assert all(judge(t)[3] for t in unknown)
+    kept = [judge(x.text)[3] for x in docs.filter(language.held_out(F.col("doc_id")) & (F.char_length("text") > 60)).collect()]
+    assert len(kept) > 150 and sum(kept) <= 0.02 * len(kept)
 
 
 def test_every_language_is_learned(spark):
