@@ -69,32 +69,3 @@ def matching(texts: DataFrame, match: Match) -> DataFrame:
         start = " " + " ".join(_folded(p))
         rows = rows.filter(F.exists("lines", _starts(start)))
     return rows.select("posting_id")
-
-
-def token_table(texts: DataFrame, columns: tuple[str, ...] = COLUMNS) -> DataFrame:
-    """posting_id, column and word: an index to join with; one shuffle less per query where it is kept bucketed by word."""
-    parts = [texts.select("posting_id", F.lit(c).alias("column"), fold(F.coalesce(F.col(c), F.lit(""))).alias("folded")) for c in columns]
-    every = parts[0]
-    for p in parts[1:]:
-        every = every.unionByName(p)
-    return every.select("posting_id", "column", F.explode(F.array_distinct(tokens(F.col("folded")))).alias("word"))
-
-
-def candidates(index: DataFrame, match: Match) -> DataFrame | None:
-    """posting_id of the rows of a token table that can satisfy a condition of whole words; None where it has no such condition."""
-    inside = index.filter(F.col("column").isin(*match.columns))
-    must = sorted({w for text in (*match.every, *match.phrases) for w in _folded(text)})
-    some = sorted({w for text in match.any for w in _folded(text)})
-    found = None
-    if must:
-        found = inside.filter(F.col("word").isin(*must)).groupBy("posting_id").agg(F.count_distinct("word").alias("n")).filter(F.col("n") == len(must)).select("posting_id")
-    if some:
-        one = inside.filter(F.col("word").isin(*some)).select("posting_id").distinct()
-        found = one if found is None else found.join(one, "posting_id", "left_semi")
-    return found
-
-
-def matching_indexed(texts: DataFrame, index: DataFrame, match: Match) -> DataFrame:
-    """The rows that ``matching`` finds; only texts that have the words according to the token table are read as text."""
-    narrow = candidates(index, match)
-    return matching(texts if narrow is None else texts.join(narrow, "posting_id", "left_semi"), match)

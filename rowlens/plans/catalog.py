@@ -2,15 +2,18 @@
 
 from __future__ import annotations
 
+from uuid import uuid4
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from rowlens.config import Profile, build_profile, build_taxonomy, build_tracks
 from rowlens.functions import dates, money, text
-from rowlens.operators import applications, dedup, facets, feed, health, normalize, reports, retention, review, score, search, snapshot
+from rowlens.operators import applications, dedup, facets, feed, health, normalize, reports, retention, review, score, search, snapshot, text_index
 from rowlens.operators.feed import PostingFilter
 from rowlens.plans.projection import AS_OF, canonical, store
 from rowlens.plans.registry import oracle_sql, queries, query
+from rowlens.session import shared_folder
 from rowlens.sources import readers
 
 FLAGSHIP = "feed_default"
@@ -92,14 +95,42 @@ def filter_text(spark, sf):
     return _row(feed.base_feed(store(spark, sf), PostingFilter(query=match)))
 
 
+def _index(spark: SparkSession, sf: str) -> text_index.TextIndex:
+    """The index of a folder's texts, written once a session in two batches, the second of which replaces some texts of the first."""
+    key = (spark.sparkContext.applicationId, sf)
+    if key not in _INDEXES:
+        texts = canonical(spark, sf, "texts")
+        again = F.col("posting_id").cast("long") % 3 == 0
+        index = text_index.TextIndex(spark, f"{shared_folder(spark)}/text-index-{uuid4().hex}")
+        index.add(texts.withColumn("description", F.when(again, F.lit("relocation support and more relocation support")).otherwise(F.col("description"))))
+        index.add(texts.filter(again))
+        _INDEXES[key] = index
+    return _INDEXES[key]
+
+
+_INDEXES: dict[tuple[str, str], text_index.TextIndex] = {}
+
+
 @query(oracle_sql()["filter_text"])
 def filter_text_indexed(spark, sf):
-    """The same condition by a token table: its words narrow the texts that are read."""
-    st = store(spark, sf)
-    index = search.token_table(st.texts)
+    """The condition of ``filter_text`` answered by the written index; no text is read."""
     match = search.Match(phrases=("relocation support",), prefixes=("quant",), none=("astrology",))
-    found = search.matching_indexed(st.texts, index, match)
-    return _row(feed.base_feed(st, PostingFilter()).join(found, "posting_id", "left_semi"))
+    return _row(feed.base_feed(store(spark, sf), PostingFilter()).join(_index(spark, sf).matching(match), "posting_id", "left_semi"))
+
+
+_SAID = "' ' || array_to_string(list_filter(regexp_split_to_array(lower({0}), '[^a-zà-ÿ0-9]+'), lambda w: w <> ''), ' ') || ' '"
+
+
+@query(f"select posting_id from texts where contains({_SAID.format('description')}, ' years of experience ') and (contains({_SAID.format('description')}, ' rust ') or contains({_SAID.format('description')}, ' right to work '))", "texts")
+def search_phrases(spark, sf):
+    """Words in a row and one of several words, in descriptions."""
+    return _index(spark, sf).matching(search.Match(phrases=("years of experience",), any=("Rust", "right to work"), columns=("description",)))
+
+
+@query(f"select posting_id from texts where contains({_SAID.format('title')}, ' software eng') and not contains({_SAID.format('title')}, ' graduate ') and not contains({_SAID.format('description')}, ' graduate ')", "texts")
+def search_prefixes(spark, sf):
+    """The beginning of a phrase, without a word."""
+    return _index(spark, sf).matching(search.Match(prefixes=("Software eng",), none=("graduate",), columns=("title", "description")))
 
 
 _SORT_SQL = {"posted": "p.posted_at desc nulls last, p.posting_id desc", "seen": "p.first_seen_at desc nulls last, p.posting_id desc", "company": "p.company_slug asc nulls last, p.posting_id asc", "closes": "p.closes_at asc nulls last, p.posting_id asc"}
