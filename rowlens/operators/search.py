@@ -7,6 +7,8 @@ runs of letters and digits first, so no input can be malformed. It is a filter;
 
 from __future__ import annotations
 
+import re
+import unicodedata
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
@@ -31,12 +33,13 @@ def tokens(folded: Column) -> Column:
     return F.filter(F.split(folded, r"[^\p{L}\p{N}]+"), lambda w: w != "")
 
 
-def _folded(text: str) -> list[str]:
-    import re
-    import unicodedata
+def folded_text(text: str) -> str:
+    """A condition's text as ``fold`` makes the searched ones."""
+    return "".join(c for c in unicodedata.normalize("NFKD", text) if not unicodedata.combining(c)).lower()
+
 
-    plain = "".join(c for c in unicodedata.normalize("NFKD", text) if not unicodedata.combining(c)).lower()
-    return [w for w in re.split(r"[\W_]+", plain) if w]
+def _folded(text: str) -> list[str]:
+    return [w for w in re.split(r"[\W_]+", folded_text(text)) if w]
 
 
 def _starts(start: str):

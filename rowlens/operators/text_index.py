@@ -18,7 +18,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from rowlens.functions.text import fold
-from rowlens.operators.search import COLUMNS, Match, _folded, tokens
+from rowlens.operators.search import COLUMNS, Match, _folded, folded_text, tokens
 
 BUCKETS = 64
 
@@ -37,6 +37,10 @@ class TextIndex:
     def __init__(self, spark: SparkSession, path: str, columns: tuple[str, ...] = COLUMNS):
         self.spark, self.path, self.columns, self.batch = spark, path.rstrip("/"), columns, 0
 
+    def _words(self, text: Column) -> Column:
+        """What of a folded text is indexed, in order."""
+        return tokens(text)
+
     def _table(self, name: str) -> DataFrame:
         return self.spark.read.parquet(f"{self.path}/{name}")
 
@@ -45,7 +49,8 @@ class TextIndex:
         self.batch += 1
         number = F.lit(self.batch)
         parts = F.array(*[F.struct(F.lit(c).alias("column"), F.coalesce(F.col(c), F.lit("")).alias("text")) for c in self.columns])
-        lines = texts.select("posting_id", F.explode(parts).alias("p")).select("posting_id", "p.column", tokens(fold(F.col("p.text"))).alias("said"))
+        lines = texts.select("posting_id", F.explode(parts).alias("p")).select("posting_id", "p.column", fold(F.col("p.text")).alias("folded"))
+        lines = lines.select("posting_id", "column", self._words(F.col("folded")).alias("said"))
         said = lines.select("posting_id", "column", F.posexplode("said").alias("at", "word"))
         rows = said.groupBy("posting_id", "column", "word").agg(F.sort_array(F.collect_list("at")).alias("positions"))
         rows = rows.withColumn("bucket", _bucket(F.col("word"))).withColumn("batch", number)
@@ -59,7 +64,7 @@ class TextIndex:
 
     def compact(self, path: str) -> TextIndex:
         """The index without what was replaced, in another folder."""
-        new = TextIndex(self.spark, path, self.columns)
+        new = type(self)(self.spark, path, self.columns)
         new.batch = 1
         rows = self._table("words").join(self._current(), ["posting_id", "batch"], "left_semi").withColumn("batch", F.lit(1))
         rows.repartition(BUCKETS, "bucket", "word").sortWithinPartitions("bucket", "word").write.partitionBy("bucket").parquet(f"{new.path}/words")
@@ -93,8 +98,20 @@ class TextIndex:
         if not (must or match.any) or not all(must) or (match.any and not some):
             return self._table("current").filter(F.lit(False)).select("posting_id")
         every = list(dict.fromkeys([*must, *some, *never]))
+        found = self._standing(every, match.columns)
+        has = {p: F.col(f"p{k}") for k, p in enumerate(every)}
+        for p in must:
+            found = found.filter(has[p])
+        if some:
+            found = found.filter(F.array_contains(F.array(*[has[p] for p in some]), True))
+        for p in never:
+            found = found.filter(~has[p])
+        return found.select("posting_id")
+
+    def _standing(self, every: list[tuple[str, ...]], columns: tuple[str, ...]) -> DataFrame:
+        """posting_id, and p0, p1, ... that say whether each phrase stands in one of the columns."""
         terms = {t for p in every for t in p}
-        rows = self._rows(sorted(t for t in terms if t[-1:] != "*"), sorted(t[:-1] for t in terms if t[-1:] == "*"), match.columns)
+        rows = self._rows(sorted(t for t in terms if t[-1:] != "*"), sorted(t[:-1] for t in terms if t[-1:] == "*"), columns)
         lines = rows.groupBy("posting_id", "column").agg(F.map_from_entries(F.collect_list(F.struct("term", "positions"))).alias("at"))
 
         def stands(p: tuple[str, ...]) -> Column:
@@ -105,12 +122,23 @@ class TextIndex:
                 common = F.array_intersect(common, b)
             return F.coalesce(F.size(common) > 0, F.lit(False))
 
-        found = lines.groupBy("posting_id").agg(*[F.max(stands(p)).alias(f"p{k}") for k, p in enumerate(every)])
-        has = {p: F.col(f"p{k}") for k, p in enumerate(every)}
-        for p in must:
-            found = found.filter(has[p])
-        if some:
-            found = found.filter(F.array_contains(F.array(*[has[p] for p in some]), True))
-        for p in never:
-            found = found.filter(~has[p])
-        return found.select("posting_id")
+        return lines.groupBy("posting_id").agg(*[F.max(stands(p)).alias(f"p{k}") for k, p in enumerate(every)])
+
+
+class GramIndex(TextIndex):
+    """Positions of the runs of three characters of folded texts: a text holds a needle where its runs stand one after the other, so no text is read to verify."""
+
+    SIZE, END = 3, "\u0001"
+
+    def _words(self, text: Column) -> Column:
+        line = F.concat(text, F.lit(self.END * (self.SIZE - 1)))
+        runs = F.transform(F.sequence(F.lit(1), F.char_length(line) - (self.SIZE - 1)), lambda k: F.substr(line, k, F.lit(self.SIZE)))
+        return F.when(F.char_length(line) >= self.SIZE, runs).otherwise(F.expr("cast(array() as array<string>)"))
+
+    def containing(self, needle: str, columns: tuple[str, ...] | None = None) -> DataFrame:
+        """posting_id of the rows with the needle in one of the columns, without case and accents; of an empty needle all rows."""
+        plain = folded_text(needle)
+        if not plain:
+            return self._table("current").select("posting_id").distinct()
+        runs = tuple(plain[k : k + self.SIZE] for k in range(len(plain) - self.SIZE + 1)) or (plain + "*",)
+        return self._standing([runs], columns or self.columns).filter("p0").select("posting_id")

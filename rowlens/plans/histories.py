@@ -2,11 +2,17 @@
 
 from __future__ import annotations
 
+from uuid import uuid4
+
 from pyspark.sql import functions as F
 
+from rowlens.config import build_geo
+from rowlens.functions import places
 from rowlens.operators import resolve
+from rowlens.operators.text_index import GramIndex
 from rowlens.plans.projection import canonical
 from rowlens.plans.registry import query
+from rowlens.session import shared_folder
 
 #: Tokens of the titles of ``sheet`` and ``folders``, and the place in a title.
 _TOKENS = """case when {0} like 'Software Engineer%' then ['sw', 'eng'] when {0} like 'Data Engineer%' then ['data', 'eng'] when {0} like 'Quant Developer%' then ['quant', 'dev']
@@ -88,3 +94,59 @@ def linked_applications(spark, sf):
     posts = canonical(spark, sf, "folders").select(F.col("folder_id").alias("posting_id"), F.col("company").alias("company_slug"), F.col("company").alias("company_name"), "title", F.col("title").alias("places"), "day")
     found = resolve.link_postings(resolve.link_candidates(posts, apps))
     return found.withColumn("ambiguous", F.array_join("ambiguous", ","))
+
+
+def _table(values: dict[str, str]) -> str:
+    return "MAP {" + ", ".join(f"'{k}': '{v}'" for k, v in sorted(values.items())) + "}"
+
+
+def _either(values: dict[str, str]) -> str:
+    return "|".join(sorted(values, key=lambda x: (-len(x), x)))
+
+
+_NAMES, _CODES = places.country_names(build_geo())
+_CITIES = places.unique_cities(build_geo())
+_ORDERED = "list_filter({0}, lambda x, i: list_position({0}, x) = i)"
+_COUNTRIES = f""", said as (select source_job_id, location_raw, title_raw, coalesce(location_raw, '') || ' / ' || description_raw as told, {_table(_NAMES | _CODES)} as names, {_table(_CITIES)} as cities from raw),
+    found as (select *, list_transform(regexp_extract_all(coalesce(location_raw, ''), '\\b((?i:{_either(_NAMES)})|{_either(_CODES)})\\b'), lambda x: coalesce(names[x], names[lower(x)])) as named,
+        list_transform(regexp_extract_all(coalesce(location_raw, ''), '(?i)\\b({_either(_CITIES)})\\b'), lambda x: cities[lower(x)]) as towns,
+        list_transform(regexp_extract_all(title_raw, '\\b((?i:{_either(_NAMES)})|{_either(_CODES)})\\b'), lambda x: coalesce(names[x], names[lower(x)])) as titled,
+        list_transform(regexp_extract_all(told, '\\b((?i:{_either(_NAMES)})|{_either(_CODES)})\\b'), lambda x: coalesce(names[x], names[lower(x)])) as told_names,
+        list_transform(regexp_extract_all(told, '(?i)\\b({_either(_CITIES)})\\b'), lambda x: cities[lower(x)]) as told_towns from said)
+    select source_job_id, array_to_string(case when len(named) > 0 then {_ORDERED.format("named")} when len(towns) > 0 then {_ORDERED.format("towns")} else {_ORDERED.format("titled")} end, ',') as of_application,
+        array_to_string(case when len(told_names) > 0 then {_ORDERED.format("told_names")} else {_ORDERED.format("told_towns")} end, ',') as of_text from found"""
+
+
+@query(_COUNTRIES, "raw")
+def named_countries(spark, sf):
+    """Countries of an application (place, else title), and those that place and description name, in order."""
+    raw = canonical(spark, sf, "raw")
+    told = F.concat_ws(" / ", F.coalesce("location_raw", F.lit("")), "description_raw")
+    return raw.select(
+        "source_job_id", F.array_join(places.application_countries(F.col("location_raw"), F.col("title_raw")), ",").alias("of_application"), F.array_join(places.countries_in(told), ",").alias("of_text")
+    )
+
+
+_GRAMS: dict[tuple[str, str], GramIndex] = {}
+
+
+def _gram_index(spark, sf) -> GramIndex:
+    key = (spark.sparkContext.applicationId, sf)
+    if key not in _GRAMS:
+        index = GramIndex(spark, f"{shared_folder(spark)}/gram-index-{uuid4().hex}", ("line", "company"))
+        apps = canonical(spark, sf, "applications")
+        index.add(apps.select(F.col("application_id").alias("posting_id"), F.concat_ws(" ", "company", "title").alias("line"), "company"))
+        _GRAMS[key] = index
+    return _GRAMS[key]
+
+
+@query("select application_id from applications where contains(lower(company || ' ' || title), '1 q')", "applications")
+def applications_with_text(spark, sf):
+    """Applications whose company and title hold a text anywhere, by their runs of three characters."""
+    return _gram_index(spark, sf).containing("1 Q̈", ("line",)).select(F.col("posting_id").alias("application_id"))
+
+
+@query("select application_id from applications where contains(lower(company), '7')", "applications")
+def applications_of_company(spark, sf):
+    """Applications whose company holds a character, which is shorter than a run."""
+    return _gram_index(spark, sf).containing("7", ("company",)).select(F.col("posting_id").alias("application_id"))

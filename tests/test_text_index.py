@@ -4,7 +4,7 @@ import itertools
 import random
 
 from rowlens.operators.search import Match, matching
-from rowlens.operators.text_index import TextIndex
+from rowlens.operators.text_index import GramIndex, TextIndex
 
 WORDS = ("rust", "Rústic", "engineer", "engine", "x", "of", "years")
 
@@ -42,3 +42,25 @@ def test_a_search_opens_its_buckets_only(spark, tmp_path):
     index.add(spark.createDataFrame([(str(k), n, None, None, n * 2) for k, n in enumerate(names)], schema))
     plan = index.matching(Match(every=("abc",)))._jdf.queryExecution().executedPlan().toString()
     assert "PartitionFilters: [bucket" in plan.replace("isnotnull(bucket#", "[bucket#").replace("[[", "[") and "EqualTo(word,abc)" in plan and "ArrowEvalPython" not in plan
+
+
+def test_substrings(spark, tmp_path):
+    lines = {str(k): t for k, t in enumerate(["Ünïted", "united", "uni ted", "ab", "a", "", None, "aaaaab", "ba ab", "x\u0001y"])}
+    index = GramIndex(spark, f"file://{tmp_path}/grams", ("line",))
+    index.add(spark.createDataFrame(list(lines.items()), "posting_id string, line string"))
+    for needle in ("unit", "i t", "ab", "b", "aab", "aaa", "United", "", "zz", "aaaaaab"):
+        want = {k for k, t in lines.items() if needle.lower() in (t or "").lower().replace("ü", "u").replace("ï", "i")}
+        assert {r.posting_id for r in index.containing(needle).collect()} == want, needle
+
+
+def test_countries_in_order(spark):
+    from pyspark.sql import functions as F
+
+    from rowlens.functions.places import application_countries, countries_in
+
+    cases = [("Paris, then Zürich", "FR,CH"), ("Germany or the UK, united kingdom", "DE,GB"), ("us and uk", ""), ("US", "US"), ("Londonderry", ""), ("London", ""), ("united states of america", "US"), (None, ""), ("Ireland (Paris)", "IE")]
+    rows = spark.createDataFrame(cases, "t string, want string")
+    for r in rows.select("t", "want", F.array_join(countries_in(F.col("t")), ",").alias("got")).collect():
+        assert r.got == r.want, r.t
+    one = spark.createDataFrame([("nowhere", "Quant Dev FRA"), ("Paris", "Dev US"), (None, "Paris")], "l string, t string")
+    assert [r.v for r in one.select(application_countries(F.col("l"), F.col("t")).alias("v")).collect()] == [["FR"], ["FR"], []]
