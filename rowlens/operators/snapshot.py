@@ -10,7 +10,7 @@ republications, bounded by the sources that list it.
 from __future__ import annotations
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from rowlens.schemas import AGGREGATORS
@@ -33,34 +33,39 @@ def _takes_over(old: dict, source: str) -> bool:
     return source not in AGGREGATORS and (old["source"] in AGGREGATORS or not old["is_active"])
 
 
+def step(rows: dict[str, dict], new: dict) -> None:
+    """One record of a batch applied to the rows of its job, by id; a row that becomes an alias says of which."""
+    old = rows.get(new["posting_id"])
+    if old is not None and old["alias_of"] is None:
+        changed = old["content_hash"] != new["content_hash"]
+        old.update(seen=new["seen"], is_active=True, touched=True, from_batch=old["from_batch"] or changed, content_hash=new["content_hash"])
+        if not old["is_canonical"]:
+            best = _best(rows, new, new["posting_id"])
+            if best is None or _takes_over(best, new["source"]):
+                old["is_canonical"] = True
+                if best is not None:
+                    best.update(is_canonical=False, alias_of=new["posting_id"])
+        elif changed:
+            twin = _best(rows, new, new["posting_id"])
+            if twin is not None and twin["content_hash"] == new["content_hash"] and twin["is_active"] and twin["source"] == new["source"]:
+                old.update(is_canonical=False, alias_of=twin["posting_id"])
+        return
+    best = _best(rows, new)
+    entry = new | {"from_batch": True, "touched": True, "is_active": True, "is_canonical": True, "alias_of": None}
+    if best is not None and not _takes_over(best, new["source"]):
+        entry.update(is_canonical=False, alias_of=best["posting_id"])
+    elif best is not None:
+        best.update(is_canonical=False, alias_of=new["posting_id"])
+    rows[new["posting_id"]] = entry
+
+
 def fold_group(group: pd.DataFrame) -> pd.DataFrame:
     """Stored rows and batch rows of one fingerprint, the batch in order, to the rows' new state."""
     rows: dict[str, dict] = {}
     for r in group[~group.in_batch].to_dict("records"):
         rows[r["posting_id"]] = r | {"from_batch": False, "touched": False, "alias_of": None}
     for new in group[group.in_batch].sort_values(["seen", "source", "source_job_id"]).to_dict("records"):
-        old = rows.get(new["posting_id"])
-        if old is not None and old["alias_of"] is None:
-            changed = old["content_hash"] != new["content_hash"]
-            old.update(seen=new["seen"], is_active=True, touched=True, from_batch=old["from_batch"] or changed, content_hash=new["content_hash"])
-            if not old["is_canonical"]:
-                best = _best(rows, new, new["posting_id"])
-                if best is None or _takes_over(best, new["source"]):
-                    old["is_canonical"] = True
-                    if best is not None:
-                        best.update(is_canonical=False, alias_of=new["posting_id"])
-            elif changed:
-                twin = _best(rows, new, new["posting_id"])
-                if twin is not None and twin["content_hash"] == new["content_hash"] and twin["is_active"] and twin["source"] == new["source"]:
-                    old.update(is_canonical=False, alias_of=twin["posting_id"])
-            continue
-        best = _best(rows, new)
-        entry = new | {"from_batch": True, "touched": True, "is_active": True, "is_canonical": True, "alias_of": None}
-        if best is not None and not _takes_over(best, new["source"]):
-            entry.update(is_canonical=False, alias_of=best["posting_id"])
-        elif best is not None:
-            best.update(is_canonical=False, alias_of=new["posting_id"])
-        rows[new["posting_id"]] = entry
+        step(rows, new)
     return pd.DataFrame(list(rows.values()))[[c.split(" ")[0] for c in STATE.split(", ")]]
 
 
@@ -115,6 +120,13 @@ def deactivate_missing(postings: DataFrame, seen: DataFrame) -> DataFrame:
     return rows.select(*[(F.col(c) & ~gone).alias(c) if c == "is_active" else c for c in postings.columns])
 
 
+def close_silent(postings: DataFrame, as_of: Column | str, silence_s: int) -> DataFrame:
+    """Postings that no batch has named for so many seconds are closed."""
+    until = F.unix_timestamp(F.lit(as_of).cast("timestamp") if isinstance(as_of, str) else as_of)
+    heard = F.unix_timestamp("last_seen_at") + silence_s > until
+    return postings.select(*[(F.col(c) & heard).alias(c) if c == "is_active" else c for c in postings.columns])
+
+
 def update_resolution(postings: DataFrame, resolved: DataFrame, fields: tuple[str, ...]) -> DataFrame:
     """Resolved fields rewritten; dedup and activity stay, a closed posting is not reopened."""
     new = resolved.select("posting_id", *[F.col(f).alias(f"__{f}") for f in fields], F.lit(True).alias("__hit"))

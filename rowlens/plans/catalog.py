@@ -4,16 +4,17 @@ from __future__ import annotations
 
 from uuid import uuid4
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from rowlens.config import Profile, build_profile, build_taxonomy, build_tracks
 from rowlens.functions import dates, money, text
 from rowlens.operators import applications, dedup, facets, feed, health, normalize, reports, retention, review, score, search, snapshot, text_index
 from rowlens.operators.feed import PostingFilter
-from rowlens.plans.projection import AS_OF, canonical, store
+from rowlens.plans.projection import AS_OF, _pick, canonical, store
 from rowlens.plans.registry import oracle_sql, queries, query
 from rowlens.session import shared_folder
+from rowlens.schemas import AGGREGATORS, SOURCES
 from rowlens.sources import readers
 
 FLAGSHIP = "feed_default"
@@ -455,13 +456,17 @@ def posting_dates(spark, sf):
 
 
 @query(
-    """select n, m, case when m = 'k' then v * 1000 when m = 'm' then v * 1000000 else v end as amount from (select n, m, try_cast(case when n like '%,%' and n like '%.%' then replace(n, ',', '')
+    """select source_job_id, n, m, case when lower(m) = 'k' then v * 1000 when lower(m) = 'm' then v * 1000000 else v end as amount from (select source_job_id, n, m, try_cast(case when n like '%,%' and n like '%.%' then replace(n, ',', '')
     when regexp_full_match(n, '\\d{1,3}(,\\d{3})+') then replace(n, ',', '') when regexp_full_match(n, '\\d{1,3}(\\.\\d{3})+') then replace(n, '.', '') else n end as double) as v
-    from (values ('4.500', ''), ('4,500.50', ''), ('175', 'k'), ('1.2', 'm'), ('12,50', ''), ('x', ''), ('1,200,000', '')) t(n, m))"""
+    from (select source_job_id, regexp_extract(description_raw, '(\\d[\\d.,]*\\d|\\d)([kKmM]?)', 1) as n, regexp_extract(description_raw, '(\\d[\\d.,]*\\d|\\d)([kKmM]?)', 2) as m from
+        (select source_job_id, regexp_extract(description_raw, '[$€£].*|Pay.*|budget.*', 0) as description_raw from raw)))""",
+    "raw",
 )
 def amounts(spark, sf):
-    rows = spark.createDataFrame([("4.500", ""), ("4,500.50", ""), ("175", "k"), ("1.2", "m"), ("12,50", ""), ("x", ""), ("1,200,000", "")], "n string, m string")
-    return rows.select("n", "m", money.parse_amount(F.col("n"), F.col("m")).cast("double").alias("amount"))
+    """The first number behind a sign of pay in every raw description, as an amount."""
+    said = F.regexp_extract("description_raw", "[$€£].*|Pay.*|budget.*", 0)
+    rows = canonical(spark, sf, "raw").select("source_job_id", *[F.regexp_extract(said, r"(\d[\d.,]*\d|\d)([kKmM]?)", k).alias(c) for k, c in ((1, "n"), (2, "m"))])
+    return rows.select("source_job_id", "n", "m", money.parse_amount(F.col("n"), F.col("m")).cast("double").alias("amount"))
 
 
 # --- normalize and score -----------------------------------------------------------------------
@@ -674,21 +679,51 @@ def _numbered(spark: SparkSession, sf: str) -> DataFrame:
     return canonical(spark, sf, "postings").withColumn("k", F.col("posting_id").cast("long"))
 
 
-@query(
-    """select posting_id, case when inb and (not ins or k % 5 = 0) then upper(title) else title end as title, case when inb and k % 5 = 0 then content_hash || 'x' else content_hash end as content_hash,
-    inb or is_active as is_active, inb or is_canonical as is_canonical, cast(case when inb then last_seen_at + interval '1' day else last_seen_at end as date) as last_day, cast(first_seen_at as date) as first_day
-    from (select *, cast(posting_id as bigint) as k, k % 2 = 0 as ins, k % 3 = 0 as inb from postings) where ins or inb""",
-    "postings",
-)
+_AGGREGATED = ", ".join(f"'{x}'" for x in AGGREGATORS)
+#: Postings of few boards under shared fingerprints; every second is stored, and of each fingerprint one comes in the batch.
+_JOBS = _pick("k", (SOURCES[0], AGGREGATORS[0], SOURCES[1]))
+_APPLIED = f""", jobs as (select * replace ({_JOBS} as source, 'b' || (k % 2) as company_slug) from (select *, cast(posting_id as bigint) as k from postings)),
+    stored as (select * from jobs where k % 2 = 0),
+    batch as (select * replace (upper(title) as title, last_seen_at + interval '1' day as last_seen_at, 'h' || cast(floor(k / 3) as bigint) % 5 as content_hash) from jobs where k % 3 = 0
+        qualify row_number() over (partition by fingerprint order by k) = 1),
+    near as (select b.posting_id as id, b.source in ({_AGGREGATED}) as b_agg, b.content_hash as b_hash, b.source as b_source, r.*, r.source = b.source and r.company_slug = b.company_slug as board,
+        row_number() over (partition by b.posting_id order by not r.is_active, r.last_seen_at desc, r.posting_id) as place from batch b join stored r on r.fingerprint = b.fingerprint and r.is_canonical and r.posting_id <> b.posting_id),
+    picked as (select id, case when any_value(b_agg) then min_by(posting_id, place) when count(*) filter (board and content_hash = b_hash) > 0 then min_by(posting_id, place) filter (board and content_hash = b_hash)
+        when count(*) filter (board and is_active) > 0 then null else min_by(posting_id, place) end as best from near group by id),
+    judged as (select b.posting_id, b.content_hash, s.posting_id is not null as known, coalesce(s.is_canonical, false) as was, coalesce(s.content_hash <> b.content_hash, false) as changed, r.posting_id as best,
+        coalesce(b.source not in ({_AGGREGATED}) and (r.source in ({_AGGREGATED}) or not r.is_active), false) as takes, coalesce(r.content_hash = b.content_hash and r.is_active and r.source = b.source, false) as twin
+        from batch b left join stored s on s.posting_id = b.posting_id left join picked p on p.id = b.posting_id left join stored r on r.posting_id = p.best),
+    outcome as (select *, case when known and was then not (changed and twin) when best is null or takes then true else false end as canonical,
+        case when known and was then case when changed and twin then best end when not known and best is not null and not takes then best end as alias_of,
+        case when not (known and was) and best is not null and takes then best end as demoted from judged),
+    rows_now as (select posting_id, title, content_hash, is_active, is_canonical and posting_id not in (select demoted from outcome where demoted is not null) as is_canonical, cast(last_seen_at as date) as last_day, cast(first_seen_at as date) as first_day
+        from stored where posting_id not in (select posting_id from batch)
+        union all select b.posting_id, case when o.known and not o.changed then s.title else b.title end, b.content_hash, true, o.canonical, cast(b.last_seen_at as date), cast(coalesce(s.first_seen_at, b.first_seen_at) as date)
+        from batch b join outcome o using (posting_id) left join stored s on s.posting_id = b.posting_id where o.known or o.alias_of is null)"""
+
+
+def _jobs(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame]:
+    rows = _numbered(spark, sf).withColumn("source", F.expr(_JOBS)).withColumn("company_slug", F.concat(F.lit("b"), (F.col("k") % 2).cast("string")))
+    batch = rows.filter("k % 3 = 0").withColumn("__n", F.row_number().over(Window.partitionBy("fingerprint").orderBy("k"))).filter("__n = 1").drop("__n")
+    batch = batch.withColumn("title", F.upper("title")).withColumn("last_seen_at", F.col("last_seen_at") + F.expr("interval 1 day"))
+    batch = batch.withColumn("content_hash", F.concat(F.lit("h"), (F.floor(F.col("k") / 3) % 5).cast("string")))
+    return rows.filter("k % 2 = 0").drop("k"), batch.drop("k")
+
+
+@query(_APPLIED + " select * from rows_now", "postings")
 def applied_batch(spark, sf):
-    """Stored postings after a batch of repeated, changed and new ones."""
-    rows = _numbered(spark, sf).withColumn("fingerprint", F.concat(F.lit("f"), "posting_id"))
-    batch = rows.filter("k % 3 = 0").withColumn("title", F.upper("title")).withColumn("last_seen_at", F.col("last_seen_at") + F.expr("interval 1 day"))
-    batch = batch.withColumn("content_hash", F.when(F.col("k") % 5 == 0, F.concat("content_hash", F.lit("x"))).otherwise(F.col("content_hash")))
-    after, _ = snapshot.apply_batch(rows.filter("k % 2 = 0").drop("k"), batch.drop("k"))
+    """Stored postings after a batch with repeats, changes, twins, aliases and take-overs under shared fingerprints."""
+    after, _ = snapshot.apply_batch(*_jobs(spark, sf))
     return after.select("posting_id", "title", "content_hash", "is_active", "is_canonical", F.col("last_seen_at").cast("date").alias("last_day"), F.col("first_seen_at").cast("date").alias("first_day"))
 
 
+@query(_APPLIED + " select posting_id as old_id, alias_of as new_id, not known as is_new from outcome where alias_of is not null union all select demoted, posting_id, false from outcome where demoted is not null", "postings")
+def batch_moves(spark, sf):
+    """What became an alias of what by that batch."""
+    _, moves = snapshot.apply_batch(*_jobs(spark, sf))
+    return moves
+
+
 @query(
     """select posting_id, is_active and (cast(posting_id as bigint) % 40 = 0 or not exists (select 1 from postings s where cast(s.posting_id as bigint) % 40 = 0 and s.source = p.source and s.company_slug = p.company_slug)) as is_active
     from postings p""",
