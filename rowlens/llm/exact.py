@@ -12,7 +12,9 @@ grouping key, never the digest alone:
 The mapping from digest to the row that stays is a narrow table. Stage 3 has
 seen every content behind a digest, so where it found exactly one, documents
 take their group by digest alone and no text is shuffled again; the digests with
-several contents (none for SHA-256 in practice) are joined with their text.
+several contents (none for SHA-256 in practice) are joined with their text. Digests of
+more than one row in ``HOT`` are fewer than ``HOT`` whatever the table holds; they
+are broadcast, and the others are joined by digest, so no key of that join is hot.
 
 Defined results: null text counts as empty, and all empty texts are copies of
 each other. A null id is never the largest while another id exists; a group of
@@ -31,6 +33,8 @@ from pyspark.sql import functions as F
 from rowlens.llm.common import stage_table, text_or_empty, unused
 
 SALTS = 64
+#: A text of more than one in so many rows is hot; so many hot texts at most can be.
+HOT = 2_000
 
 
 def sha256(text: Column) -> Column:
@@ -60,7 +64,15 @@ def exact_groups(
         "exact-mapping",
     )
     one = mapping.filter("contents = 1").select("digest", "keep_id", "group_size")
-    found = rows.select("doc_id", "digest").join(one, "digest")
+    total = mapping.agg(F.sum("group_size")).first()[0] or 0
+    hot = F.col("group_size") * HOT > total
+    often = F.broadcast(one.filter(hot).select("digest", F.col("keep_id").alias("hot_id"), F.col("group_size").alias("hot_size")))
+    marked = rows.select("doc_id", "digest").join(often, "digest", "left")
+    # a hot row's key is its own, so that they spread and meet nothing
+    own = F.when(F.col("hot_size").isNull(), F.col("digest")).otherwise(F.unhex(F.lpad(F.hex(F.xxhash64("doc_id")), 16, "0")))
+    rare = one.filter(~hot).withColumnRenamed("digest", "key")
+    found = marked.withColumn("key", own).join(rare, "key", "left").filter("hot_size is not null or group_size is not null")
+    found = found.select("doc_id", "digest", F.when(F.col("hot_size").isNull(), F.col("keep_id")).otherwise(F.col("hot_id")).alias("keep_id"), F.coalesce("hot_size", "group_size").alias("group_size"))
     if mapping.filter("contents > 1").limit(1).count():
         several = rows.join(mapping.filter("contents > 1").select("digest"), "digest", "left_semi")
         groups = several.groupBy("digest", "text").agg(
@@ -75,15 +87,21 @@ def exact_groups(
 
 
 def keep_exact(docs: DataFrame) -> DataFrame:
-    """One row of ``docs`` per text, all columns as they are: the one with the largest doc_id."""
-    mine, other = unused("__id", docs), unused("__digest", docs)
-    kept = exact_groups(docs).filter("kept").select(F.col("doc_id").alias(mine), F.col("digest").alias(other)).distinct()
-    own, place = unused("__own", docs), unused("__place", docs)
+    """One row of ``docs`` per text, all columns as they are: the one with the largest doc_id.
+
+    Whole rows are dealt once, by id and digest, which no two kept rows share. Of rows
+    that repeat id and text one stays; only those, if there are any, are counted off.
+    """
+    mine, other, own, place = (unused(name, docs) for name in ("__id", "__digest", "__own", "__place"))
+    groups = exact_groups(docs).filter("kept").groupBy("doc_id", "digest").agg(F.count(F.lit(1)).alias("n"))
+    kept = stage_table(groups.select(F.col("doc_id").alias(mine), F.col("digest").alias(other), (F.col("n") > 1).alias("again")), "exact-kept")
     rows = docs.withColumn(own, sha256(text_or_empty("text")))
-    rows = rows.join(kept, F.col("doc_id").eqNullSafe(F.col(mine)) & (F.col(own) == F.col(other)), "left_semi")
-    # of rows that repeat id and text one stays
+    same = lambda right: rows.join(right, F.col("doc_id").eqNullSafe(F.col(mine)) & (F.col(own) == F.col(other)), "left_semi")
+    if kept.filter("again").isEmpty():
+        return same(kept).drop(own)
     number = F.row_number().over(Window.partitionBy("doc_id", own).orderBy(F.lit(0)))
-    return rows.withColumn(place, number).filter(F.col(place) == 1).drop(own, place)
+    counted = same(kept.filter("again")).withColumn(place, number).filter(F.col(place) == 1).drop(place)
+    return same(kept.filter("not again")).unionByName(counted).drop(own)
 
 
 def exact_result(docs: DataFrame) -> DataFrame:
