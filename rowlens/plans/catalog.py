@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from rowlens.config import Profile, build_profile, build_taxonomy, build_tracks
 from rowlens.functions import dates, money, text
-from rowlens.operators import applications, dedup, facets, feed, health, normalize, reports, retention, review, score, search, snapshot, text_index
+from rowlens.operators import applications, dedup, facets, feed, health, normalize, replay, reports, retention, review, score, search, snapshot, text_index
 from rowlens.operators.feed import PostingFilter
 from rowlens.plans.projection import AS_OF, _pick, canonical, store
 from rowlens.plans.registry import oracle_sql, queries, query
@@ -587,6 +587,48 @@ def normalized_postings(spark, sf):
     return p.select("source_job_id", "posting_id", "fingerprint", "source", "company_slug", "title", "title_raw", "content_hash", "role_family", "seniority", "phd_required", "visa_sponsorship", "visa_evidence", *lists, *dates_)
 
 
+_REPLAYED = f"""{_FIELDS_HEAD}, fields as (select source_job_id{_FIELDS_TAIL}), was as (
+        select 'j' || cast(cast(posting_id as bigint) as varchar) as source_job_id, cast(posting_id as bigint) as k, role_family, seniority, visa_sponsorship, resolver_stage from postings),
+    merged as (select w.k, w.role_family as old_role, case when w.resolver_stage = 'llm' then w.role_family else f.role_family end as new_role, w.visa_sponsorship as old_visa,
+        case when w.resolver_stage = 'llm' then w.visa_sponsorship else f.visa_sponsorship end as new_visa, w.seniority as old_level, case when w.resolver_stage = 'llm' or w.k % 11 = 0 then w.seniority else f.seniority end as new_level
+        from was w join fields f using (source_job_id) where w.k % 3 = 0 or w.k % 7 = 0)"""
+
+
+def _replayed(spark: SparkSession, sf: str) -> DataFrame:
+    """Stored postings merged with what the rules say now, of a third that an older version made, and a seventh whose input moved since."""
+    stored = _numbered(spark, sf).withColumn("posting_id", F.concat(F.lit("j"), F.col("k").cast("string"))).withColumnRenamed("content_hash", "stored_hash")
+    raw = canonical(spark, sf, "raw").withColumn("posting_id", F.col("source_job_id")).withColumn("content_hash", text.content_hash(F.col("title_raw"), F.col("description_raw"), F.col("location_raw")))
+    hashes_ = raw.select("posting_id", "content_hash")
+    stored = stored.join(hashes_, "posting_id").withColumn("content_hash", F.when(F.col("k") % 7 == 0, F.lit("before")).otherwise(F.col("content_hash")))
+    stored = stored.withColumn("normalize_version", F.when(F.col("k") % 3 == 0, 0).otherwise(normalize.VERSION))
+    path = f"{shared_folder(spark)}/replay-{uuid4().hex}"
+    stored.write.partitionBy("normalize_version").parquet(path)
+    stored = spark.read.parquet(path)
+    new = normalize.text_fields(replay.outdated(stored, raw, normalize.VERSION)).withColumn("salary_min", F.lit(None).cast("decimal(18, 4)"))
+    corrected = stored.filter("k % 11 = 0").select("posting_id", F.lit("seniority").alias("field"))
+    return replay.merge(stored, new, corrected)
+
+
+@query(_REPLAYED + " select old_role as before, new_role as after, count(*) as n from merged group by all", "raw", "postings")
+def replayed_roles(spark, sf):
+    """How many postings' roles a replay moves from where to where."""
+    rows = _replayed(spark, sf)
+    return replay.transitions(rows.select("posting_id", F.col("before_role_family").alias("role")), rows.select("posting_id", F.col("after_role_family").alias("role")), "role")
+
+
+@query(
+    _REPLAYED + """ select stage, round(before, 9) as before, round(after, 9) as after, changed from (
+        select 'role' as stage, avg((old_role <> 'other')::int) as before, avg((new_role <> 'other')::int) as after, count(*) filter ((old_role <> 'other') <> (new_role <> 'other')) as changed from merged
+        union all select 'visa', avg((old_visa <> 'unknown')::int), avg((new_visa <> 'unknown')::int), count(*) filter ((old_visa <> 'unknown') <> (new_visa <> 'unknown')) from merged
+        union all select 'seniority', avg((old_level <> 'unknown')::int), avg((new_level <> 'unknown')::int), count(*) filter ((old_level <> 'unknown') <> (new_level <> 'unknown')) from merged)""",
+    "raw", "postings",
+)
+def replay_rates(spark, sf):
+    """What share of the replayed postings each stage resolves, before and after."""
+    found = replay.rates(_replayed(spark, sf)).filter("stage <> 'compensation'")
+    return found.select("stage", F.round("before", 9).alias("before"), F.round("after", 9).alias("after"), "changed")
+
+
 def _one_of(text_sql: str, words: tuple[str, ...]) -> str:
     return "regexp_matches(" + text_sql + ", '(^|[^a-z0-9])(" + "|".join(w.replace("+", "\\+") for w in words) + ")($|[^a-z0-9])')" if words else "false"
 
@@ -806,6 +848,6 @@ def latest_status(spark, sf):
 
 
 # the other modules of queries register themselves
-from rowlens.plans import histories  # noqa: E402
+from rowlens.plans import histories, reviews  # noqa: E402
 
-__all__ = ["FLAGSHIP", "histories", "oracle_sql", "queries", "query"]
+__all__ = ["FLAGSHIP", "histories", "reviews", "oracle_sql", "queries", "query"]
