@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from uuid import uuid4
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from rowlens.config import Profile, build_profile, build_taxonomy, build_tracks
@@ -705,27 +705,62 @@ def track_scores(spark, sf):
 # --- sources, batches and review ------------------------------------------------------------------
 
 
+#: What a source's records carry as description: the text, nothing in a listing without texts, or the text under its heading.
+_CARRIED = {
+    **dict.fromkeys(("greenhouse", "lever", "ashby", "recruitee", "workable", "adzuna", "efinancialcareers"), "description_raw"), **dict.fromkeys(("smartrecruiters", "workday"), "''"), "personio": "'Tasks' || chr(10) || description_raw",
+}
+
+
+def _record(source: str) -> Column:
+    """One record as the source writes it."""
+    job, title, place, said, url = (F.col(c) for c in ("source_job_id", "title_raw", "location_raw", "description_raw", "url"))
+    part = lambda name: F.struct(place.alias(name))
+    fields = {
+        "greenhouse": {"id": job, "title": title, "absolute_url": url, "content": said, "location": part("name")},
+        "lever": {"id": job, "text": title, "hostedUrl": url, "descriptionPlain": said, "categories": part("location")},
+        "workday": {"externalPath": job, "title": title, "locationsText": place},
+        "ashby": {"id": job, "title": title, "applyUrl": url, "location": place, "team": F.lit("t"), "descriptionHtml": said, "isListed": F.lit(True)},
+        "recruitee": {"id": job, "title": title, "careers_url": url, "description": said, "locations": F.array(part("city"))},
+        "smartrecruiters": {"id": job, "name": title, "ref": url, "location": part("fullLocation")},
+        "workable": {"shortcode": job, "title": title, "shortlink": url, "state": place, "description": said},
+        "adzuna": {"id": job, "title": title, "redirect_url": url, "description": said, "location": part("display_name"), "company": F.struct(F.lit("Employer").alias("display_name"))},
+        "efinancialcareers": {"id": job, "title": title, "detailsPageUrl": url, "summary": said, "jobLocation": part("displayName"), "companyName": F.lit("Employer")},
+    }[source]
+    return F.struct(*[c.alias(n) for n, c in fields.items()])
+
+
+def _payloads(raw: DataFrame, source: str) -> DataFrame:
+    """The source's pages of all records: those of one employer and one run of keys, 64 at most."""
+    page = F.floor(F.substring("source_job_id", 2, 20).cast("long") / 64).alias("page")
+    if source == "personio":
+        tag = lambda name, c: F.concat(F.lit(f"<{name}>"), c, F.lit(f"</{name}>"))
+        text_ = tag("jobDescriptions", tag("jobDescription", F.concat(tag("name", F.lit("Tasks")), tag("value", F.col("description_raw")))))
+        office = F.coalesce(tag("office", F.col("location_raw")), F.lit(""))
+        one = tag("position", F.concat(tag("id", F.col("source_job_id")), tag("name", F.col("title_raw")), office, text_))
+        body = tag("workzag-jobs", F.array_join(F.collect_list(one), ""))
+    else:
+        listed = F.collect_list(_record(source))
+        path = readers.SHAPES[source][1]
+        body = F.to_json(F.struct(listed.alias(path)) if path else listed)
+    pages = raw.groupBy("company_slug", page).agg(body.alias("body"), F.max("fetched_at").alias("fetched_at"))
+    return pages.select("company_slug", F.col("company_slug").alias("company_name"), F.lit("t").alias("token"), "body", "fetched_at")
+
+
 @query(
-    """select s.source, company_slug, source_job_id, title_raw, location_raw, sha256(title_raw || chr(31) || description_raw || chr(31) || coalesce(location_raw, '')) as content_hash
-    from raw cross join (values ('greenhouse'), ('lever'), ('workday')) s(source) where s.source <> 'workday'
-    union all select 'workday', company_slug, source_job_id, title_raw, location_raw, sha256(title_raw || chr(31) || chr(31) || coalesce(location_raw, '')) from raw""",
+    " union all ".join(
+        f"""select '{source}' as source, company_slug, source_job_id, title_raw, location_raw, {"'Employer'" if source in ("adzuna", "efinancialcareers") else "company_slug"} as company_name,
+        sha256(title_raw || chr(31) || {said} || chr(31) || coalesce(location_raw, '')) as content_hash from raw"""
+        for source, said in _CARRIED.items()
+    ),
     "raw",
 )
 def source_records(spark, sf):
-    """Records of three sources' payloads, one page an employer, read back from their JSON."""
-    raw = canonical(spark, sf, "raw")
-    job, title, place, text_raw = F.col("source_job_id"), F.col("title_raw"), F.col("location_raw"), F.col("description_raw")
-    shapes = {
-        "greenhouse": F.struct(job.alias("id"), title.alias("title"), F.col("url").alias("absolute_url"), text_raw.alias("content"), F.struct(place.alias("name")).alias("location")),
-        "lever": F.struct(job.alias("id"), title.alias("text"), F.col("url").alias("hostedUrl"), text_raw.alias("descriptionPlain"), F.struct(place.alias("location")).alias("categories")),
-        "workday": F.struct(job.alias("externalPath"), title.alias("title"), place.alias("locationsText")),
-    }
-    wrap = {"greenhouse": lambda c: F.struct(c.alias("jobs")), "lever": lambda c: c, "workday": lambda c: F.struct(c.alias("jobPostings"))}
-    found = None
-    for source, shape in shapes.items():
-        pages = raw.groupBy("company_slug").agg(F.to_json(wrap[source](F.collect_list(shape))).alias("body"), F.max("fetched_at").alias("fetched_at"))
-        pages = pages.select("company_slug", F.col("company_slug").alias("company_name"), F.lit("t").alias("token"), "body", "fetched_at")
-        rows = readers.records(pages, source).select("source", "company_slug", "source_job_id", "title_raw", "location_raw", "content_hash")
+    """Records of ten sources' payloads, read back from their JSON or XML."""
+    raw, found = canonical(spark, sf, "raw"), None
+    for source in _CARRIED:
+        pages = _payloads(raw, source)
+        rows = readers.personio(pages) if source == "personio" else readers.records(pages, source)
+        rows = rows.select("source", "company_slug", "source_job_id", "title_raw", "location_raw", "company_name", "content_hash")
         found = rows if found is None else found.unionByName(rows)
     return found
 
