@@ -72,3 +72,10 @@ def matching(texts: DataFrame, match: Match) -> DataFrame:
         start = " " + " ".join(_folded(p))
         rows = rows.filter(F.exists("lines", _starts(start)))
     return rows.select("posting_id")
+
+
+def token_table(texts: DataFrame, columns: tuple[str, ...] = COLUMNS) -> DataFrame:
+    """posting_id, column and word of every folded text, once each; ``text_index`` keeps such rows on disk with positions."""
+    parts = F.array(*[F.struct(F.lit(c).alias("column"), F.coalesce(F.col(c), F.lit("")).alias("text")) for c in columns])
+    rows = texts.select("posting_id", F.explode(parts).alias("p")).select("posting_id", "p.column", fold(F.col("p.text")).alias("folded"))
+    return rows.select("posting_id", "column", F.explode(F.array_distinct(tokens(F.col("folded")))).alias("word"))
