@@ -1,7 +1,8 @@
 """License scans by a positional index of rare licence words, with DataFrame functions only.
 
-The templates below are short notices, with their label and mandatory key
-phrases. Their words with positions are the index, a constant table. How rare a
+The templates (``license_templates``: several windows of each licence's text, its
+names and SPDX identifiers) have a label and mandatory key phrases. Their words with
+positions are the index, a constant table. How rare a
 word is, the corpus says: document frequencies of all template words are counted
 over all documents. They choose what is looked up, no word is left out for being
 frequent: of every template the ``LOOKED_UP`` rarest words of its key phrases,
@@ -36,6 +37,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from rowlens.llm.common import stage_table, text_or_empty
+from rowlens.llm.license_templates import templates
 
 #: Between words of a lower-cased text.
 GAP = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
@@ -45,19 +47,7 @@ KELVIN, STAND_IN = "\u212a", "\u0138"
 PHRASES = {"mit license": "mit", "apache license": "apache", "general public license": "gpl"}
 
 #: (name, label, notice, key phrases).
-TEMPLATES = (
-    ("mit-release", "mit", "released under the mit license", ("mit license",)),
-    ("mit-grant", "mit", "permission is hereby granted free of charge to any person obtaining a copy", ("permission is hereby granted", "free of charge")),
-    ("apache-2", "apache", "licensed under the apache license version 2 0", ("apache license", "version 2 0")),
-    ("gpl-3", "gpl", "this work is licensed under the gnu general public license version 3", ("gnu general public license",)),
-    ("gpl-2", "gpl", "under the terms of the gnu general public license version 2", ("gnu general public license", "version 2")),
-    ("lgpl", "lgpl", "under the terms of the gnu lesser general public license", ("gnu lesser general public license",)),
-    ("cc-by-nc", "cc-by-nc", "licensed under cc by nc 4 0", ("cc by nc",)),
-    ("cc-by-sa", "cc-by-sa", "licensed under cc by sa 4 0", ("cc by sa",)),
-    ("cc-by", "cc-by", "licensed under cc by 4 0", ("cc by 4",)),
-    ("bsd", "bsd", "redistribution and use in source and binary forms with or without modification are permitted", ("redistribution and use", "source and binary forms")),
-    ("mpl-2", "mpl", "subject to the terms of the mozilla public license v 2 0", ("mozilla public license",)),
-)
+TEMPLATES = templates()
 LOOKED_UP = 2
 SUPPORTING = 4
 #: Words of the longest template.
@@ -132,32 +122,15 @@ def _with_base(rows: DataFrame) -> DataFrame:
 
 
 def _verified() -> Column:
-    """All key phrases of the row's template at their place relative to ``begin``, a place in ``around``."""
-    found = F.lit(False)
-    for name in {t for t, *_ in _key_places()}:
-        there = F.lit(True)
-        for t, phrase, at in _key_places():
-            for j, w in enumerate(phrase.split(" ")):
-                there = there & (F.get("around", F.col("begin") + at + j) == w) if t == name else there
-        found = F.when(F.col("template") == name, F.coalesce(there, F.lit(False))).otherwise(found)
-    return found
+    """All key words of the row's template (``keys``) at their place relative to ``begin``, a place in ``around``."""
+    return F.forall("keys", lambda k: F.coalesce(F.get("around", F.col("begin") + k["at"]) == k["word"], F.lit(False)))
 
 
-def _weight(idf: dict[str, float]) -> Column:
-    """Inverse document frequency of the distinct words of the row's template that stand at their place."""
-    found = F.lit(0.0)
-    for name, _, notice, _ in TEMPLATES:
-        total = F.lit(0.0)
-        places: dict[str, list[int]] = {}
-        for at, w in enumerate(notice.split(" ")):
-            places.setdefault(w, []).append(at)
-        for w, own in sorted(places.items()):
-            there = F.lit(False)
-            for at in own:
-                there = there | F.coalesce(F.get("around", F.col("begin") + at) == w, F.lit(False))
-            total = total + F.when(there, idf.get(w, 0.0)).otherwise(0.0)
-        found = F.when(F.col("template") == name, total).otherwise(found)
-    return found
+def _weight() -> Column:
+    """Inverse document frequency of the distinct words of the row's template (``parts``) that stand at their place."""
+    there = F.filter("parts", lambda p: F.coalesce(F.get("around", F.col("begin") + p["at"]) == p["word"], F.lit(False)))
+    distinct = F.array_distinct(F.transform(there, lambda p: F.struct(p["word"], p["idf"])))
+    return F.aggregate(distinct, F.lit(0.0), lambda total, p: total + p["idf"])
 
 
 def looked_up(idf: dict[str, float]) -> dict[str, list[str]]:
@@ -176,21 +149,26 @@ def template_labels(rows: DataFrame, idf: dict[str, float]) -> DataFrame:
     chosen = looked_up(idf)
     own = F.array_intersect(_strings(sorted({w for ws in chosen.values() for w in ws})), F.col("words"))
     # words of the templates whose looked-up words are all in the document
-    top = F.array_distinct(F.flatten(F.array(*[F.when(F.size(F.array_intersect("own", _strings(ws))) == len(ws), _strings(ws)).otherwise(_strings([])) for ws in chosen.values()]))) if chosen else _strings([])
+    sets = F.array(*[_strings(ws) for ws in sorted(set(map(tuple, chosen.values())))])
+    whole = F.filter(sets, lambda ws: F.size(F.array_intersect("own", ws)) == F.size(ws))
+    top = F.array_distinct(F.flatten(whole)) if chosen else _strings([])
     near = rows.withColumn("own", own).filter("size(own) > 0").withColumn("top", top).filter("size(top) > 0")
     # the words before and behind, as far as a template reaches; "lead" is the word's own place among them
     placed = F.filter(F.transform("words", lambda w, i: F.struct(w.alias("word"), i.alias("at"))), lambda x: F.array_contains("top", x["word"]))
     lead = lambda x: F.least(x["at"], F.lit(LONGEST))
     placed = F.transform(placed, lambda x: F.struct(x["word"].alias("word"), x["at"].alias("at"), lead(x).alias("lead"), F.slice("words", x["at"] - lead(x) + 1, lead(x) + LONGEST).alias("around")))
     postings = near.select("doc_id", "same", "chars", F.explode(placed).alias("x")).select("doc_id", "same", "chars", "x.*")
-    # constant tables of the templates, a few hundred rows at most: they may be broadcast
-    words_of = {t: {w for n, _, w in _index() if n == t and w in idf} for t in chosen}
-    reach = {t: sum(sorted((idf[w] for w in own_words), reverse=True)[:SUPPORTING]) for t, own_words in words_of.items()}
-    label_of = {t: label for t, label, *_ in TEMPLATES}
-    index = [(t, label_of[t], at, w, reach[t], len(chosen[t])) for t, at, w in _index() if w in chosen.get(t, ())]
-    table = spark.createDataFrame(index, "template string, label string, t_at int, word string, reach double, agreeing int")
+    # a constant table of the templates, a row for each place of a looked-up word: it may be broadcast
+    index = []
+    for t, label, notice, _ in TEMPLATES:
+        parts = sorted((w, at, idf[w]) for at, w in enumerate(notice.split(" ")) if w in idf)
+        reach = sum(sorted({w: x for w, _, x in parts}.values(), reverse=True)[:SUPPORTING])
+        keys = sorted({(w, place + j) for n, phrase, place in _key_places() if n == t for j, w in enumerate(phrase.split(" "))}, key=lambda k: k[1])
+        index += [(t, label, at, w, reach, len(chosen[t]), keys, parts) for w, at, _ in parts if w in chosen.get(t, ())]
+    entry = "array<struct<word:string,at:int>>", "array<struct<word:string,at:int,idf:double>>"
+    table = spark.createDataFrame(index, f"template string, label string, t_at int, word string, reach double, agreeing int, keys {entry[0]}, parts {entry[1]}")
     hits = postings.join(F.broadcast(table), "word").withColumn("begin", F.col("lead") - F.col("t_at")).filter(_verified())
-    hits = hits.select("doc_id", "same", "chars", "template", "label", "reach", "agreeing", (F.col("at") - F.col("t_at")).alias("start"), "word", _weight(idf).alias("weight"))
+    hits = hits.select("doc_id", "same", "chars", "template", "label", "reach", "agreeing", (F.col("at") - F.col("t_at")).alias("start"), "word", _weight().alias("weight"))
     by = ["doc_id", "same", "chars", "template", "label", "reach", "agreeing", "start"]
     words = hits.groupBy(*by, "word").agg(F.max("weight").alias("weight"))
     places = words.groupBy(*by).agg(F.max("weight").alias("weight"), F.count(F.lit(1)).alias("n")).filter("n >= agreeing")

@@ -432,11 +432,41 @@ def test_licenses_of_several_notices(spark, docs):
         want = {label for phrase, label in license.PHRASES.items() if f" {phrase} " in f" {' '.join(words)} "}
         for _, label, notice, phrases in license.TEMPLATES:
             places = [(f" {notice} ".split(f" {p} ")[0].count(" "), p.split(" ")) for p in phrases]
-            if any(all(b + at >= 0 and words[b + at : b + at + len(own)] == own for at, own in places) for b in range(-20, len(words))):
+            if any(all(b + at >= 0 and words[b + at : b + at + len(own)] == own for at, own in places) for b in range(-license.LONGEST, len(words))):
                 want.add(label)
         assert got[k][0] == ",".join(sorted(want)) and (got[k][1] > 0) == bool(want), (k, text[:80])
 
 
+SCANNED = {
+    "SPDX-License-Identifier: MPL-2.0": "mpl",
+    "// SPDX-License-Identifier: (GPL-2.0-or-later)": "gpl",
+    "# spdx-license-identifier: BSD-3-Clause": "bsd",
+    "Permission to use, copy, modify, and distribute this software for any purpose with or without fee is hereby granted, provided": "isc",
+    "granted to use, reproduce, display, distribute, execute, and transmit the Software": "boost",
+    "This is free and unencumbered software released into the\npublic domain.": "unlicense",
+    "* Redistributions of source code must retain the above copyright\n *    notice, this list": "bsd",
+    "You should have a copy of the GNU Affero General Public License": "agpl,gpl",
+    "Altered source versions must be plainly\n marked as such": "zlib",
+    "If a copy of the MPL was not distributed with this\n * file": "mpl",
+    "with any purpose or fee, permission to modify the public domain software is not hereby granted": "",
+    "the above copyright notice, free software, source code, public license, identifier": "",
+}
+
+
+def test_licenses_of_full_texts(spark):
+    filler = "the fee of any software in a public notice is hereby retained for source and binary use "
+    texts = [f"{before}{text} {after}" for text in SCANNED for before, after in (("", ""), (filler * 40, filler), (filler, filler * 400))]
+    got = labels_of(spark, texts)
+    assert [got[k][0] for k in range(len(texts))] == [label for label in SCANNED.values() for _ in range(3)]
+    # every template alone and in a text is told, and no key word may be missing
+    whole = [filler * 3 + notice + " " + filler for _, _, notice, _ in license.TEMPLATES]
+    broken = [w.replace(f" {phrases[0].split(' ')[-1]} ", " xx ") for w, (*_, phrases) in zip(whole, license.TEMPLATES)]
+    got = labels_of(spark, whole + broken)
+    assert all(label in got[k][0].split(",") for k, (_, label, *_) in enumerate(license.TEMPLATES))
+    own = {"mit-release", "gpl-short", "zlib", "isc", "boost", "spdx-license-identifier-mpl-2-0"}
+    assert all(got[len(whole) + k][0] == "" for k, (name, *_) in enumerate(license.TEMPLATES) if name in own)
+
+
 def test_packing(odd, docs, library):
     for frame in (odd, docs):
         rows = packing.packed_documents(frame).collect()
