@@ -9,7 +9,7 @@ from __future__ import annotations
 
 from datetime import datetime
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from rowlens.functions.dates import as_timestamp, due
@@ -20,6 +20,9 @@ MUTE_RUNS, HISTORY, DROP = 3, 6, 0.2
 STALE_HOURS, STALLED = 48, 3
 FAILURES = ("error", "blocked")
 THRESHOLD, BASE_DELAY, MAX_DELAY = 3, 30.0, 3600.0
+COUNTS = ("fetched", "new", "updated", "aliased", "rejected")
+#: Sources whose boards have a host each: a block there is one board's.
+OWN_HOST = ("workday", "custom")
 
 
 def newest(*keys: str) -> Window:
@@ -111,7 +114,56 @@ def due_boards(companies: DataFrame, runs: DataFrame, as_of: datetime | str) ->
 
 def cycle_row(boards: DataFrame) -> DataFrame:
     """source, totals and status of one cycle from its boards' runs."""
-    totals = [F.sum(c).alias(c) for c in ("fetched", "new", "updated", "aliased", "rejected")]
+    totals = [F.sum(c).alias(c) for c in COUNTS]
     rows = boards.groupBy("source").agg(*totals, F.count_if(F.col("status") == "blocked").alias("b"), F.count_if(F.col("status").isin("ok", "empty")).alias("good"), F.count_if(F.col("status") != "skipped").alias("asked"))
     status = F.when(F.col("b") > 0, "blocked").when(F.col("asked") == 0, "skipped").when(F.col("good") == 0, "error").when(F.col("fetched") > 0, "ok").otherwise("empty")
     return rows.select("source", "fetched", "new", "updated", "aliased", "rejected", status.alias("status"))
+
+
+def lot(seed: str) -> Column:
+    """A board's place in the shuffled order of a cycle: the same for the same seed."""
+    return F.md5(F.concat_ws(":", F.lit(seed), "source", "company_slug"))
+
+
+def plan_cycle(companies: DataFrame, runs: DataFrame, as_of: datetime | str, seed: str, force: bool = False, threshold: int = THRESHOLD, base: float = BASE_DELAY, most: float = MAX_DELAY) -> DataFrame:
+    """source, company_slug, state and lot of the boards that a cycle asks, in the order of their lots.
+
+    Sources whose breaker is open ask none; half-open ones ask the due board of the
+    lowest lot. ``force`` ignores the cadence, never the breaker.
+    """
+    rows = companies.filter("enabled") if force else due_boards(companies, runs, as_of)
+    state = breaker(runs, as_of, threshold, base, most).select("source", "state")
+    rows = rows.select("source", "company_slug").join(state, "source", "left").withColumn("state", F.coalesce("state", F.lit("closed")))
+    rows = rows.filter("state <> 'open'").withColumn("lot", lot(seed))
+    probe = rows.filter("state = 'half_open'").groupBy("source").agg(F.min(F.struct("lot", "company_slug")).alias("first"))
+    probe = probe.select("source", "first.company_slug", F.lit("half_open").alias("state"), "first.lot")
+    return rows.filter("state = 'closed'").unionByName(probe)
+
+
+def asked_boards(plan: DataFrame, answers: DataFrame, own_host: tuple[str, ...] = OWN_HOST) -> DataFrame:
+    """The answers (source, company_slug, status, counts) of the boards that the plan reaches.
+
+    A block ends its source's cycle after the blocked board, but for sources whose
+    boards have a host each.
+    """
+    rows = plan.join(answers, ["source", "company_slug"])
+    shared = ~F.col("source").isin(*own_host)
+    wall = rows.filter(shared & (F.col("status") == "blocked")).groupBy("source").agg(F.min("lot").alias("wall"))
+    return rows.join(wall, "source", "left").filter("wall is null or lot <= wall").drop("wall")
+
+
+def cycle_log(companies: DataFrame, runs: DataFrame, plan: DataFrame, answers: DataFrame, as_of: datetime | str, threshold: int = THRESHOLD, base: float = BASE_DELAY, most: float = MAX_DELAY, own_host: tuple[str, ...] = OWN_HOST) -> DataFrame:
+    """Run rows of one cycle: one for each board asked, and for every source of the registry one without a board.
+
+    Blocks of sources with a host for each board don't make the source blocked. A
+    source with an open breaker or without a due board is skipped.
+    """
+    boards = asked_boards(plan, answers, own_host).select("source", "company_slug", "status", *COUNTS)
+    state = breaker(runs, as_of, threshold, base, most).select("source", "state")
+    walled = (F.col("status") == "blocked") & ~F.col("source").isin(*own_host)
+    totals = boards.groupBy("source").agg(*[F.sum(c).cast("long").alias(c) for c in COUNTS], F.count_if(walled).alias("walls"), F.count_if(F.col("status").isin("ok", "empty")).alias("good"))
+    rows = companies.select("source").distinct().join(state, "source", "left").join(totals, "source", "left")
+    status = F.when(F.coalesce("walls", F.lit(0)) > 0, "blocked").when(F.col("good").isNull(), "skipped").when(F.col("good") == 0, "error").when(F.col("fetched") > 0, "ok").otherwise("empty")
+    why = F.when(F.col("state") == "open", "breaker_open")
+    whole = rows.select("source", F.lit(None).cast("string").alias("company_slug"), status.alias("status"), why.alias("error_kind"), *[F.coalesce(c, F.lit(0)).cast("long").alias(c) for c in COUNTS])
+    return boards.select("source", "company_slug", "status", F.lit(None).cast("string").alias("error_kind"), *[F.col(c).cast("long") for c in COUNTS]).unionByName(whole)

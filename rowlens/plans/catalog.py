@@ -403,6 +403,39 @@ def cycle_rows(spark, sf):
     return rows.select("source", "fetched", "new", "updated", "status")
 
 
+#: The cycle's breaker here trips at one failure and waits an hour or more, so that all three states occur.
+_CYCLE = {"threshold": 1, "base": 3600.0, "most": 36000.0}
+_SEED = "cycle"
+
+
+@query(
+    f""", {_TRIES}, streak as (select source, coalesce(min(place) filter (status not in ('error', 'blocked')), max(place) + 1) - 1 as failures, max(status) filter (place = 1) as status, max(ended_at) filter (place = 1) as ended from tries group by 1),
+    judged as (select source, status in ('error', 'blocked') as tripped, epoch(ended) + least(3600.0 * pow(2.0, failures - 1), 36000.0)::bigint as retry from streak),
+    gate as (select source, case when not tripped then 'closed' when epoch(timestamp '{NOW}') >= floor(retry) then 'half_open' else 'open' end as state from judged),
+    answers as (select company_slug, arg_max(case when status = 'error' and new = 0 then 'blocked' else status end, (started_at, run_id)) as status, arg_max(fetched, (started_at, run_id)) as fetched, arg_max(new, (started_at, run_id)) as new, arg_max(updated, (started_at, run_id)) as updated from runs where company_slug is not null and status <> 'skipped' group by 1),
+    tried as (select source, company_slug, max(started_at) as last from runs where company_slug is not null group by 1, 2),
+    board as (select c.source, c.company_slug, coalesce(g.state, 'closed') as state, md5('{_SEED}:' || c.source || ':' || c.company_slug) as lot, coalesce(a.status, 'empty') as status, coalesce(fetched, 0) as fetched, coalesce(new, 0) as new, coalesce(updated, 0) as updated
+        from companies c left join gate g on g.source = c.source left join answers a on a.company_slug = c.company_slug left join tried t on t.source = c.source and t.company_slug = c.company_slug
+        where enabled and (priority <= 1 or last is null or epoch(timestamp '{NOW}') - floor(epoch(last)) >= case priority when 2 then 86400 when 3 then 604800 end)),
+    planned as (select *, row_number() over (partition by source order by lot) as turn from board where state <> 'open' qualify state = 'closed' or turn = 1),
+    walls as (select source, min(lot) as wall from planned where status = 'blocked' and source not in ('workday', 'custom') group by 1),
+    asked as (select p.* from planned p left join walls w on w.source = p.source where wall is null or lot <= wall),
+    whole as (select c.source, any_value(g.state) as state, count(a.lot) as n, count(*) filter (a.status = 'blocked' and c.source not in ('workday', 'custom')) as walls, count(*) filter (a.status in ('ok', 'empty')) as good,
+        coalesce(sum(a.fetched), 0) as fetched, coalesce(sum(a.new), 0) as new, coalesce(sum(a.updated), 0) as updated from (select distinct source from companies) c left join gate g on g.source = c.source left join asked a on a.source = c.source group by 1)
+    select source, company_slug, status, null::varchar as error_kind, fetched::bigint as fetched, new::bigint as new, updated::bigint as updated from asked
+    union all select source, null, case when walls > 0 then 'blocked' when n = 0 then 'skipped' when good = 0 then 'error' when fetched > 0 then 'ok' else 'empty' end, case when state = 'open' then 'breaker_open' end, fetched::bigint, new::bigint, updated::bigint from whole""",
+    "companies", "runs",
+)
+def source_cycle(spark, sf):
+    """One cycle over all sources; a board answers as its company's newest run did (errors without a new record as blocks), one without a run with nothing."""
+    companies, runs = canonical(spark, sf, "companies"), canonical(spark, sf, "runs")
+    told = runs.filter("company_slug is not null and status <> 'skipped'").withColumn("status", F.expr("case when status = 'error' and new = 0 then 'blocked' else status end"))
+    newest = told.groupBy("company_slug").agg(F.max_by(F.struct("status", *health.COUNTS), F.struct("started_at", "run_id")).alias("r")).select("company_slug", "r.*")
+    answers = companies.select("source", "company_slug").join(newest, "company_slug", "left").fillna({"status": "empty"} | dict.fromkeys(health.COUNTS, 0))
+    plan = health.plan_cycle(companies, runs, NOW, _SEED, **_CYCLE)
+    return health.cycle_log(companies, runs, plan, answers, NOW, **_CYCLE).drop("aliased", "rejected")
+
+
 # --- retention -------------------------------------------------------------------------------
 
 

@@ -1,5 +1,6 @@
 """Operators that SQL can't state: against hand-made cases and their sequential meaning."""
 
+import hashlib
 from datetime import date, datetime, timedelta
 
 import pytest
@@ -331,3 +332,31 @@ def test_small_surfaces(spark):
     text = "ABOUT US\nWe trade.\n\nYou will:\n- build\n- test\n\n- alone\nThe end"
     got = spark.createDataFrame([(text,)], "t string").select(description_blocks(F.col("t")).alias("b")).first().b
     assert [(b.kind, b.lines) for b in got] == [("heading", ["ABOUT US"]), ("paragraph", ["We trade."]), ("heading", ["You will:"]), ("list", ["build", "test"]), ("list", ["alone"]), ("paragraph", ["The end"])]
+
+
+def test_cycle_gate_probe_and_walls(spark):
+    """Open breakers ask nothing, half-open ones one board, a block ends a source's cycle unless its boards have hosts of their own."""
+    boards = [(s, f"{s}{k}", 1, k != 9) for s in ("lever", "ashby", "workday", "custom", "personio", "workable") for k in range(10)] + [("wttj", "w", 3, True)]
+    companies = spark.createDataFrame(boards, "source string, company_slug string, priority int, enabled boolean")
+    at = lambda m: datetime(2024, 1, 1, 11, m)
+    log = [("1", "ashby", None, "blocked", at(59)), ("2", "custom", None, "blocked", at(0)), ("3", "lever", None, "error", at(1)), ("4", "wttj", "w", "ok", at(2)), ("5", "ashby", None, "skipped", at(59))]
+    runs = spark.createDataFrame([(i, s, c, st, t, t, 1) for i, s, c, st, t in log], "run_id string, source string, company_slug string, status string, started_at timestamp, ended_at timestamp, fetched int")
+    now = "2024-01-01 11:59:20"
+    plan = health.plan_cycle(companies, runs, now, "a")
+    asked = plan.toPandas()
+    counts = asked.groupby("source").size().to_dict()
+    assert counts == {"lever": 9, "workday": 9, "custom": 1, "personio": 9, "workable": 9}
+    first = {s: min((hashlib.md5(f"a:{s}:{c}".encode()).hexdigest(), c) for b, c, _, on in boards if b == s and on)[1] for s in counts}
+    assert asked[asked.state == "half_open"].company_slug.tolist() == [first["custom"]]
+    assert health.plan_cycle(companies, runs, now, "b").toPandas().lot.tolist() != asked.lot.tolist()
+    assert health.plan_cycle(companies, runs, now, "a", force=True).filter("source = 'wttj'").count() == 1
+    order = sorted((c for b, c, _, on in boards if b == "lever" and on), key=lambda c: hashlib.md5(f"a:lever:{c}".encode()).hexdigest())
+    status = lambda s, c: "blocked" if c in (order[3], "workday4") else "error" if s == "personio" else "ok" if c != "workable0" else "empty"
+    answers = spark.createDataFrame([(s, c, status(s, c), 2 if status(s, c) == "ok" else 0, 1, 0, 0, 0) for s, c, *_ in boards], "source string, company_slug string, status string, fetched int, new int, updated int, aliased int, rejected int")
+    got = health.cycle_log(companies, runs, plan, answers, now).toPandas()
+    assert set(got[(got.source == "lever") & got.company_slug.notna()].company_slug) == set(order[:4])
+    whole = got[got.company_slug.isna()].set_index("source")
+    assert whole.status.to_dict() == {"lever": "blocked", "ashby": "skipped", "workday": "ok", "custom": "ok", "personio": "error", "workable": "ok", "wttj": "skipped"}
+    assert whole.error_kind.dropna().to_dict() == {"ashby": "breaker_open"} and whole.fetched.to_dict()["lever"] == 6 and whole.fetched.to_dict()["workday"] == 16
+    empty = health.cycle_log(companies.limit(0), runs, health.plan_cycle(companies.limit(0), runs, now, "a"), answers, now)
+    assert empty.count() == 0
