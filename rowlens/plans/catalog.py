@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from rowlens.config import Profile, build_profile, build_taxonomy, build_tracks
 from rowlens.functions import dates, money, text
-from rowlens.operators import applications, dedup, facets, feed, health, normalize, replay, reports, retention, review, score, search, snapshot, text_index
+from rowlens.operators import applications, dedup, facets, feed, health, normalize, periods, replay, reports, retention, review, score, search, snapshot, text_index
 from rowlens.operators.feed import PostingFilter
 from rowlens.plans.projection import AS_OF, _pick, canonical, store
 from rowlens.plans.registry import oracle_sql, queries, query
@@ -840,6 +840,17 @@ def applied_batch(spark, sf):
     return after.select("posting_id", "title", "content_hash", "is_active", "is_canonical", F.col("last_seen_at").cast("date").alias("last_day"), F.col("first_seen_at").cast("date").alias("first_day"))
 
 
+@query(_APPLIED + " select * from rows_now", "postings")
+def batch_by_period(spark, sf):
+    """The same batch applied to stored postings kept by period, of which it rewrites those it changes."""
+    stored, batch = _jobs(spark, sf)
+    columns = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in stored.schema)
+    table = periods.PeriodTable(spark, f"{shared_folder(spark)}/postings-{uuid4().hex}", columns).create(stored)
+    table.apply(batch)
+    after = table.read()
+    return after.select("posting_id", "title", "content_hash", "is_active", "is_canonical", F.col("last_seen_at").cast("date").alias("last_day"), F.col("first_seen_at").cast("date").alias("first_day"))
+
+
 @query(_APPLIED + " select posting_id as old_id, alias_of as new_id, not known as is_new from outcome where alias_of is not null union all select demoted, posting_id, false from outcome where demoted is not null", "postings")
 def batch_moves(spark, sf):
     """What became an alias of what by that batch."""
