@@ -44,6 +44,21 @@ def test_a_search_opens_its_buckets_only(spark, tmp_path):
     assert "PartitionFilters: [bucket" in plan.replace("isnotnull(bucket#", "[bucket#").replace("[[", "[") and "EqualTo(word,abc)" in plan and "ArrowEvalPython" not in plan
 
 
+def test_a_frequent_words_lists_stay_in_blocks(spark, tmp_path):
+    """Rows of the index are one a word and block, not one a word and posting, and blocks are numbered once."""
+    from pyspark.sql import functions as F
+
+    schema = "posting_id string, title string, company_name string, tech string, description string"
+    texts = spark.range(0, 3000, 1, 3).select(F.col("id").cast("string").alias("posting_id"), F.lit("same words, same").alias("title"), F.lit(None).cast("string").alias("company_name"), F.lit("").alias("tech"), F.concat(F.lit("word"), F.col("id")).alias("description"))
+    index = TextIndex(spark, f"file://{tmp_path}/index")
+    index.add(texts.select(*[x.split(" ")[0] for x in schema.split(", ")]))
+    stored = spark.read.parquet(f"file://{tmp_path}/index/words")
+    assert stored.filter("word = 'same'").count() == stored.filter("ids is not null").count() < 10
+    assert stored.filter("word = 'same'").agg(F.sum(F.size("rows"))).first()[0] == 6000
+    assert index.matching(Match(phrases=("words same",))).distinct().count() == 3000
+    assert [r.posting_id for r in index.matching(Match(every=("word77", "same"))).collect()] == ["77"]
+
+
 def test_substrings(spark, tmp_path):
     lines = {str(k): t for k, t in enumerate(["Ünïted", "united", "uni ted", "ab", "a", "", None, "aaaaab", "ba ab", "x\u0001y"])}
     index = GramIndex(spark, f"file://{tmp_path}/grams", ("line",))
