@@ -265,6 +265,15 @@ def _open(rows: DataFrame, found: DataFrame) -> DataFrame:
     return named.join(keys.select("key"), "key")
 
 
+def _seen(rest: DataFrame, alive: DataFrame) -> DataFrame:
+    """The rows (key, node, component) with n and c of their classes.
+
+    A class's buckets travel as one list (at most one for each pair of its collections), so the join gives a row a class.
+    """
+    own = rest.groupBy("node", "component").agg(F.collect_list("key").alias("own"))
+    return own.join(alive.select("node", "n", "c"), "node").select(F.explode("own").alias("key"), "node", "component", "n", "c")
+
+
 def _ordered(a: str, b: str) -> list[Column]:
     return [F.greatest(a, b).alias("a"), F.least(a, b).alias("b")]
 
@@ -336,7 +345,7 @@ def _rest(rows: DataFrame, nodes: DataFrame, texts: DataFrame, tried: DataFrame,
         return found
 
     # 3: the likely centre of each bucket against its members
-    seen = rest.join(alive.select("node", "n", "c"), "node")
+    seen = _seen(rest, alive)
     centre = seen.groupBy("key").agg(F.max(F.struct((F.col("c") / F.col("n")).alias("share"), (-F.col("node")).alias("order"), "n", "c", "component")).alias("o"))
     pairs = seen.join(centre, "key").filter((F.col("component") != F.col("o.component")) & _bound(F.least("c", "o.c"), F.col("n"), F.col("o.n"), percent))
     settled(pairs.select("node", (-F.col("o.order")).alias("other")).select(*_ordered("node", "other")))
