@@ -27,8 +27,10 @@ left have it, and c the count of a class's other shingles.
 2. Two classes that share none have at most min(c, c') in common. A class whose c is
    too small even for a subset of it drops out. That is linear in the classes, and
    in a large group of edited copies it leaves those near the group's centre.
-3. In each bucket the class with the largest share of common shingles is compared
-   with the others: it is the likely centre of a group.
+3. In the 20 tables that combine a collection with the next one, the class of a
+   bucket with the largest share of common shingles is compared with the others: it is
+   the likely centre of a group. A class has 20 rows here, not one for each of its
+   buckets; what meets in other tables only is left to the next step.
 4. Pairs that still lie apart are joined on single collections, classes outside a
    value's largest component against all of them, and only pairs within both bounds
    come out: min(c, c'), and a 1,024-bit parity of each set, whose differing bits are
@@ -274,6 +276,23 @@ def _seen(rest: DataFrame, alive: DataFrame) -> DataFrame:
     return own.join(alive.select("node", "n", "c"), "node").select(F.explode("own").alias("key"), "node", "component", "n", "c")
 
 
+def _neighbours(live: DataFrame) -> DataFrame:
+    """(key, node, component, n, c) of classes (node, component, n, c, keys): one key for each collection and the next one, so a row a collection."""
+    keys = [F.xxhash64(F.lit(i), F.col("keys")[i], F.col("keys")[(i + 1) % COLLECTIONS]) for i in range(COLLECTIONS)]
+    return live.select(F.explode(F.array(*keys)).alias("key"), "node", "component", "n", "c")
+
+
+def _to_centres(live: DataFrame, percent: int) -> DataFrame:
+    """Pairs (a, b) of each class and the likely centre of its buckets of neighbouring collections, where they lie in different components."""
+    seen = _neighbours(live)
+    centre = seen.groupBy("key").agg(
+        F.max(F.struct((F.col("c") / F.col("n")).alias("share"), (-F.col("node")).alias("order"), "n", "c", "component")).alias("o"), F.min("component").alias("low"), F.max("component").alias("high")
+    )
+    centre = centre.filter("low < high").select("key", "o")
+    pairs = seen.join(centre, "key").filter((F.col("component") != F.col("o.component")) & _bound(F.least("c", "o.c"), F.col("n"), F.col("o.n"), percent))
+    return pairs.select("node", (-F.col("o.order")).alias("other")).select(*_ordered("node", "other"))
+
+
 def _ordered(a: str, b: str) -> list[Column]:
     return [F.greatest(a, b).alias("a"), F.least(a, b).alias("b")]
 
@@ -344,11 +363,9 @@ def _rest(rows: DataFrame, nodes: DataFrame, texts: DataFrame, tried: DataFrame,
     if rest.isEmpty():
         return found
 
-    # 3: the likely centre of each bucket against its members
-    seen = _seen(rest, alive)
-    centre = seen.groupBy("key").agg(F.max(F.struct((F.col("c") / F.col("n")).alias("share"), (-F.col("node")).alias("order"), "n", "c", "component")).alias("o"))
-    pairs = seen.join(centre, "key").filter((F.col("component") != F.col("o.component")) & _bound(F.least("c", "o.c"), F.col("n"), F.col("o.n"), percent))
-    settled(pairs.select("node", (-F.col("o.order")).alias("other")).select(*_ordered("node", "other")))
+    # 3: the likely centres against the classes around them
+    last = rest.select("node", "component").distinct()
+    settled(_to_centres(stage_table(alive.drop("component").join(last, "node"), "open-around"), percent))
 
     # 4: all others within both bounds
     rest = stage_table(_open(rest.select("key", "node"), found), "open-buckets")
