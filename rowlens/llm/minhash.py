@@ -26,11 +26,13 @@ left have it, and c the count of a class's other shingles.
    lists give how many they share, and with min(c, c') that bounds the intersection.
 2. Two classes that share none have at most min(c, c') in common. A class whose c is
    too small even for a subset of it drops out. That is linear in the classes, and
-   in a large group of edited copies it leaves those near the group's centre.
+   in a large group of edited copies it leaves those near the group's centre. A class
+   that shares fewer than two collection values with other components drops out too:
+   a bucket combines two. From here on a class has 20 rows, not one for each bucket.
 3. In the 20 tables that combine a collection with the next one, the class of a
    bucket with the largest share of common shingles is compared with the others: it is
-   the likely centre of a group. A class has 20 rows here, not one for each of its
-   buckets; what meets in other tables only is left to the next step.
+   the likely centre of a group. What meets in other tables only is left to the next
+   step.
 4. Pairs that still lie apart are joined on single collections, classes outside a
    value's largest component against all of them, and only pairs within both bounds
    come out: min(c, c'), and a 1,024-bit parity of each set, whose differing bits are
@@ -267,6 +269,19 @@ def _open(rows: DataFrame, found: DataFrame) -> DataFrame:
     return named.join(keys.select("key"), "key")
 
 
+def _placed(classes: DataFrame, found: DataFrame) -> DataFrame:
+    """The classes (node, ...) with their components as they are now."""
+    return classes.drop("component").join(found, "node", "left").withColumn("component", F.coalesce("component", "node"))
+
+
+def _between(classes: DataFrame) -> DataFrame:
+    """The classes (node, component, keys, ...) that share two collection values or more with classes of other components; a row a collection, joined by collection value."""
+    values = classes.select("node", "component", F.posexplode("keys").alias("i", "h"))
+    mixed = values.groupBy("i", "h").agg(F.min("component").alias("low"), F.max("component").alias("high")).filter("low < high")
+    nodes = values.join(mixed.select("i", "h"), ["i", "h"]).groupBy("node").count().filter("count > 1")
+    return classes.join(nodes.select("node"), "node", "left_semi")
+
+
 def _seen(rest: DataFrame, alive: DataFrame) -> DataFrame:
     """The rows (key, node, component) with n and c of their classes.
 
@@ -336,11 +351,10 @@ def _rest(rows: DataFrame, nodes: DataFrame, texts: DataFrame, tried: DataFrame,
             edges = edges.unionByName(more)
             found = components(edges)
 
-    rest = stage_table(_open(rows, found), "open-buckets")
-    if rest.isEmpty():
+    named = _open(rows, found).select("node", "component").distinct()
+    named = stage_table(named.join(nodes, "node").select("node", "component", "n", "keys"), "open-classes")
+    if named.isEmpty():
         return found
-    named = rest.select("node", "component").distinct().join(nodes, "node").select("node", "component", "n", "keys")
-    named = stage_table(named, "open-classes")
     some = stage_table(texts.join(named, texts["doc_id"] == named["node"], "left_semi"), "open-texts")
     lists = _short_lists(_shingles(some))
     rare = lists.select(F.explode("members").alias("node")).groupBy("node").agg(F.count(F.lit(1)).alias("r"))
@@ -359,20 +373,18 @@ def _rest(rows: DataFrame, nodes: DataFrame, texts: DataFrame, tried: DataFrame,
 
     # 2: what is left can only be linked by its common shingles
     alive = counted.filter(100 * F.col("c") >= percent * F.col("n"))
-    rest = stage_table(_open(rest.select("key", "node").join(alive.select("node"), "node", "left_semi"), found), "open-buckets")
-    if rest.isEmpty():
+    around = stage_table(_between(_placed(alive, found)), "open-around")
+    if around.isEmpty():
         return found
 
     # 3: the likely centres against the classes around them
-    last = rest.select("node", "component").distinct()
-    settled(_to_centres(stage_table(alive.drop("component").join(last, "node"), "open-around"), percent))
+    settled(_to_centres(around, percent))
 
     # 4: all others within both bounds
-    rest = stage_table(_open(rest.select("key", "node"), found), "open-buckets")
-    if rest.isEmpty():
+    last = stage_table(_between(_placed(around, found)), "open-last")
+    if last.isEmpty():
         return found
-    last = rest.select("node", "component").distinct()
-    live = last.join(alive.drop("component"), "node").join(_parities(some.join(last, some["doc_id"] == last["node"], "left_semi")), "node")
+    live = last.join(_parities(some.join(last, some["doc_id"] == last["node"], "left_semi")), "node")
     settled(_apart(stage_table(live, "open-live"), percent))
     drop_stage(some)
     return found
