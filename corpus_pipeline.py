@@ -3,7 +3,8 @@
 Each stage takes (spark, docs, sf_dir) and returns the documents it keeps, with
 the columns of ``documents``; the last returns the packed pieces. Every stage is
 written as Parquet and read again by the next one, so that a lost executor costs
-tasks of one stage only.
+tasks of one stage only. Stages that send texts to Python make the session's Arrow
+batches smaller (``small_batches``), as an executor holds several batches at once.
 
 * language: documents whose language compression can't tell are dropped;
 * exact: of equal texts the row with the largest doc_id stays;
@@ -21,12 +22,13 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from rowlens.llm import exact, language, minhash, packing, pii
-from rowlens.llm.common import keep_rows, stage_table, table
+from rowlens.llm.common import keep_rows, small_batches, stage_table, table
 
 Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
 
 
 def language_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    small_batches(spark)
     return language.accepted(docs)
 
 
@@ -35,6 +37,7 @@ def exact_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    small_batches(spark)
     return keep_rows(docs, minhash.near_duplicates(docs).filter("kept"))
 
 
@@ -43,6 +46,7 @@ def pii_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    small_batches(spark)
     return packing.packed_documents(docs)
 
 

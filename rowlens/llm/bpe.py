@@ -33,7 +33,7 @@ SPACE = "\t-\r \x85\xa0  -     　"
 CHUNK = rf" ?[A-Za-zÀ-ÖØ-öø-ÿ]++(?![\w\u0100-\U0010ffff])|[{SPACE}]*[^{SPACE}]+|[{SPACE}]+"
 #: The pre-tokenizer's pattern; a fixed value of this kind of vocabulary.
 PIECE = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
-#: Chunks whose ids a worker keeps; the cache starts anew beyond.
+#: Chunks whose ids a worker keeps at most.
 CACHE_CHUNKS = 400_000
 #: Longer chunks are not kept.
 CACHE_CHARS = 64
@@ -49,16 +49,23 @@ def byte_alphabet() -> dict[str, int]:
 
 
 class Cache(dict):
-    """ids of a chunk as bytes, made on first use."""
+    """ids of a chunk as bytes, made on first use.
 
-    def __init__(self, make: Callable[[str], bytes]):
+    At half of ``most`` chunks the dictionary becomes the older half, from which chunks in use come back.
+    """
+
+    def __init__(self, make: Callable[[str], bytes], most: int = CACHE_CHUNKS):
         super().__init__()
-        self.make = make
+        self.make, self.most = make, most
+        self.older: dict[str, bytes] = {}
 
     def __missing__(self, chunk: str) -> bytes:
-        found = self.make(chunk)
+        found = self.older.get(chunk)
+        if found is None:
+            found = self.make(chunk)
         if len(chunk) <= CACHE_CHARS:
-            if len(self) >= CACHE_CHUNKS:
+            if len(self) >= self.most // 2:
+                self.older = dict(self)
                 self.clear()
             self[chunk] = found
         return found
@@ -73,7 +80,7 @@ def core(vocab: dict[bytes, int]):
 class Coder:
     """Encodes a text chunk by chunk; subclasses say how a chunk is encoded."""
 
-    def __init__(self, path: str):
+    def __init__(self, path: str, most: int = CACHE_CHUNKS):
         import re
 
         with open(path, encoding="utf-8") as f:
@@ -84,7 +91,7 @@ class Coder:
         self.special = {t["content"]: t["id"] for t in self.spec["added_tokens"]}
         self.at_special = re.compile("(" + "|".join(map(re.escape, sorted(self.special, key=len, reverse=True))) + ")") if self.special else None
         self.chunks = re.compile(CHUNK).findall
-        self.cache = Cache(self.chunk)
+        self.cache = Cache(self.chunk, most)
 
     def chunk(self, chunk: str) -> bytes:
         raise NotImplementedError
@@ -108,8 +115,8 @@ class Coder:
 class ForcedBoundaryCoder(Coder):
     """Pieces are cut at byte pairs that no token holds; fragments are merged on their own."""
 
-    def __init__(self, path: str):
-        super().__init__(path)
+    def __init__(self, path: str, most: int = CACHE_CHUNKS):
+        super().__init__(path, most)
         byte = byte_alphabet()
         vocab = {bytes(byte[c] for c in token): i for token, i in self.spec["model"]["vocab"].items() if token not in self.special}
         merges = (m.split(" ") if isinstance(m, str) else m for m in self.spec["model"]["merges"])
@@ -198,24 +205,28 @@ class ForcedBoundaryCoder(Coder):
 
 
 class ChunkCoder(ForcedBoundaryCoder):
-    """Chunks not in the cache go to tiktoken's core without forced cuts."""
+    """Chunks not in the cache go to tiktoken's core without forced cuts. It only encodes."""
 
-    def __init__(self, path: str):
-        super().__init__(path)
-        self.whole = core({t: i for i, t in enumerate(self.bytes_of) if i not in self.special.values()}).encode_ordinary if self.ordered else None
+    def __init__(self, path: str, most: int = CACHE_CHUNKS):
+        super().__init__(path, most)
+        self.whole = None
+        if self.ordered:
+            self.whole = self.core.__self__.encode_ordinary
+            # what forced cuts, merging and decoding need would stay in the worker for nothing
+            self.ranks, self.made, self.joined, self.bytes_of = {}, [], set(), []
 
     def chunk(self, chunk: str) -> bytes:
         return array("I", self.whole(chunk)).tobytes() if self.whole else super().chunk(chunk)
 
 
-_CODERS: dict[tuple[type, str], Coder] = {}
+_CODERS: dict[tuple[type, str, int], Coder] = {}
 
 
-def coder(kind: type[Coder], path: str) -> Coder:
-    """The worker's coder, kept between tasks."""
-    if (kind, path) not in _CODERS:
-        _CODERS[kind, path] = kind(path)
-    return _CODERS[kind, path]
+def coder(kind: type[Coder], path: str, most: int = CACHE_CHUNKS) -> Coder:
+    """The worker's coder, kept between tasks; it keeps the ids of ``most`` chunks."""
+    if (kind, path, most) not in _CODERS:
+        _CODERS[kind, path, most] = kind(path, most)
+    return _CODERS[kind, path, most]
 
 
 def default_tokenizer() -> str:

@@ -10,6 +10,9 @@ from pyspark.sql import functions as F
 
 _OWN_DIRS: dict[str, str] = {}
 
+#: Rows that a Python worker gets at once where whole texts go to it.
+ARROW_ROWS = 1_000
+
 
 def shared_dir(spark: SparkSession) -> str:
     """Folder that driver and executors share: ``spark.checkpoint.dir``.
@@ -28,6 +31,17 @@ def shared_dir(spark: SparkSession) -> str:
     return _OWN_DIRS[app]
 
 
+def small_batches(spark: SparkSession, rows: int = ARROW_ROWS) -> None:
+    """From now on Python workers of this session get at most so many rows at once; a smaller setting stays.
+
+    An executor holds a batch several times (Arrow vectors, the stream to the worker, the worker's
+    copy), so Spark's 10,000 rows are hundreds of MB where rows are whole texts.
+    """
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(spark.conf.get(name)) <= rows:
+        spark.conf.set(name, rows)
+
+
 def stage_path(spark: SparkSession, label: str) -> str:
     return f"{shared_dir(spark)}/{label}-{uuid4().hex}"
 

@@ -40,6 +40,8 @@ CAPACITY = 2048
 BUCKET = 32_768
 FAN = 4
 ROUNDS = 2
+#: Chunks whose ids a worker keeps: with fewer a worker that other stages use too stays small.
+CACHE_CHUNKS = 150_000
 #: Buckets that rows equal in everything can reach.
 SPREAD = 1024
 #: Bits of a sequence number that count bins inside a bucket, and of a bucket number below its round.
@@ -104,7 +106,7 @@ def pieces(docs: DataFrame, capacity: int = CAPACITY, end_id: int | None = 0, to
     ending = b"" if end_id is None else end_id.to_bytes(4, "little")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        coder = bpe.coder(bpe.ChunkCoder, path)
+        coder = bpe.coder(bpe.ChunkCoder, path, CACHE_CHUNKS)
         for b in batches:
             out: list[tuple] = []
             for doc_id, text in zip(b.column(0).to_pylist(), b.column(1)):
